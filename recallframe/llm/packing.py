@@ -28,26 +28,30 @@ OPEN_WINDOWS = 32
 MAX_PAD = 16
 MERGE_PARTITIONS = 4
 END_ID = 1
-#: Words whose token ids a worker remembers.
-CACHE_WORDS = 400_000
-_PLAIN = re.compile(r"([a-zà-öø-ÿ]*)([!#$%&*.,|?;:()-]*)")
+#: Runs whose token ids each of a worker's two generations of memory holds at most.
+CACHE_RUNS = 500_000
+#: Letters of Latin-1 after lower-casing; between them and anything else lies a pre-token boundary.
+_RUNS = re.compile(r"[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[^\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+")
+_BEYOND = re.compile(r"[^\x00-\xff]|['\x1c-\x1f\x85]|<\|")
+_SEPARATORS = re.compile(r"[\x1c-\x1f\x85]")
 
 
-def _byte_letters() -> dict[str, str]:
-    """Letters à to ÿ as the byte-level alphabet spells their two UTF-8 bytes (printable Latin-1 stands for
-    itself, other bytes count on from 256)."""
+def byte_letters() -> dict[int, str]:
+    """Latin-1 characters as the byte-level alphabet spells their UTF-8 bytes (printable Latin-1 stands for itself,
+    other bytes count on from 256)."""
     kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     names = {b: chr(b) for b in kept}
     for i, b in enumerate(x for x in range(256) if x not in names):
         names[b] = chr(256 + i)
-    return {chr(c): "".join(names[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+    return {c: "".join(names[b] for b in chr(c).encode()) for c in range(256)}
 
 
-class WordEncoder(dict):
-    """Token ids (as bytes) of each whitespace-free run; unknown runs are encoded and remembered.
+class RunEncoder(dict):
+    """Token ids (as bytes) of runs of text, encoded once and remembered in two generations.
 
-    Pre-tokens never cross whitespace, so a text's ids are those of its runs one after the other. Runs of plain
-    letters and punctuation go straight to the vocabulary's merge model, all others through the whole tokenizer.
+    Pre-tokens never cross white space, nor the border of letters and other characters where no apostrophe, special
+    token or character beyond Latin-1 is about; so a text's ids are those of its runs one after the other. A run of
+    letters goes to the vocabulary's merge model, every other run through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -55,51 +59,49 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.letters = str.maketrans(_byte_letters())
-        self.direct = self._has_plain_rules()
-
-    def _has_plain_rules(self) -> bool:
-        """Whether the short way gives the tokenizer's ids on probes of each kind of run."""
-        probes = ["hello", "Straße,", "été.", "the***", "!!", "ab|", "(x)"[:1], "niño", "zz-", "a", "QUEÇ!!"]
-        return all(self._short(p) == self._whole(p) for p in probes)
-
-    def _whole(self, run: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(run, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def _short(self, run: str) -> bytes | None:
-        m = _PLAIN.fullmatch(run.lower())
-        if not m:
-            return None
-        word, marks = m.groups()
-        ids = [t.id for t in self.model.tokenize(word.translate(self.letters))] if word else []
-        if marks:
-            ids += [t.id for t in self.model.tokenize(marks)]
-        return np.asarray(ids, np.uint32).tobytes()
+        self.merge = self.tokenizer.model.tokenize
+        self.spell = byte_letters()
+        self.old: dict[str, bytes] = {}
+        self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1)]
+        probes = ["hello", "straße", "été", "a", "zz", "niño", "ÿß", "thereof"]
+        self.direct = all(self.letters(p) == self.whole(p) for p in probes)
+
+    def whole(self, run: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def letters(self, run: str) -> bytes:
+        four = self.four
+        return b"".join([four[t.id] for t in self.merge(run if run.isascii() else run.translate(self.spell))])
 
     def __missing__(self, run: str) -> bytes:
-        ids = self._short(run) if self.direct and len(run) < 200 else None
+        ids = self.old.get(run)
         if ids is None:
-            ids = self._whole(run)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
+            ids = self.letters(run) if self.direct and run.isalpha() and max(run) <= "\xff" and run == run.lower() else self.whole(run)
         if len(run) < 64:
+            if len(self) >= CACHE_RUNS:
+                self.old = dict(self)
+                self.clear()
             self[run] = ids
         return ids
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, with the end id last."""
-        if text.isascii():
-            text = text.lower()
-        return np.frombuffer(b"".join([*map(self.__getitem__, text.split()), END_ID.to_bytes(4, "little")]), np.uint32)
+        if not _BEYOND.search(text):
+            parts = [*map(self.__getitem__, _RUNS.findall(text.lower()))]
+        elif not _SEPARATORS.search(text):
+            parts = [*map(self.__getitem__, text.split())]
+        else:
+            parts = [self.whole(text)]
+        parts.append(END_ID.to_bytes(4, "little"))
+        return np.frombuffer(b"".join(parts), "<u4")
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, RunEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> RunEncoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = RunEncoder(path)
     return _ENCODERS[path]
 
 
