@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import user_name
-from .guards import require
 
 
 def requests(spark, samples: DataFrame, questions: DataFrame, users: int, per_user: int, seed: int = 42) -> DataFrame:
@@ -22,7 +21,9 @@ def requests(spark, samples: DataFrame, questions: DataFrame, users: int, per_us
     everyone = spark.range(users).withColumnRenamed("id", "user_index").crossJoin(F.broadcast(n)).withColumn("ord", F.col("user_index") % F.col("n"))
     counts = questions.groupBy("sample_id").agg(F.count(F.lit(1)).alias("have"))
     met = everyone.join(samples.select("sample_id", "ord").join(counts, "sample_id", "left"), "ord")
-    met = require(met, F.col("have") > 0, F.concat(F.lit("no questions: "), F.col("sample_id").cast("string")))
+    # the count itself raises: a filter beside the ones below might be evaluated after them
+    none = F.raise_error(F.concat(F.lit("no questions: "), F.col("sample_id").cast("string"))).cast("long")
+    met = met.withColumn("have", F.when(F.col("have") > 0, F.col("have")).otherwise(none))
     w = Window.partitionBy("sample_id").orderBy("question_ord")
     numbered = questions.withColumn("q", F.row_number().over(w) - 1).select("sample_id", "q", "question_id", "query")
     # distinct draws: the smallest hashes of (seed, user, question number); a user sees at most ``have`` numbers

@@ -35,8 +35,8 @@ def records(spark: SparkSession, path: str, most: int | None = None) -> DataFram
     text = trim_all("value")
     listed = F.when(text.startswith("["), text).when(text.startswith("{"), F.coalesce(_field(text, "data", "samples", "conversations"), F.lit("[]")))
     listed = F.when(listed.isNull(), F.raise_error(F.lit("unsupported root"))).otherwise(listed)
-    items = whole.select("file", F.posexplode(F.from_json(listed, "array<variant>")).alias("pos", "v"))
-    own = items.where(F.schema_of_variant("v").startswith("OBJECT")).withColumn("record", F.to_json("v"))
+    items = whole.select("file", F.posexplode(F.from_json(listed, "array<string>")).alias("pos", "record"))
+    own = items.where(F.col("record").startswith("{"))  # nested values stay JSON text with their key order
     own = own.select("file", "pos", "record", F.coalesce(_field("record", "sample_id", "conversation_id", "id"), F.concat(F.lit("sample-"), F.col("pos"))).alias("sample_id"))
     own = own.withColumn("ord", F.row_number().over(Window.partitionBy("file").orderBy("pos")) - 1)
     return own.where(F.col("ord") < most) if most is not None else own
