@@ -1 +1,3 @@
 """Named queries over the driver's tables with their SQL oracles."""
+
+from . import queries, run_queries  # noqa: F401  (registration)

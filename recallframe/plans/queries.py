@@ -381,7 +381,7 @@ def missing_axis(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, 'run' AS run_id, n_chars::DOUBLE AS memory_tokens, 10.0::DOUBLE AS query_tokens, n_chars + 10.0::DOUBLE AS total_prompt_tokens, quality AS judge_correct, 1 AS retrieved_count, lang AS first_fact FROM documents LEFT JOIN labels USING (doc_id)
+SELECT doc_id, 'run' AS run_id, n_chars::DOUBLE AS memory_tokens, 10.0::DOUBLE AS query_tokens, n_chars + 10.0::DOUBLE AS total_prompt_tokens, coalesce(quality, -1) AS judge_correct, 1 AS retrieved_count, lang AS first_fact FROM documents LEFT JOIN labels USING (doc_id)
 """)
 def query_metric_rows(spark: SparkSession, d: str) -> DataFrame:
     """Nested records flattened to the report's columns."""
@@ -389,7 +389,7 @@ def query_metric_rows(spark: SparkSession, d: str) -> DataFrame:
     metrics = F.to_json(F.struct(F.col("n_chars").alias("kv_memory_tokens"), F.lit("10").alias("kv_query_tokens"), F.array("lang").alias("memory_retrieved_fact_ids")))
     rec = own.select(F.lit("run").alias("run_id"), F.lit("mode").alias("mode"), "source", F.col("doc_id").cast("string").alias("question_id"), F.lit("1").alias("category"), F.col("source").alias("sample_id"), F.parse_json(metrics).alias("metrics"), F.parse_json(F.to_json(F.struct("correct"))).alias("judge"), F.array("lang").alias("retrieved"))
     got = evaluate.query_metric_rows(rec)
-    return got.select(F.col("question_id").cast("long").alias("doc_id"), "run_id", "memory_tokens", "query_tokens", "total_prompt_tokens", "judge_correct", "retrieved_count", F.col("memory_retrieved_fact_ids")[0].alias("first_fact"))
+    return got.select(F.col("question_id").cast("long").alias("doc_id"), "run_id", "memory_tokens", "query_tokens", "total_prompt_tokens", F.coalesce("judge_correct", F.lit(-1)).alias("judge_correct"), "retrieved_count", F.col("memory_retrieved_fact_ids")[0].alias("first_fact"))
 
 
 @query("""
