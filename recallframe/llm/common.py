@@ -22,13 +22,34 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_DEFAULT
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
+def stage_table(df: DataFrame, name: str, release: bool = False, parts: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there. ``parts`` bounds the number
+    of files where the number of rows is known.
+
+    ``release`` asks the driver to collect its garbage, upon which Spark deletes the shuffle files of finished
+    stages; else they stay on the executors' disks for as long as the driver has memory to spare.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/recallframe-{name}-{uuid.uuid4().hex}"
     _PATHS.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.coalesce(parts) if parts else df).write.parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def drop_stage_table(table: DataFrame) -> None:
+    """Delete a stage table that nothing reads any more."""
+    spark, path = table.sparkSession, table._stage_path
+    _delete(spark, path)
+    _PATHS[:] = [x for x in _PATHS if x[1] != path]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def drop_stage_tables() -> None:
@@ -36,10 +57,7 @@ def drop_stage_tables() -> None:
     while _PATHS:
         spark, path = _PATHS.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(hadoop).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone at exit
             return
 
@@ -191,6 +209,34 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(acc)
 
 
+#: Bits of the bounded filter that thins documents before they are joined (2 MB, whatever the input).
+FILTER_BITS = 24
+
+
+def filter_bits(ids: DataFrame) -> np.ndarray:
+    """A bitmap of the hashes of the ids in column doc: FILTER_BITS fix its size, whatever the number of ids."""
+    words = ids.select(F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS)).alias("bit")).selectExpr("cast(bit div 64 as int) as word", "shiftleft(1L, cast(bit % 64 as int)) as mask")
+    got = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    bits = np.zeros((1 << FILTER_BITS) // 64, np.int64)
+    bits[got["word"].to_numpy()] = got["mask"].to_numpy()
+    return bits
+
+
+def thinned(own: DataFrame, bits: np.ndarray) -> DataFrame:
+    """Rows (doc, text) whose id may be among those of the filter; an exact join follows."""
+    packed = bits.tobytes()
+    hashed = own.select("doc", "text", F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS)).alias("bit"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(packed, np.uint64)
+        for batch in batches:
+            at = batch.column(2).to_numpy().astype(np.uint64)
+            hit = known[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)
+            yield batch.filter(pa.array(hit.astype(bool))).select(["doc", "text"])
+
+    return hashed.mapInArrow(pick, own.schema)
+
+
 def id_text(id_col: str) -> str:
     """SQL for crc32 of an id's text (a null id counts as the empty text)."""
     return f"crc32(encode(coalesce(cast(`{id_col}` as string), ''), 'UTF-8'))"

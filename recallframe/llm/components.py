@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import stage_table
 
+#: Links for each partition of the tables.
+ROWS = 50_000
+
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest node reachable from each node that has a link: columns node, component.
@@ -19,24 +22,28 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     links = links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     links = stage_table(links.where(F.col("a") < F.col("b")).distinct(), "links")
     found = None
+    n = links.count()
     while True:
+        parts = 1 + n // ROWS  # of all tables of this round: none has more rows than two for each link
         both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-        up = stage_table(up.select("node", F.least("node", "m").alias("root")), "roots")
+        up = stage_table(up.select("node", F.least("node", "m").alias("root")), "roots", parts=parts)
         while True:
             above = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            jumped = stage_table(up.join(above, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "roots")
+            jumped = up.join(above, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
+            jumped = stage_table(jumped, "roots", parts=parts)
             moved = jumped.where("moved").limit(1).count()
             up = jumped.select("node", "root")
             if not moved:
                 break
         if found is None:
-            found = up
+            found, most = up, parts
         else:
             later = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            found = stage_table(found.join(later, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
-        pa_, pb_ = up.select(F.col("node").alias("a"), F.col("root").alias("ra")), up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        left = links.join(pa_, "a").join(pb_, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-        links = stage_table(left.distinct(), "links")
-        if not links.limit(1).count():
+            found = stage_table(found.join(later, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots", parts=most)
+        ra, rb = up.select(F.col("node").alias("a"), F.col("root").alias("ra")), up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        left = links.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+        links = stage_table(left.distinct(), "links", parts=parts)
+        n = links.count()
+        if not n:
             return found.select("node", F.col("root").alias("component"))

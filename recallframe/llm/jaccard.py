@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, WordHasher, bound_batches, stage_table, text_bytes, text_slices, window_hashes
+from .common import FILTER_BITS, SPACE_WORDS, WordHasher, bound_batches, drop_stage_table, filter_bits, stage_table, text_bytes, text_slices, window_hashes
 from .components import connected_components
 
 SHINGLE = 5
@@ -39,6 +39,8 @@ VERIFY_COST = 20.0
 FREQUENT = 1 << 17
 FREQUENT_FROM = 12
 LOCAL_COUNTERS = 1 << 20
+#: Postings of a group from which its documents' whole sets are looked at before pairs are formed.
+LARGE_GROUP = 64
 LOCAL_FROM = 3
 _HASHER: WordHasher | None = None
 
@@ -140,17 +142,25 @@ def prefixes(own: DataFrame, frequent: np.ndarray) -> DataFrame:
     return own.mapInArrow(cut, f"doc {own.schema['doc'].dataType.simpleString()}, n int, tokens array<long>")
 
 
-def set_table(own: DataFrame) -> DataFrame:
-    """doc and its whole set."""
+def set_table(own: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc and its whole set, for documents that stand in a pair (and few others). A bounded filter thins the
+    documents while they are read, so that texts are not shuffled; of rows that repeat an id one set stays."""
+    bits = filter_bits(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))))
+    packed = bits.tobytes()
+    hashed = own.select("doc", "text", F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS)).alias("bit"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(packed, np.uint64)
         for batch in batches:
+            at = batch.column(2).to_numpy().astype(np.uint64)
+            hit = known[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)
+            batch = batch.filter(pa.array(hit.astype(bool)))
             lists = list(shingle_sets(batch.column(1)))
             flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
             off = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["doc", "items"])
 
-    return own.mapInArrow(sets, f"doc {own.schema['doc'].dataType.simpleString()}, items array<long>")
+    return hashed.mapInArrow(sets, f"doc {own.schema['doc'].dataType.simpleString()}, items array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -161,6 +171,22 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(f"i > 0 and {DENOMINATOR} * i >= {NUMERATOR} * (s - i)").select("a", "b")
 
 
+def shareable_sizes(mixed: DataFrame, own: DataFrame) -> DataFrame:
+    """For documents of large groups the number of their shingles that any other such document has (doc, s).
+
+    Documents that meet in a large group both have this number, and their overlap can't exceed the smaller one: a
+    document with many shingles of its own leaves the group before pairs are formed. One pass over the shingles of
+    these documents, whose counts are combined before they are shuffled.
+    """
+    large = mixed.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= LARGE_GROUP).select("token")
+    docs = stage_table(mixed.select("token", "doc").join(large, "token").select("doc").distinct(), "large")
+    items = set_table(own, docs.select(F.col("doc").alias("a"), F.col("doc").alias("b"))).join(docs, "doc")
+    items = stage_table(items.select("doc", F.explode("items").alias("item")), "items", release=True)
+    common = items.groupBy("item").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("item")
+    counted = items.join(common, "item").groupBy("doc").agg(F.countDistinct("item").cast("int").alias("s"))
+    return docs.join(counted, "doc", "left").select("doc", F.coalesce("s", F.lit(0)).alias("s"))
+
+
 def _similar_sizes(m: str, n: str) -> str:
     return f"{DENOMINATOR} * least({m}, {n}) >= {NUMERATOR} * greatest({m}, {n})"
 
@@ -170,49 +196,62 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     bound_batches(spark)
     own = docs.select(docs[id_col].alias("doc"), docs[text_col].cast("string").alias("text"))
-    table = stage_table(prefixes(own, frequent_shingles(own)), "prefixes")
+    table = stage_table(prefixes(own, frequent_shingles(own)), "prefixes", release=True)
     own = own.where("doc is not null")
-    sizes = table.select("doc", "n")
-    # level: the least l whose l-prefix holds the shingle
-    first = f"n - (({NUMERATOR} * n + {DENOMINATOR - 1}) div {DENOMINATOR})"
+    sizes = stage_table(table.select("doc", "n"), "sizes")
+    # a posting holds the size and the place in one number; its level is the least l whose l-prefix holds it
     entries = table.where("doc is not null and n > 0").select("doc", "n", F.posexplode("tokens").alias("pos", "token"))
-    entries = entries.select("token", "doc", "n", "pos", F.expr(f"cast(greatest(1, pos - ({first}) + 1) as int)").alias("level"))
-    groups = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("doc").alias("rep"), F.max("doc").alias("far"))
-    groups = stage_table(groups.where("rep <> far").select("token", "df", "rep"), "groups")
-    posts = stage_table(entries.join(groups, "token").select("token", "doc", "n", "pos", "level", "df", "rep"), "posts")
+    entries = entries.select("token", "doc", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("place"))
+    groups = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("doc").alias("rep"))
+    groups = stage_table(groups.where("df > 1"), "groups", release=True)
+    posts = stage_table(entries.join(groups, "token").select("token", "doc", "place", "df", "rep"), "posts", release=True)
+    drop_stage_table(table)
+    drop_stage_table(groups)
+    posts = posts.select("token", "doc", "df", "rep", F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND((1 << 32) - 1).cast("int").alias("pos"))
+    first = f"n - (({NUMERATOR} * n + {DENOMINATOR - 1}) div {DENOMINATOR})"
+    posts = posts.withColumn("level", F.expr(f"cast(greatest(1, pos - ({first}) + 1) as int)"))
 
-    # each document's l: entries met in the l-prefix, and at most a l-th of them as candidates
+    # each document's l: postings met in the l-prefix, and at most an l-th of them as candidates
     met = [F.sum(F.when(F.col("level") <= k, F.col("df") - 1).otherwise(0)).alias(f"c{k}") for k in range(1, MAX_MATCHES + 1)]
     cost = [F.struct((F.col(f"c{k}") * (1 + VERIFY_COST / k)).alias("cost"), F.lit(k).alias("l")) for k in range(1, MAX_MATCHES + 1)]
-    chosen = posts.groupBy("doc", "n").agg(*met).groupBy("doc").agg(F.max("n").alias("n"), *[F.max(f"c{k}").alias(f"c{k}") for k in range(1, MAX_MATCHES + 1)])
-    # all of a prefix of a small set may be shared without l elements: then l is what the set has
-    chosen = stage_table(chosen.select("doc", "n", F.least(F.least(*cost)["l"], F.expr(f"greatest(1, (({NUMERATOR} * n + {DENOMINATOR - 1}) div {DENOMINATOR}))")).alias("l")), "matches")
-
-    sets = own.join(chosen.select("doc"), "doc", "left_semi")
-    sets = stage_table(set_table(sets).groupBy("doc").agg(F.min("items").alias("items")), "sets")
+    chosen = posts.groupBy("doc").agg(F.max("n").alias("n"), *met)
+    # a small set can't share more elements than similarity asks for
+    most = f"greatest(1, ({NUMERATOR} * n + {DENOMINATOR - 1}) div {DENOMINATOR})"
+    chosen = stage_table(chosen.select("doc", "n", F.least(F.least(*cost)["l"], F.expr(most)).alias("l")), "matches")
 
     # a document against the representative with which it shares most
-    near = posts.where("doc <> rep").groupBy("doc", "n", "rep").agg(F.count(F.lit(1)).alias("shared"))
+    near = posts.where("doc <> rep").groupBy("doc", "n", "rep").agg(F.count(F.lit(1)).alias("shared")).where(f"shared >= least({MAX_MATCHES}, {most})")
     near = near.join(chosen.select(F.col("doc").alias("rep"), F.col("n").alias("m")), "rep").where(_similar_sizes("n", "m"))
     near = near.groupBy("doc").agg(F.max(F.struct("shared", "rep")).alias("best")).select(F.col("doc").alias("a"), F.col("best.rep").alias("b"))
-    links = stage_table(verified(near, sets), "links")
+    near = stage_table(near, "near", release=True)
+    sets = stage_table(set_table(own, near), "sets")
+    links = stage_table(verified(near, sets), "links", release=True)
+    drop_stage_table(sets)
     found = stage_table(connected_components(links), "components")
 
     # what is left: pairs of a group in different components
     comp = found.select(F.col("node").alias("doc"), "component")
     state = chosen.join(comp, "doc", "left").select("doc", "l", F.coalesce("component", "doc").alias("comp"))
     state = posts.select("token", "doc", "n", "pos", "level").join(state, "doc").where("level <= l")
-    state = stage_table(state, "state")
+    state = stage_table(state, "state", release=True)
     share = state.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
     major = share.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", F.col("top.comp").alias("major"))
     major = stage_table(major, "mixed")
-    mixed = stage_table(state.join(major, "token"), "mixed")
-    a = mixed.where("comp <> major").select("token", *[F.col(c).alias(f"a_{c}") for c in ("doc", "n", "pos", "level", "l", "comp")])
-    b = mixed.select("token", "major", *[F.col(c).alias(f"b_{c}") for c in ("doc", "n", "pos", "level", "l", "comp")])
-    bound = f"({NUMERATOR} * (a_n + b_n) + {NUMERATOR + DENOMINATOR - 1}) div {NUMERATOR + DENOMINATOR}"
-    rule = f"a_comp <> b_comp and (b_comp = major or a_doc < b_doc) and {_similar_sizes('a_n', 'b_n')} and greatest(a_level, b_level) <= least(a_l, b_l) and least(a_pos, b_pos) + least(a_n - a_pos, b_n - b_pos) >= {bound}"
-    pairs = a.join(b, "token").where(rule).groupBy(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.min(F.least("a_l", "b_l")).alias("need"))
-    more = stage_table(verified(pairs.where("k >= need"), sets), "links")
+    mixed = stage_table(state.join(major, "token"), "mixed", release=True)
+    shareable = stage_table(shareable_sizes(mixed, own), "shareable", release=True)
+    mixed = mixed.join(shareable, "doc", "left")
+    cols = ("doc", "n", "pos", "level", "l", "comp", "s")
+    a = mixed.where("comp <> major").select("token", *[F.col(c).alias(f"a_{c}") for c in cols])
+    b = mixed.select("token", "major", *[F.col(c).alias(f"b_{c}") for c in cols])
+    overlap = f"(({NUMERATOR} * (a_n + b_n) + {NUMERATOR + DENOMINATOR - 1}) div {NUMERATOR + DENOMINATOR})"
+    rule = f"""a_comp <> b_comp and (b_comp = major or a_doc < b_doc) and {_similar_sizes('a_n', 'b_n')} and greatest(a_level, b_level) <= least(a_l, b_l)
+        and least(a_pos, b_pos) + least(a_n - a_pos, b_n - b_pos) >= {overlap} and (a_s is null or b_s is null or least(a_s, b_s) >= {overlap})"""
+    # of the l-prefix of the set that ends first, no more may be missing than the overlap allows
+    largest = "greatest(a_n, b_n)"
+    need = F.expr(f"least(a_l, b_l) + {overlap} - (({NUMERATOR} * {largest} + {DENOMINATOR - 1}) div {DENOMINATOR})")
+    pairs = a.join(b, "token").where(rule).groupBy(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.min(need).alias("need"))
+    pairs = stage_table(pairs.where("k >= need").select("a", "b"), "pairs", release=True)
+    more = stage_table(verified(pairs, stage_table(set_table(own, pairs), "sets")), "links", release=True)
     if more.limit(1).count():
         found = connected_components(links.unionByName(more))
     return sizes, found
