@@ -17,11 +17,10 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import SPACE_WORDS, WordHasher, bound_batches, stage_table, text_bytes, text_slices, window_hashes
+from .common import SPACE_WORDS, WordHasher, bound_batches, filter_bits, stage_table, text_bytes, text_slices, thinned, window_hashes
 
 K, WINDOW = 6, 8
 #: Words of a reported passage, and of a chain that may become part of one.
@@ -33,8 +32,6 @@ MAX_GAP, GAP_COST = 240, 0.25
 MIN_CHAIN_BYTES = 60
 #: Bytes of text on either side of a chain in which its ends are sought.
 MARGIN = 600
-#: Bits of the bounded filter that thins the documents to be aligned (2 MB, whatever the input).
-FILTER_BITS = 24
 _HASHER: WordHasher | None = None
 
 
@@ -275,28 +272,6 @@ def aligned_table(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, f"doc {id_type}, start_byte int, end_byte int, other {id_type}, other_start int, other_end int, n_words int, n_equal int")
 
 
-def filter_bits(ids: DataFrame) -> np.ndarray:
-    """A bounded bitmap of the ids' hashes: FILTER_BITS fix its size, whatever the number of ids."""
-    words = ids.select(F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS)).alias("bit")).selectExpr("cast(bit div 64 as int) as word", "shiftleft(1L, cast(bit % 64 as int)) as mask")
-    got = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    bits = np.zeros((1 << FILTER_BITS) // 64, np.int64)
-    bits[got["word"].to_numpy()] = got["mask"].to_numpy()
-    return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
-
-
-def thinned(own: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Documents whose id may be among those of the filter."""
-    packed = np.packbits(bits).tobytes()
-    hashed = own.select("doc", "text", F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS)).alias("bit"))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
-        for batch in batches:
-            yield batch.filter(pa.array(known[batch.column(2).to_numpy()])).select(["doc", "text"])
-
-    return hashed.mapInArrow(pick, own.schema)
-
-
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per passage of at least MIN_WORDS words that an earlier document holds too, exactly or nearly:
     doc_id, start_byte, end_byte, n_words, src_doc_id, src_start, src_end, identity.
@@ -325,8 +300,6 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def joined_parts(parts: DataFrame) -> DataFrame:
     """Unite parts of a document that overlap or nearly touch; report what is long enough."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("doc").orderBy("start_byte", "end_byte", "other", "other_start")
     reach = F.max("end_byte").over(w.rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.withColumn("new", F.when(F.col("start_byte") > F.coalesce(reach, F.lit(-100)) + 12, 1).otherwise(0))
