@@ -90,8 +90,11 @@ def split_unique(rows: np.ndarray, ids: np.ndarray, n: int) -> list[np.ndarray]:
 def fit_severity(docs: DataFrame, labels: DataFrame, value: str = "toxic", bound: int = MAX_TRAIN) -> SeverityModel | None:
     """Fit on at most ``bound`` labelled documents whose crc32(doc_id) mod 5 is not 0."""
     sample = labelled_sample(docs, labels, value, f"{id_text('doc_id')} % {HOLD_OUT} <> 0", bound)
-    got = sparse_features(sample).toArrow().sort_by("doc_id")
-    return fit_grades([np.asarray(x, dtype=np.int64) for x in got["ids"].to_pylist()], np.asarray(got["value"].to_pylist(), dtype=np.int64))
+    got = sparse_features(sample).toArrow().sort_by("doc_id").combine_chunks()
+    if not len(got):
+        return None
+    ids = got["ids"].chunk(0)
+    return fit_grades(np.split(ids.values.to_numpy(), ids.offsets.to_numpy()[1:-1]), got["value"].to_numpy())
 
 
 def fit_grades(lists: list[np.ndarray], toxic: np.ndarray) -> SeverityModel | None:
