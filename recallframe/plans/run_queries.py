@@ -228,7 +228,7 @@ def user_rates(spark: SparkSession, d: str) -> DataFrame:
 def wilson_by_language(spark: SparkSession, d: str) -> DataFrame:
     own = read(spark, d, "documents").select("doc_id", "lang").join(read(spark, d, "labels"), "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("quality") == 1).alias("k"))
     ci = N.wilson("k", "total")
-    inside = guards.require(own.withColumn("ci", ci), (F.col("ci.lower") <= F.col("k") / F.col("total")) & (F.col("ci.upper") >= F.col("k") / F.col("total")), "interval misses its share")
+    inside = guards.require(own.withColumn("ci", ci), (F.col("ci.lower") <= F.col("k") / F.col("total") + 1e-9) & (F.col("ci.upper") >= F.col("k") / F.col("total") - 1e-9), "interval misses its share")
     return inside.select("lang", "total", F.round(N.safe_ratio("k", "total"), 6).alias("share"))
 
 
