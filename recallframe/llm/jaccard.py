@@ -249,7 +249,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # of the l-prefix of the set that ends first, no more may be missing than the overlap allows
     largest = "greatest(a_n, b_n)"
     need = F.expr(f"least(a_l, b_l) + {overlap} - (({NUMERATOR} * {largest} + {DENOMINATOR - 1}) div {DENOMINATOR})")
-    pairs = a.join(b, "token").where(rule).groupBy(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.min(need).alias("need"))
+    # which side a document stands on changes from token to token: a pair is counted under its ordered ids
+    pair = F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b")
+    pairs = a.join(b, "token").where(rule).groupBy(*pair).agg(F.count(F.lit(1)).alias("k"), F.min(need).alias("need"))
     pairs = stage_table(pairs.where("k >= need").select("a", "b"), "pairs", release=True)
     more = stage_table(verified(pairs, stage_table(set_table(own, pairs), "sets")), "links", release=True)
     if more.limit(1).count():

@@ -61,3 +61,24 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_bridges_between_components(spark):
+    """Families of variants around the threshold, each in several copies: a pair's shared tokens meet under several
+    largest components."""
+    rng = random.Random(11)
+    rows, n = [], 0
+    for g in range(150):
+        size = rng.randint(14, 60)
+        base = [f"f{g}_{i}" for i in range(size)]
+        for v in range(rng.randint(2, 6)):
+            variant = list(base)
+            for _ in range(rng.choice([1, 1, 2])):
+                variant[rng.choice([rng.randrange(size), size - 1 - rng.randrange(3), rng.randrange(3)])] = f"v{g}_{v}_{rng.randrange(10**6)}"
+            for _ in range(rng.randint(2, 7)):
+                rows.append((n, " ".join(variant), "en", f"s{g}", 1))
+                n += 1
+    ids = list(range(n))
+    rng.shuffle(ids)
+    rows = [(ids[i], *r[1:]) for i, r in enumerate(rows)]
+    assert len(check(documents(spark, rows))) > 3000
