@@ -1,5 +1,5 @@
 """Substring dedup by collinear chaining: shared k-mer seeds are joined, matches in the same order in two documents
-are chained with gap costs through a Fenwick tree, and chains are aligned to find fuzzy passages.
+are chained with gap costs through a tree of maxima, and chains are aligned to find fuzzy passages.
 
 Seeds are the minimizers of each document's word k-mers, so that every run of ``K + WINDOW - 1`` equal words shares
 one. Each seed joins its first occurrence in the corpus (the smallest document id), never all pairs of occurrences;
@@ -86,25 +86,33 @@ def seed_table(own: DataFrame) -> DataFrame:
 
 
 class MaxTree:
-    """Fenwick tree of prefix maxima with the index that attains each."""
+    """Segment tree of maxima with the index that attains each; unlike a Fenwick tree's, its values can be removed."""
+
+    NONE = (-1e18, -1)
 
     def __init__(self, n: int):
-        self.best = [(-1e18, -1)] * (n + 1)
-
-    def put(self, i: int, value: float, index: int) -> None:
-        i += 1
-        while i < len(self.best):
-            if value > self.best[i][0]:
-                self.best[i] = (value, index)
-            i += i & -i
-
-    def upto(self, i: int) -> tuple[float, int]:
-        """Largest value at places below i."""
-        top = (-1e18, -1)
-        while i > 0:
-            if self.best[i][0] > top[0]:
-                top = self.best[i]
-            i -= i & -i
+        self.size = 1 << max(n - 1, 0).bit_length()
+        self.best = [self.NONE] * (2 * self.size)
+
+    def put(self, i: int, value: tuple[float, int]) -> None:
+        i += self.size
+        self.best[i] = value
+        while i > 1:
+            i >>= 1
+            self.best[i] = max(self.best[2 * i], self.best[2 * i + 1])
+
+    def between(self, lo: int, hi: int) -> tuple[float, int]:
+        """Largest value at places from lo on and below hi."""
+        top = self.NONE
+        lo, hi = lo + self.size, hi + self.size
+        while lo < hi:
+            if lo & 1:
+                top = max(top, self.best[lo])
+                lo += 1
+            if hi & 1:
+                hi -= 1
+                top = max(top, self.best[hi])
+            lo, hi = lo >> 1, hi >> 1
         return top
 
 
@@ -121,25 +129,32 @@ def chains(found: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int,
     """Best collinear chains of anchors sorted by their start, best first, each anchor in one chain at most.
 
     A chain's score is the bytes of its anchors less GAP_COST for every byte skipped in either document. The part
-    of the gap cost that depends on the predecessor alone is stored with it, so that the best one is a prefix
-    maximum over the other document's positions.
+    of the gap cost that depends on the predecessor alone is stored with it, so that the best one is a maximum over
+    the other document's positions within MAX_GAP; anchors that end too far back are taken out before.
     """
     if len(found) == 1:
         return [found]
-    places = sorted({a[3] for a in found})
-    tree = MaxTree(len(places))
+    order = sorted(range(len(found)), key=lambda i: found[i][3])
+    ends = [found[i][3] for i in order]
+    place = [0] * len(found)
+    for n, i in enumerate(order):
+        place[i] = n
+    tree = MaxTree(len(found))
     score, back = [0.0] * len(found), [-1] * len(found)
     by_end = sorted(range(len(found)), key=lambda i: found[i][1])
-    done = 0
+    done = gone = 0
     for i in sorted(range(len(found)), key=lambda i: found[i][0]):
         s, e, cs, ce = found[i]
         while done < len(by_end) and found[by_end[done]][1] <= s:
             j = by_end[done]
-            tree.put(bisect.bisect_left(places, found[j][3]), score[j] + GAP_COST * (found[j][1] + found[j][3]), j)
+            tree.put(place[j], (score[j] + GAP_COST * (found[j][1] + found[j][3]), j))
             done += 1
+        while gone < done and found[by_end[gone]][1] < s - MAX_GAP:
+            tree.put(place[by_end[gone]], MaxTree.NONE)
+            gone += 1
         score[i] = float(e - s)
-        value, j = tree.upto(bisect.bisect_right(places, cs))
-        if j >= 0 and s - found[j][1] <= MAX_GAP and cs - found[j][3] <= MAX_GAP and value - GAP_COST * (s + cs) > 0:
+        value, j = tree.between(bisect.bisect_left(ends, cs - MAX_GAP), bisect.bisect_right(ends, cs))
+        if j >= 0 and value - GAP_COST * (s + cs) > 0:
             score[i] += value - GAP_COST * (s + cs)
             back[i] = j
     used = [False] * len(found)

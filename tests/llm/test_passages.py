@@ -98,3 +98,24 @@ def test_awkward_and_empty(spark):
     assert {r.doc_id: r.text for r in kept.collect()} == {r.doc_id: r.text for r in docs.collect()}
     assert P.repeated_passages(docs.where("false")).count() == 0
     assert P.cut_passages(docs.where("false")).count() == 0
+
+
+def test_best_chain_within_reach_equals_quadratic_score():
+    """A predecessor with a large score that lies too far off doesn't hide a nearer one."""
+    rng = random.Random(8)
+    for n in range(300):
+        found = {(s := rng.randrange(0, 900, 10), s + 10, c := rng.randrange(0, 900, 10), c + 10) for _ in range(rng.randint(2, 40))}
+        if n % 2:
+            found = {(a + 1000, b + 1000, c + 1000, d + 1000) for a, b, c, d in found} | {(0, 600, 0, 600)}
+        found = sorted(found)
+        best = {}
+        for i in found:
+            best[i] = float(i[1] - i[0])
+            for j in best:
+                gap = (i[0] - j[1], i[2] - j[3])
+                if min(gap) >= 0 and max(gap) <= P.MAX_GAP:
+                    best[i] = max(best[i], i[1] - i[0] + best[j] - P.GAP_COST * sum(gap))
+        score = lambda c: sum(a[1] - a[0] for a in c) - P.GAP_COST * sum((b[0] - a[1]) + (b[2] - a[3]) for a, b in zip(c, c[1:], strict=False))
+        assert abs(max(score(c) for c in P.chains(found)) - max(best.values())) < 1e-9
+    near = [(1000 + 60 * i, 1040 + 60 * i, 1000 + 60 * i, 1040 + 60 * i) for i in range(6)]
+    assert sorted(P.chains([(0, 600, 0, 600), *near]), key=len) == [[(0, 600, 0, 600)], near]
