@@ -2,8 +2,8 @@
 are chained with gap costs through a tree of maxima, and chains are aligned to find fuzzy passages.
 
 Seeds are the minimizers of each document's word k-mers, so that every run of ``K + WINDOW - 1`` equal words shares
-one. Each seed joins its first occurrence in the corpus (the smallest document id), never all pairs of occurrences;
-a passage's first document is what its later ones point at. Spans are bytes of the UTF-8 text.
+one. Every place of a seed joins the seed's first occurrence in the corpus (the smallest document id), never all pairs
+of occurrences; a passage's first document is what its later ones point at. Spans are bytes of the UTF-8 text.
 
 A null or empty text has no passages. ``doc_id`` identifies a document: of rows that repeat an id, equal texts
 share their passages, and no document matches itself. Null ids take no part.
@@ -53,7 +53,7 @@ def minimizers(values: np.ndarray) -> np.ndarray:
 
 
 def seed_table(own: DataFrame) -> DataFrame:
-    """h, doc, b (first byte) and e (end byte) of each document's seeds, a seed's first place only."""
+    """h, doc, b (first byte) and e (end byte) of each document's seeds, at all their places."""
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = hasher()
@@ -70,9 +70,8 @@ def seed_table(own: DataFrame) -> DataFrame:
                     a, b = int(edge[i]), int(edge[i + 1]) - K + 1
                     if b > a:
                         at = a + minimizers(grams[a:b])
-                        _, once = np.unique(grams[at], return_index=True)
-                        take.append(at[once])
-                        owner.append(np.full(len(once), i))
+                        take.append(at)
+                        owner.append(np.full(len(at), i))
                 if not take:
                     continue
                 at, who = np.concatenate(take), np.concatenate(owner)

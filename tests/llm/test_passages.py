@@ -119,3 +119,17 @@ def test_best_chain_within_reach_equals_quadratic_score():
         assert abs(max(score(c) for c in P.chains(found)) - max(best.values())) < 1e-9
     near = [(1000 + 60 * i, 1040 + 60 * i, 1000 + 60 * i, 1040 + 60 * i) for i in range(6)]
     assert sorted(P.chains([(0, 600, 0, 600), *near]), key=len) == [[(0, 600, 0, 600)], near]
+
+
+def test_every_copy_within_a_document_is_found(spark):
+    """A later document that holds a passage three times, and one whose passage begins with a line that it quotes before."""
+    rng = random.Random(9)
+    a, b, p, q = text(rng, 40, "a"), text(rng, 60, "b"), text(rng, 70, "p"), text(rng, 48, "q")
+    docs = documents(spark, [
+        (1, " ".join(a + p + a[::-1] + q), "en", "s", 1), (2, " ".join(b[:20] + p + b[20:40] + p + b[40:] + p + b[:5]), "en", "s", 1),
+        (3, " ".join(q[:20] + text(rng, 60, "c") + q + text(rng, 9, "d")), "en", "s", 1),
+    ])
+    texts = {r.doc_id: r.text.encode() for r in docs.collect()}
+    got = sorted(P.repeated_passages(docs).collect(), key=lambda r: (r.doc_id, r.start_byte))
+    assert [(r.doc_id, texts[r.doc_id][r.start_byte : r.end_byte].decode().split()) for r in got] == [(2, p)] * 3 + [(3, q)]
+    assert not set(p) & set(P.cut_passages(docs).where("doc_id = 2").first().text.split())
