@@ -32,6 +32,9 @@ MAX_GAP, GAP_COST = 240, 0.25
 MIN_CHAIN_BYTES = 60
 #: Bytes of text on either side of a chain in which its ends are sought.
 MARGIN = 600
+#: Past a chain's ends: score that a word costs which has no equal, how far the score may fall below its best, and how
+#: many words one side may run ahead of the other.
+WORD_COST, MAX_DROP, BAND = 2, 8, 4
 _HASHER: WordHasher | None = None
 
 
@@ -237,10 +240,39 @@ def common_words(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - v.bit_count()
 
 
+def grown(a: list[bytes], b: list[bytes]) -> tuple[int, int, int]:
+    """Words of a, words of b and equal words by which an alignment grows over their beginnings: banded, through
+    mismatches, until the score falls MAX_DROP below its best; it ends where the best score is first reached."""
+    n = 0
+    while n < len(a) and n < len(b) and a[n] == b[n]:
+        n += 1
+    top, reached = n, (n, n, n)
+    row = {n + k: (n - WORD_COST * k, n) for k in range(BAND + 1) if n + k <= len(b)}
+    for i in range(n + 1, len(a) + 1):
+        above, row = row, {}
+        for j in range(max(n, i - BAND), min(len(b), i + BAND) + 1):
+            best = (-(10**9), 0)
+            if j - 1 in above:
+                score, equal = above[j - 1]
+                best = (score + 1, equal + 1) if a[i - 1] == b[j - 1] else (score - WORD_COST, equal)
+            if j in above:
+                best = max(best, (above[j][0] - WORD_COST, above[j][1]))
+            if j - 1 in row:
+                best = max(best, (row[j - 1][0] - WORD_COST, row[j - 1][1]))
+            if best[0] >= top - MAX_DROP:
+                row[j] = best
+                if best[0] > top:
+                    top, reached = best[0], (i, j, best[1])
+        if not row:
+            break
+    return reached
+
+
 def align(x: bytes, y: bytes, spans: list[tuple[int, int, int, int]], open_left: bool, open_right: bool) -> tuple[int, int, int, int, int, int] | None:
     """Align two slices along a chain: (start, end, other start, other end, words, equal words) in bytes of the slices.
 
-    Ends grow over equal words. ``open_left``/``open_right``: a word cut by the slice's edge may stand there.
+    Ends grow over equal words, and through mismatches as long as the identity stays MIN_IDENTITY. ``open_left``/
+    ``open_right``: a word cut by the slice's edge may stand there.
     """
     wx, sx, ex = _words(x)
     wy, sy, ey = _words(y)
@@ -263,9 +295,31 @@ def align(x: bytes, y: bytes, spans: list[tuple[int, int, int, int]], open_left:
     high = 2 if open_right else 1
     while p < len(wx) - high and q < len(wy) - high and wx[p + 1] == wy[q + 1]:
         p, q, equal = p + 1, q + 1, equal + 1
+    m, n, same = grown(wx[low:i][::-1], wy[low:j][::-1])
+    if equal + same >= MIN_IDENTITY * (max(p - i + m, q - j + n) + 1):
+        i, j, equal = i - m, j - n, equal + same
+    m, n, same = grown(wx[p + 1 : len(wx) - high + 1], wy[q + 1 : len(wy) - high + 1])
+    if equal + same >= MIN_IDENTITY * (max(p - i + m, q - j + n) + 1):
+        p, q, equal = p + m, q + n, equal + same
     return int(sx[i]), int(ex[p]), int(sy[j]), int(ey[q]), max(p - i, q - j) + 1, equal
 
 
+def aligned(x: bytes, y: bytes, spans: list[tuple[int, int, int, int]], open_left: bool, open_right: bool) -> list[tuple[int, int, int, int, int, int]]:
+    """Alignments of a chain that reach MIN_IDENTITY: a chain that doesn't is parted at its widest gap, so that a good
+    part isn't lost by what was chained to it."""
+    out, left = [], [spans]
+    while left:
+        part = left.pop()
+        got = align(x, y, part, open_left, open_right)
+        if got and got[5] >= MIN_IDENTITY * got[4]:
+            out.append(got)
+        elif len(part) > 1:
+            gaps = [b[0] - a[1] + b[2] - a[3] for a, b in zip(part, part[1:], strict=False)]
+            at = gaps.index(max(gaps)) + 1
+            left += [part[at:], part[:at]]
+    return out
+
+
 def aligned_table(rows: DataFrame) -> DataFrame:
     """Aligned spans of chains with the two slices of text (doc, other, spans, x, x_at, y, y_at)."""
     id_type = rows.schema["doc"].dataType.simpleString()
@@ -277,8 +331,9 @@ def aligned_table(rows: DataFrame) -> DataFrame:
             for r in batch.to_pylist():
                 x_at, y_at = r["x_at"], r["y_at"]
                 spans = [(s["b"] - x_at, s["e"] - x_at, s["c"] - y_at, s["f"] - y_at) for s in r["spans"]]
-                got = align(r["x"], r["y"], spans, x_at > 0 or y_at > 0, True)
-                if got and got[4] >= MIN_CHAIN_WORDS and got[5] >= MIN_IDENTITY * got[4]:
+                for got in aligned(r["x"], r["y"], spans, x_at > 0 or y_at > 0, True):
+                    if got[4] < MIN_CHAIN_WORDS:
+                        continue
                     out.append((r["doc"], got[0] + x_at, got[1] + x_at, r["other"], got[2] + y_at, got[3] + y_at, got[4], got[5]))
             kinds = [batch.column(0).type, pa.int32(), pa.int32(), batch.column(0).type, pa.int32(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)

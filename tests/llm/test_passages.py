@@ -133,3 +133,32 @@ def test_every_copy_within_a_document_is_found(spark):
     got = sorted(P.repeated_passages(docs).collect(), key=lambda r: (r.doc_id, r.start_byte))
     assert [(r.doc_id, texts[r.doc_id][r.start_byte : r.end_byte].decode().split()) for r in got] == [(2, p)] * 3 + [(3, q)]
     assert not set(p) & set(P.cut_passages(docs).where("doc_id = 2").first().text.split())
+
+
+def test_edits_near_the_ends_are_passed(spark):
+    """Passages of 51 to 60 words with a word changed, left out or put in a few words from an end."""
+    rng = random.Random(10)
+    rows = []
+    for n in range(180):
+        size, edits = [(51, [6]), (51, [7]), (51, [43]), (53, [9]), (60, [8, 51]), (56, [4, 50])][n % 6]
+        p = text(rng, size, f"p{n}_")
+        edited = list(p)
+        for at in reversed(edits):
+            edited[at : at + 1] = [["e"], [], [p[at], "e"]][n // 6 % 3]
+        for i, piece in ((n, p), (1000 + n, edited)):
+            own = text(rng, 40, "w")
+            rows.append((i, " ".join(own[:20] + piece + own[20:]), "en", "s", 1))
+    got = {r.doc_id: r for r in P.repeated_passages(documents(spark, rows)).collect()}
+    assert set(got) == set(range(1000, 1180))
+    texts = {r[0]: r[1] for r in rows}
+    for n, r in got.items():
+        assert texts[n][r.start_byte : r.end_byte].split() == texts[n].split()[20:-20] and r.identity >= 0.9
+
+
+def test_growing_ends():
+    w = lambda s: [x.encode() for x in s]
+    assert P.grown([], w("ab")) == P.grown(w("ab"), []) == P.grown(w("ab"), w("xy")) == (0, 0, 0)
+    assert P.grown(w("abcdefg"), w("abcdefgh")) == (7, 7, 7)
+    assert P.grown(w("abXcdefg"), w("abYcdefg")) == (8, 8, 7)
+    assert P.grown(w("Xcdefg"), w("cdefg")) == (6, 5, 5) and P.grown(w("cdefg"), w("Xcdefg")) == (5, 6, 5)
+    assert P.grown(w("abXc"), w("abYc")) == (2, 2, 2)
