@@ -42,9 +42,9 @@ UNKNOWN_OPENNESS = 0.3
 #: A with-exception loosens its licence by this share of what is missing to 1.
 EXCEPTION_SHARE = 0.5
 TAG = "spdx license identifier"
-MAX_EXPRESSION = 400
 _BINDS = {"or": 1, "and": 2, "with": 3}
-_TOKEN = re.compile(r"\(|\)|[a-z0-9.+-]+")
+#: The last kind ends a line, as for str.splitlines.
+_TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+-]+|[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]")
 
 
 def label_of(identifier: str) -> str:
@@ -82,10 +82,14 @@ def to_postfix(tokens: list[str]) -> list[str]:
     return out
 
 
-def evaluate(expression: str) -> tuple[set[str], float | None]:
-    """Labels and openness of a licence expression: OR takes the freer side, AND the stricter."""
+def evaluate(text: str, start: int = 0) -> tuple[set[str], float | None]:
+    """Labels and openness of the licence expression at ``start``, which ends with its line at the latest: OR takes the
+    freer side, AND the stricter."""
     tokens, awaited = [], True
-    for t in _TOKEN.findall(expression.lower()):
+    for m in _TOKEN.finditer(text, start):  # lazily: what follows the expression isn't read
+        t = m[0].lower()
+        if t.isspace():
+            break
         operand = t not in _BINDS and t not in "()"
         if (operand or t == "(") and not awaited:
             break  # two operands without an operator: prose follows the expression
@@ -164,8 +168,7 @@ def scan_text(text: str | None) -> tuple[int, int, int | None, int | None, list[
             base_labels.add(label)
     if tags:
         for m in re.finditer(r"(?i)spdx[^0-9a-z\x80-\U0010ffff]+license[^0-9a-z\x80-\U0010ffff]+identifier\s*:?", text or ""):
-            rest = text[m.end() : m.end() + MAX_EXPRESSION].splitlines()
-            own, score = evaluate(rest[0] if rest else "")
+            own, score = evaluate(text, m.end())
             labels |= own
             if score is not None:
                 scores.append(score)

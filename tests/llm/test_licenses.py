@@ -36,3 +36,11 @@ def test_awkward(spark):
 
 def test_empty(spark):
     assert L.scan_licenses(awkward(spark).where("false")).count() == 0
+
+
+def test_long_expressions_are_read_to_their_end():
+    long = "SPDX-License-Identifier: " + " AND ".join(["MIT", "Apache-2.0", "BSD-3-Clause"] * 30)
+    n = L.scan_text(f"{long} AND (CC0-1.0 OR ISC) AND AGPL-3.0 which is prose\nAND GPL-3.0-only")
+    assert n[5] == ["agpl", "apache", "bsd", "cc0", "isc", "mit"] and n[6] == 0.4
+    assert L.scan_text("SPDX-License-Identifier: " + "(" * 395 + "MIT OR Zlib" + ")" * 395)[5] == ["mit", "zlib"]
+    assert L.scan_text("SPDX-License-Identifier:\nMIT")[5] == []
