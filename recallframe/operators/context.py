@@ -119,12 +119,13 @@ def is_memory_prefix(memory: Column, prompt: Column) -> Column:
 def route_requests(requests: DataFrame, memories: DataFrame) -> DataFrame:
     """Each request's memory: by its user where it names one, else the first memory that its prompt begins with.
 
-    Prefix candidates meet on the length and hash of the prefix, not as all pairs.
+    Prefix candidates meet on the length and hash of the prefix, not as all pairs. A prompt tries every length that a
+    memory has, however many there are.
     """
     named = requests.where("user_id is not null").join(memories.select("user_id", F.col("tokens").alias("memory")), "user_id", "left")
     named = named.select("request_id", "user_id")
     lengths = memories.select(F.size("tokens").alias("len")).distinct()
-    free = requests.where("user_id is null").crossJoin(F.broadcast(lengths.limit(10_000))).where(F.size("prompt") > F.col("len"))
+    free = requests.where("user_id is null").crossJoin(lengths).where(F.size("prompt") > F.col("len"))
     free = free.withColumn("h", F.xxhash64(F.slice("prompt", F.lit(1), F.col("len"))))
     own = memories.select("user_id", "ord", "tokens", F.size("tokens").alias("len"), F.xxhash64("tokens").alias("h"))
     hit = free.drop("user_id").join(own, ["len", "h"]).where(F.slice("prompt", F.lit(1), F.col("len")) == F.col("tokens"))

@@ -344,3 +344,10 @@ def test_streams_agree_with_batches(spark, tmp_path):
     assert sorted(map(key, spark.table("hourly").collect())) == sorted(map(key, batch.collect()))
     E.append_json_lines(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.json(str(tmp_path / "out")).count() == src.count()
+
+
+def test_requests_meet_memories_of_every_length(spark):
+    tokens = lambda n: F.array_repeat(F.col("id").cast("short"), (F.col("id") + n).cast("int"))
+    mem = spark.range(10_600, 0, -1).select(F.col("id").alias("user_id"), F.col("id").alias("ord"), tokens(0).alias("tokens"))
+    req = spark.range(1, 201).select(F.col("id").alias("request_id"), F.lit(None).cast("long").alias("user_id"), tokens(1).alias("prompt"))
+    assert {r.request_id: r.user_id for r in context.route_requests(req, mem).collect()} == {n: n for n in range(1, 201)}
