@@ -173,12 +173,32 @@ def feature_string(patches: np.ndarray, spans: np.ndarray, loud: list[tuple[floa
     return f"frames={len(energy)};patches={len(spans)};end={spans[-1, 1]:.4f};loud={len(loud)}:{sum(b - a for a, b in loud):.3f};mel=" + ",".join(f"{v:.2f}" for v in mean[::4])
 
 
+def stored_features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Patches and spans as ``tensor_ipc`` stored them."""
+    table = read_tensor_ipc(data).combine_chunks()
+    patches = table["log_mel"].chunk(0).to_numpy_ndarray()
+    return patches, np.stack([table["start_s"].to_numpy(), table["end_s"].to_numpy()], 1)
+
+
+def described(text: str | None) -> tuple[list, bytes, bytes, list[tuple[float, float]]]:
+    """Values of MEDIA_FIELDS for a text, its WAV, its Arrow tensor stream and its loud segments."""
+    payload, n = payload_of(text)
+    media = wav_bytes(payload)
+    back = wav_payload(media)
+    patches, spans, loud, energy = features(back)
+    tensors = tensor_ipc(patches, spans)
+    patches, spans = stored_features(tensors)
+    row = [n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature_string(patches, spans, loud, energy)]
+    return row, media, tensors, loud
+
+
 MEDIA_FIELDS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def audio_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
-    """One row per document: digests of the payload as read back and of the stored WAV, the feature digest and,
-    with ``keep_media``, the WAV itself, the Arrow tensor stream and the loud segments. One pass, no shuffle."""
+    """One row per document: digests of the payload as read back and of the stored WAV, the feature digest from the
+    tensors as read back and, with ``keep_media``, the WAV itself, the Arrow tensor stream and the loud segments. One
+    pass, no shuffle."""
     bound_batches(docs.sparkSession)
     own = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     more = ", media binary, tensors binary, loud array<struct<start_s:double,end_s:double>>" if keep_media else ""
@@ -193,13 +213,9 @@ def audio_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 part = batch.slice(first, 64 if keep_media else 2048)
                 rows = []
                 for text in part.column(1):
-                    payload, n = payload_of(text.as_py())
-                    media = wav_bytes(payload)
-                    back = wav_payload(media)
-                    patches, spans, loud, energy = features(back)
-                    row = [n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature_string(patches, spans, loud, energy)]
+                    row, media, tensors, loud = described(text.as_py())
                     if keep_media:
-                        row += [media, tensor_ipc(patches, spans), [{"start_s": a, "end_s": b} for a, b in loud]]
+                        row += [media, tensors, [{"start_s": a, "end_s": b} for a, b in loud]]
                     rows.append(row)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[f.name for f in schema])
 

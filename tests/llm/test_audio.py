@@ -46,3 +46,18 @@ def test_columns(spark):
         assert r.media_bytes == len(r.media) and A.wav_payload(bytes(r.media)) == payload
     assert got[3].feature == got[4].feature
     assert A.audio_columns(docs.where("false")).count() == 0
+
+
+def test_feature_comes_from_the_stored_tensors(spark, monkeypatch):
+    docs = awkward(spark)
+    got = {r.doc_id: r for r in A.audio_columns(docs).collect()}
+    short = {r.doc_id: r for r in A.audio_columns(docs, keep_media=False).collect()}
+    for d in docs.collect():
+        payload = A.payload_of(d.text)[0]
+        patches, spans = A.stored_features(bytes(got[d.doc_id].tensors))
+        want = A.features(payload)
+        assert np.array_equal(patches, want[0]) and np.array_equal(spans, want[1])
+        assert got[d.doc_id].feature == short[d.doc_id].feature == A.feature_string(*want) == A.described(d.text)[0][-1]
+    stored = A.tensor_ipc
+    monkeypatch.setattr(A, "tensor_ipc", lambda patches, spans: stored(patches + 1, spans))
+    assert A.described("some text")[0][-1] == A.feature_string(*[x + 1 if i == 0 else x for i, x in enumerate(A.features(A.payload_of("some text")[0]))])
