@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import functools
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,38 +17,57 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step holds at a time (a longer document is taken alone).
 CHUNK_BYTES = 2_000_000
+#: Serves on a single machine alone, where spark.checkpoint.dir is unset.
 _LOCAL_DEFAULT = "/tmp/checkpoints/recallframe"
 _PATHS: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; a local one only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_DEFAULT
-
-
-def stage_table(df: DataFrame, name: str, release: bool = False, parts: int | None = None) -> DataFrame:
+    """Folder that driver and executors share. Where the session names none, a local folder serves on a single
+    machine; on a cluster that would lose rows, so it raises there."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return _LOCAL_DEFAULT
+    raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots as double underscores) that hold within the block."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stage_table(df: DataFrame, name: str, parts: int | None = None, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there. ``parts`` bounds the number
-    of files where the number of rows is known.
-
-    ``release`` asks the driver to collect its garbage, upon which Spark deletes the shuffle files of finished
-    stages; else they stay on the executors' disks for as long as the driver has memory to spare.
-    """
+    of files where the number of rows is known. The shuffle files of the write go as soon as it is done."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/recallframe-{name}-{uuid.uuid4().hex}"
     _PATHS.append((spark, path))
-    (df.coalesce(parts) if parts else df).write.parquet(path)
-    if release:
-        spark.sparkContext._jvm.System.gc()
+    writer = (df.coalesce(parts) if parts else df).write
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        (writer.option("compression", codec) if codec else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stage_path = path
     return out
 
 
-def drop_stage_table(table: DataFrame) -> None:
-    """Delete a stage table that nothing reads any more."""
-    spark, path = table.sparkSession, table._stage_path
-    _delete(spark, path)
-    _PATHS[:] = [x for x in _PATHS if x[1] != path]
+def drop_stage_table(*tables: DataFrame) -> None:
+    """Delete stage tables that nothing reads any more."""
+    for table in tables:
+        spark, path = table.sparkSession, table._stage_path
+        _delete(spark, path)
+        _PATHS[:] = [x for x in _PATHS if x[1] != path]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -53,7 +76,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def drop_stage_tables() -> None:
-    """Delete the stage tables of this process (they outlive lazy results until then)."""
+    """Delete the stage tables of this process (those that a lazy result reads last until then)."""
     while _PATHS:
         spark, path = _PATHS.pop()
         try:
@@ -66,9 +89,43 @@ atexit.register(drop_stage_tables)
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows and bytes, so that long texts don't pile up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Bound Arrow batches by rows and bytes, so that long texts don't pile up in a Python worker. The bounds hold when
+    a lazy result runs, so they stay in the session; narrower ones that are set already are kept."""
+    for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 8 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        have = spark.conf.get(key).rstrip("b")
+        if not (have.isdigit() and 0 < int(have) <= most):
+            spark.conf.set(key, str(most))
+
+
+def release_memory() -> None:
+    """Hand free memory of this Python worker back to the system: reused workers else keep what their largest partition
+    took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` for mapInArrow, which frees the worker's memory when a partition ends."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, with underscores until no column is called so (Spark's names know no case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def text_slices(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
@@ -191,6 +248,8 @@ class WordHasher:
                 cut = e if length is None else np.minimum(e, s + length)
                 values[first:last] = (sums[cut] - low) * back + (cut - s).astype(np.uint64)
             first = last
+        if len(self.power) > 1 << 20:  # a very long word came by
+            self._grow(1 << 16)
         return [mix64(values) for values in out]
 
 
@@ -234,7 +293,28 @@ def thinned(own: DataFrame, bits: np.ndarray) -> DataFrame:
             hit = known[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)
             yield batch.filter(pa.array(hit.astype(bool))).select(["doc", "text"])
 
-    return hashed.mapInArrow(pick, own.schema)
+    return hashed.mapInArrow(released(pick), own.schema)
+
+
+def repeated_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[bool, bool]:
+    """Whether rows repeat an id, and whether such rows have different texts. Ids and hashes alone are shuffled."""
+    h = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    ids = docs.where(docs[id_col].isNotNull()).groupBy(docs[id_col]).agg(F.count(F.lit(1)).alias("n"), F.min(h).alias("lo"), F.max(h).alias("hi"))
+    got = ids.agg(F.max("n").alias("n"), F.max((F.col("lo") != F.col("hi")).cast("int")).alias("apart")).first()
+    return (got.n or 0) > 1, bool(got.apart)
+
+
+def text_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, str]:
+    """For tables whose rows repeat ids with different texts: the rows with an id and a number (in the column whose name
+    comes third) that equal ids with equal texts share and that rises with the id; and the table (node, id)."""
+    h = fresh(docs.columns, "text_hash")
+    node = fresh([*docs.columns, h], "node")
+    rows = docs.where(docs[id_col].isNotNull()).withColumn(h, F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+    keys = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(h).alias("h")).distinct().repartitionByRange("id", "h").sortWithinPartitions("id", "h")
+    keys = stage_table(keys.select("id", "h", F.monotonically_increasing_id().alias("node")), "nodes")
+    named = keys.select(F.col("id").alias(f"{node}_id"), F.col("h").alias(f"{node}_h"), F.col("node").alias(node))
+    out = rows.join(named, (rows[id_col] == F.col(f"{node}_id")) & (F.col(h) == F.col(f"{node}_h")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], node), keys.select("node", "id"), node
 
 
 def id_text(id_col: str) -> str:
@@ -242,12 +322,26 @@ def id_text(id_col: str) -> str:
     return f"crc32(encode(coalesce(cast(`{id_col}` as string), ''), 'UTF-8'))"
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, value: str, where: str, bound: int, seed: int = 7) -> DataFrame:
-    """At most ``bound`` labelled documents, drawn by a hash of their id: columns doc_id, value, text.
+def labelled_sample(docs: DataFrame, labels: DataFrame, value: str, where: str, bound: int, bytes_bound: int | None = None, seed: int = 7) -> DataFrame:
+    """At most ``bound`` labelled documents, drawn by a hash of their id: columns doc_id, value, text (whole).
 
-    The sample is drawn from the slim label table and reaches the documents as a broadcast of at most
-    ``bound`` rows, so no text is shuffled.
+    With ``bytes_bound`` the draw ends before the row whose text would pass so many bytes in all (one row at least). The
+    sample is drawn from the slim label table and reaches the documents as a broadcast of at most ``bound`` rows, so no
+    text is shuffled but theirs. Of rows that repeat an id the smallest label and the smallest text count.
     """
+    drawn = F.xxhash64(F.lit(seed), "l_id")
     own = labels.select(F.col("doc_id").alias("l_id"), F.col(value).cast("int").alias("value")).where(f"value is not null and l_id is not null and {where.replace('doc_id', 'l_id')}")
-    own = own.orderBy(F.xxhash64(F.lit(seed), "l_id"), "l_id", "value").limit(bound).dropDuplicates(["l_id"])
-    return docs.select("doc_id", docs["text"].cast("string").alias("text")).join(F.broadcast(own), F.col("doc_id") == F.col("l_id")).select("doc_id", "value", "text")
+    own = own.groupBy("l_id").agg(F.min("value").alias("value")).orderBy(drawn, "l_id").limit(bound)
+    texts = docs.select("doc_id", docs["text"].cast("string").alias("text"))
+    if bytes_bound is not None:
+        sizes = texts.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(F.broadcast(own), F.col("doc_id") == F.col("l_id"))
+        sizes = sizes.groupBy("l_id", "value").agg(F.max("size").cast("long").alias("size")).withColumn("drawn", drawn).orderBy("drawn", "l_id").collect()  # ``bound`` rows at most
+        kept, total = [], 0
+        for r in sizes:
+            total += r["size"]
+            if kept and total > bytes_bound:
+                break
+            kept.append((r["l_id"], r["value"]))
+        own = docs.sparkSession.createDataFrame(kept, own.schema)
+    texts = texts.join(F.broadcast(own), F.col("doc_id") == F.col("l_id"))
+    return texts.groupBy("doc_id", "value").agg(F.min("text").alias("text"))

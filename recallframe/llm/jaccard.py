@@ -11,8 +11,9 @@ groups it shares; then only pairs whose documents are still in different compone
 group's largest component against the others only. Pairs inside a component can't change the components.
 
 Words are what spaces and \\t\\n\\v\\f\\r separate; A-Z are lower-cased. A shorter text is one shingle; a null or
-empty one has none and links with nothing. ``doc_id`` identifies a document: rows that repeat it share links; null
-ids link with nothing.
+empty one has none and links with nothing. Rows that repeat an id and its text are one document; rows that repeat an id
+with another text are documents of their own, which share the id. Null ids link with nothing. Texts may be of any length;
+an empty table has no rows. Columns other than id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, SPACE_WORDS, WordHasher, bound_batches, drop_stage_table, filter_bits, stage_table, text_bytes, text_slices, window_hashes
+from .common import FILTER_BITS, SPACE_WORDS, WordHasher, bound_batches, drop_stage_table, filter_bits, released, repeated_ids, stage_table, text_bytes, text_nodes, text_slices, window_hashes
 from .components import connected_components
 
 SHINGLE = 5
@@ -38,7 +39,9 @@ VERIFY_COST = 20.0
 #: the counters that one partition keeps.
 FREQUENT = 1 << 17
 FREQUENT_FROM = 12
-LOCAL_COUNTERS = 1 << 20
+LOCAL_COUNTERS = 1 << 17
+#: Shingles that a partition gathers before it counts them.
+HELD = 250_000
 #: Postings of a group from which its documents' whole sets are looked at before pairs are formed.
 LARGE_GROUP = 64
 LOCAL_FROM = 3
@@ -103,13 +106,13 @@ def frequent_shingles(own: DataFrame) -> np.ndarray:
             for s in shingle_sets(batch.column(1)):
                 held.append(s)
                 size += len(s)
-                if size > 2_000_000:
+                if size > HELD:
                     fold()
         fold()
         keep = sums >= LOCAL_FROM
         yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(sums[keep])], names=["token", "n"])
 
-    found = own.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM)
+    found = own.mapInArrow(released(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM)
     got = found.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
     return got["token"].to_numpy()[::-1].copy()
 
@@ -139,7 +142,7 @@ def prefixes(own: DataFrame, frequent: np.ndarray) -> DataFrame:
             off = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["doc", "n", "tokens"])
 
-    return own.mapInArrow(cut, f"doc {own.schema['doc'].dataType.simpleString()}, n int, tokens array<long>")
+    return own.mapInArrow(released(cut), f"doc {own.schema['doc'].dataType.simpleString()}, n int, tokens array<long>")
 
 
 def set_table(own: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -160,7 +163,7 @@ def set_table(own: DataFrame, pairs: DataFrame) -> DataFrame:
             off = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["doc", "items"])
 
-    return hashed.mapInArrow(sets, f"doc {own.schema['doc'].dataType.simpleString()}, items array<long>")
+    return hashed.mapInArrow(released(sets), f"doc {own.schema['doc'].dataType.simpleString()}, items array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -181,10 +184,12 @@ def shareable_sizes(mixed: DataFrame, own: DataFrame) -> DataFrame:
     large = mixed.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= LARGE_GROUP).select("token")
     docs = stage_table(mixed.select("token", "doc").join(large, "token").select("doc").distinct(), "large")
     items = set_table(own, docs.select(F.col("doc").alias("a"), F.col("doc").alias("b"))).join(docs, "doc")
-    items = stage_table(items.select("doc", F.explode("items").alias("item")), "items", release=True)
+    items = stage_table(items.select("doc", F.explode("items").alias("item")), "items")
     common = items.groupBy("item").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("item")
     counted = items.join(common, "item").groupBy("doc").agg(F.countDistinct("item").cast("int").alias("s"))
-    return docs.join(counted, "doc", "left").select("doc", F.coalesce("s", F.lit(0)).alias("s"))
+    out = stage_table(docs.join(counted, "doc", "left").select("doc", F.coalesce("s", F.lit(0)).alias("s")), "shareable")
+    drop_stage_table(docs, items)
+    return out
 
 
 def _similar_sizes(m: str, n: str) -> str:
@@ -196,15 +201,15 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     bound_batches(spark)
     own = docs.select(docs[id_col].alias("doc"), docs[text_col].cast("string").alias("text"))
-    table = stage_table(prefixes(own, frequent_shingles(own)), "prefixes", release=True)
+    table = stage_table(prefixes(own, frequent_shingles(own)), "prefixes")
     own = own.where("doc is not null")
     sizes = stage_table(table.select("doc", "n"), "sizes")
     # a posting holds the size and the place in one number; its level is the least l whose l-prefix holds it
     entries = table.where("doc is not null and n > 0").select("doc", "n", F.posexplode("tokens").alias("pos", "token"))
     entries = entries.select("token", "doc", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("place"))
     groups = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("doc").alias("rep"))
-    groups = stage_table(groups.where("df > 1"), "groups", release=True)
-    posts = stage_table(entries.join(groups, "token").select("token", "doc", "place", "df", "rep"), "posts", release=True)
+    groups = stage_table(groups.where("df > 1"), "groups")
+    posts = posts_table = stage_table(entries.join(groups, "token").select("token", "doc", "place", "df", "rep"), "posts")
     drop_stage_table(table)
     drop_stage_table(groups)
     posts = posts.select("token", "doc", "df", "rep", F.shiftright("place", 32).cast("int").alias("n"), F.col("place").bitwiseAND((1 << 32) - 1).cast("int").alias("pos"))
@@ -223,22 +228,24 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = posts.where("doc <> rep").groupBy("doc", "n", "rep").agg(F.count(F.lit(1)).alias("shared")).where(f"shared >= least({MAX_MATCHES}, {most})")
     near = near.join(chosen.select(F.col("doc").alias("rep"), F.col("n").alias("m")), "rep").where(_similar_sizes("n", "m"))
     near = near.groupBy("doc").agg(F.max(F.struct("shared", "rep")).alias("best")).select(F.col("doc").alias("a"), F.col("best.rep").alias("b"))
-    near = stage_table(near, "near", release=True)
+    near = stage_table(near, "near")
     sets = stage_table(set_table(own, near), "sets")
-    links = stage_table(verified(near, sets), "links", release=True)
-    drop_stage_table(sets)
+    links = stage_table(verified(near, sets), "links")
+    drop_stage_table(sets, near)
     found = stage_table(connected_components(links), "components")
 
     # what is left: pairs of a group in different components
     comp = found.select(F.col("node").alias("doc"), "component")
     state = chosen.join(comp, "doc", "left").select("doc", "l", F.coalesce("component", "doc").alias("comp"))
     state = posts.select("token", "doc", "n", "pos", "level").join(state, "doc").where("level <= l")
-    state = stage_table(state, "state", release=True)
+    state = stage_table(state, "state")
+    drop_stage_table(posts_table, chosen)
     share = state.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
     major = share.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", F.col("top.comp").alias("major"))
     major = stage_table(major, "mixed")
-    mixed = stage_table(state.join(major, "token"), "mixed", release=True)
-    shareable = stage_table(shareable_sizes(mixed, own), "shareable", release=True)
+    mixed = mixed_table = stage_table(state.join(major, "token"), "mixed")
+    drop_stage_table(state, major)
+    shareable = shareable_sizes(mixed, own)
     mixed = mixed.join(shareable, "doc", "left")
     cols = ("doc", "n", "pos", "level", "l", "comp", "s")
     a = mixed.where("comp <> major").select("token", *[F.col(c).alias(f"a_{c}") for c in cols])
@@ -252,15 +259,26 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # which side a document stands on changes from token to token: a pair is counted under its ordered ids
     pair = F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b")
     pairs = a.join(b, "token").where(rule).groupBy(*pair).agg(F.count(F.lit(1)).alias("k"), F.min(need).alias("need"))
-    pairs = stage_table(pairs.where("k >= need").select("a", "b"), "pairs", release=True)
-    more = stage_table(verified(pairs, stage_table(set_table(own, pairs), "sets")), "links", release=True)
+    pairs = stage_table(pairs.where("k >= need").select("a", "b"), "pairs")
+    drop_stage_table(mixed_table, shareable)
+    sets = stage_table(set_table(own, pairs), "sets")
+    more = stage_table(verified(pairs, sets), "links")
+    drop_stage_table(sets, pairs)
     if more.limit(1).count():
         found = connected_components(links.unionByName(more))
+    drop_stage_table(links, more)
     return sizes, found
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles and component_id (smallest id reachable by links)."""
+    if repeated_ids(docs, id_col, text_col)[1]:  # rows of an id are documents of their own then
+        rows, keys, node = text_nodes(docs, id_col, text_col)
+        sizes, found = similar_components(rows, node, text_col)
+        least = found.join(keys.select(F.col("node").alias("component"), F.col("id").alias("least")), "component").select("node", "least")
+        known = sizes.withColumnRenamed("doc", "node").join(keys, "node").join(least, "node", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+        nameless = docs.where(docs[id_col].isNull())
+        return known.unionByName(jaccard_classes(nameless, id_col, text_col)) if nameless.limit(1).count() else known
     sizes, found = similar_components(docs, id_col, text_col)
     out = sizes.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
@@ -269,9 +287,18 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first_of_class(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class, the one with the smallest id; rows with a null id stay.
 
-    Of rows that repeat an id one stays.
+    Of rows that repeat an id and a text one stays. Rows that repeat an id with different texts are documents of
+    their own: each stays unless its own text is near another's.
     """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    repeated, apart = repeated_ids(docs)
+    nameless = docs.where("doc_id is null")
+    if apart:
+        rows, _, node = text_nodes(docs)
+        _, found = similar_components(rows, node)
+        late = found.where("node <> component").select(F.col("node").alias(node))
+        return rows.join(late, node, "left_anti").dropDuplicates([node]).select(*columns).unionByName(nameless)
     _, found = similar_components(docs)
     late = found.where("node <> component").select(F.col("node").alias("doc_id"))
-    known = docs.where("doc_id is not null").join(late, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return known.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    known = docs.where("doc_id is not null").join(late, "doc_id", "left_anti").select(*columns)
+    return (known.dropDuplicates(["doc_id"]) if repeated else known).unionByName(nameless)

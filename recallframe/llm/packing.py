@@ -3,7 +3,8 @@ piece in the window that it fills best, emits the fullest where none fits, and f
 
 A document is its token ids and one end id; a null or empty text is the end id alone. Long documents are cut at
 the window length; a piece that fits nowhere tops the fullest window up if that would leave too much padding.
-Rows that repeat are packed as often as they come. Leftover windows of all partitions meet in groups of
+Rows that repeat are packed as often as they come, and ``row_id`` tells them apart. Ties go to the window opened first.
+An empty table has no pieces; columns other than id and text are not looked at. Leftover windows of all partitions meet in groups of
 ``MERGE_PARTITIONS`` partitions, so that no task's share grows with the input.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, stage_table
+from .common import bound_batches, fresh, released, stage_table
 
 LENGTH = 2048
 OPEN_WINDOWS = 32
@@ -28,8 +29,8 @@ OPEN_WINDOWS = 32
 MAX_PAD = 16
 MERGE_PARTITIONS = 4
 END_ID = 1
-#: Runs whose token ids each of a worker's two generations of memory holds at most.
-CACHE_RUNS = 500_000
+#: Bytes of token ids and runs that each of a worker's two generations of memory holds at most.
+CACHE_BYTES = 12 << 20
 #: Letters of Latin-1 after lower-casing; between them and anything else lies a pre-token boundary.
 _RUNS = re.compile(r"[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[^\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+")
 _BEYOND = re.compile(r"[^\x00-\xff]|['\x1c-\x1f\x85]|<\|")
@@ -62,9 +63,13 @@ class RunEncoder(dict):
         self.merge = self.tokenizer.model.tokenize
         self.spell = byte_letters()
         self.old: dict[str, bytes] = {}
+        self.held = 0
         self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1)]
         probes = ["hello", "straße", "été", "a", "zz", "niño", "ÿß", "thereof"]
         self.direct = all(self.letters(p) == self.whole(p) for p in probes)
+        # runs are encoded apart only if the tokenizer lower-cases and parts words as this class does
+        mixed = ["Straße Ends.", "a1 B2, (été)!", "x-Y_z  NIÑO\n\tÄb.c", "3.5% & A/B"]
+        self.parted = self.direct and all(b"".join(map(self.whole, _RUNS.findall(p.lower()))) == b"".join(map(self.whole, p.split())) == self.whole(p) for p in mixed)
 
     def whole(self, run: str) -> bytes:
         return np.asarray(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
@@ -78,15 +83,20 @@ class RunEncoder(dict):
         if ids is None:
             ids = self.letters(run) if self.direct and run.isalpha() and max(run) <= "\xff" and run == run.lower() else self.whole(run)
         if len(run) < 64:
-            if len(self) >= CACHE_RUNS:
+            size = 160 + len(run) + len(ids)  # with the objects' own
+            if self.held + size > CACHE_BYTES:
                 self.old = dict(self)
                 self.clear()
+                self.held = 0
             self[run] = ids
+            self.held += size
         return ids
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, with the end id last."""
-        if not _BEYOND.search(text):
+        if not self.parted:
+            parts = [self.whole(text)]
+        elif not _BEYOND.search(text):
             parts = [*map(self.__getitem__, _RUNS.findall(text.lower()))]
         elif not _SEPARATORS.search(text):
             parts = [*map(self.__getitem__, text.split())]
@@ -153,20 +163,23 @@ def ids_crc32(ids: np.ndarray) -> int:
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, open_windows: int = OPEN_WINDOWS, digest: Callable[[np.ndarray], Any] = ids_list, digest_field: str = "ids array<int>") -> DataFrame:
     """One row per piece: its document, place in it, length, ids (or what ``digest`` makes of them), the document's
-    token count, and sequence and offset. Sequences hold at most ``length`` tokens without gaps."""
+    token count, sequence and offset, and the row that it comes from. Sequences hold at most ``length`` tokens without
+    gaps. An ``id_col`` that is called like one of the other columns comes back with underscores behind its name."""
     spark = docs.sparkSession
+    digest_type = T._parse_datatype_string(digest_field).fields[0]
+    taken = ["start", "length", digest_type.name, "doc_tokens", "sequence_id", "offset", "row_id", "left_ids", "part"]
     bound_batches(spark)
     id_type = docs.schema[id_col].dataType
     own = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    digest_type = T._parse_datatype_string(digest_field).fields[0]
-    out_schema = T.StructType([T.StructField(id_col, id_type), *T._parse_datatype_string("start long, length long").fields, digest_type, *T._parse_datatype_string("doc_tokens long, sequence_id long, offset long").fields])
+    id_col = fresh(taken, id_col)
+    out_schema = T.StructType([T.StructField(id_col, id_type), *T._parse_datatype_string("start long, length long").fields, digest_type, *T._parse_datatype_string("doc_tokens long, sequence_id long, offset long, row_id long").fields])
     first_schema = T.StructType([*out_schema.fields, T.StructField("left_ids", T.BinaryType()), T.StructField("part", T.LongType())])
     arrow_id = pa.null()
 
     def to_batch(rows: list[tuple], id_kind: pa.DataType, names: list[str]) -> pa.RecordBatch:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        kinds = [id_kind, pa.int64(), pa.int64(), to_arrow_type(digest_type.dataType), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+        kinds = [id_kind, pa.int64(), pa.int64(), to_arrow_type(digest_type.dataType), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds[: len(names)])], names=names)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,21 +190,23 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         names = first_schema.fieldNames()
         rows: list[tuple] = []
         kind = arrow_id
+        row = part << 33
         for batch in batches:
             kind = batch.column(0).type
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 ids = code.encode(text.as_py() or "")
-                for done in windows.add((doc.as_py(), len(ids)), 0, ids):
+                row += 1
+                for done in windows.add((doc.as_py(), len(ids), row), 0, ids):
                     at = 0
-                    for (key, n), start, piece in done:
-                        rows.append((key, start, len(piece), digest(piece), n, seq, at, None, None))
+                    for (key, n, r), start, piece in done:
+                        rows.append((key, start, len(piece), digest(piece), n, seq, at, r, None, None))
                         at += len(piece)
                     seq += 1
             if len(rows) > 4000:
                 yield to_batch(rows, kind, names)
                 rows = []
         for pieces in windows.rest():
-            rows += [(key, start, len(piece), None, n, None, None, piece.tobytes(), part) for (key, n), start, piece in pieces]
+            rows += [(key, start, len(piece), None, n, None, None, r, piece.tobytes(), part) for (key, n, r), start, piece in pieces]
         if rows:
             yield to_batch(rows, kind, names)
 
@@ -204,11 +219,11 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             rows: list[tuple] = []
             kind = batch.column(0).type
-            for doc, start, n, raw in zip(*(batch.column(i) for i in range(4)), strict=True):
-                for done in windows.add((doc.as_py(), n.as_py()), start.as_py(), np.frombuffer(raw.as_py(), np.uint32)):
+            for doc, start, n, raw, r in zip(*(batch.column(i) for i in range(5)), strict=True):
+                for done in windows.add((doc.as_py(), n.as_py(), r.as_py()), start.as_py(), np.frombuffer(raw.as_py(), np.uint32)):
                     at = 0
-                    for (key, tokens), begin, piece in done:
-                        rows.append((key, begin, len(piece), digest(piece), tokens, seq, at))
+                    for (key, tokens, row), begin, piece in done:
+                        rows.append((key, begin, len(piece), digest(piece), tokens, seq, at, row))
                         at += len(piece)
                     seq += 1
             if rows:
@@ -216,18 +231,18 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         rows = []
         for pieces in windows.rest():
             at = 0
-            for (key, tokens), begin, piece in pieces:
-                rows.append((key, begin, len(piece), digest(piece), tokens, seq, at))
+            for (key, tokens, row), begin, piece in pieces:
+                rows.append((key, begin, len(piece), digest(piece), tokens, seq, at, row))
                 at += len(piece)
             seq += 1
         if rows:
             yield to_batch(rows, kind, names)
 
-    packed = stage_table(own.mapInArrow(local, first_schema), "packed")
+    packed = stage_table(own.mapInArrow(released(local), first_schema), "packed")
     left = packed.where("left_ids is not null")
     parts = packed.agg(F.max("part")).first()[0]
     groups = 1 if parts is None else -(-(parts + 1) // MERGE_PARTITIONS)
-    left = left.select(id_col, "start", "doc_tokens", "left_ids", F.expr(f"cast(part div {MERGE_PARTITIONS} as int)").alias("grp"), "part", F.col("length").alias("n"))
-    left = left.repartitionByRange(groups, "grp").sortWithinPartitions("grp", F.desc("n"), "part", id_col, "start").select(id_col, "start", "doc_tokens", "left_ids")
-    merged = left.mapInArrow(merge, out_schema)
+    left = left.select(id_col, "start", "doc_tokens", "left_ids", "row_id", F.expr(f"cast(part div {MERGE_PARTITIONS} as int)").alias("grp"), "part", F.col("length").alias("n"))
+    left = left.repartitionByRange(groups, "grp").sortWithinPartitions("grp", F.desc("n"), "part", id_col, "start").select(id_col, "start", "doc_tokens", "left_ids", "row_id")
+    merged = left.mapInArrow(released(merge), out_schema)
     return packed.where("left_ids is null").select(*out_schema.fieldNames()).unionByName(merged)

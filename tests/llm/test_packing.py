@@ -25,7 +25,7 @@ def test_ids_are_the_tokenizers(code, spark, small):
 
 
 def test_generations_keep_results(code, monkeypatch):
-    monkeypatch.setattr(K, "CACHE_RUNS", 5)
+    monkeypatch.setattr(K, "CACHE_BYTES", 900)
     fresh = K.RunEncoder(tokenizer_file())
     for t in ("one two three four five six seven", "one two nine ten", "seven six one"):
         assert fresh.encode(t).tolist() == code.encode(t).tolist()
