@@ -1,17 +1,17 @@
 """Substring dedup by collinear chaining: shared k-mer seeds are joined, matches in the same order in two documents
-are chained with gap costs through a tree of maxima, and chains are aligned to find fuzzy passages.
+are chained with gap costs through Fenwick trees of maxima, and chains are aligned to find fuzzy passages.
 
 Seeds are the minimizers of each document's word k-mers, so that every run of ``K + WINDOW - 1`` equal words shares
 one. Every place of a seed joins the seed's first occurrence in the corpus (the smallest document id), never all pairs
 of occurrences; a passage's first document is what its later ones point at. Spans are bytes of the UTF-8 text.
 
-A null or empty text has no passages. ``doc_id`` identifies a document: of rows that repeat an id, equal texts
-share their passages, and no document matches itself. Null ids take no part.
+A null or empty text has no passages, nor has an empty table. Of rows that repeat an id, equal texts are one document and
+share their passages; different texts are documents of their own. No document matches itself. Null ids take no part.
+Texts may be of any length; of passages that several earlier documents hold the first is named.
 """
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 from typing import Any
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, WordHasher, bound_batches, filter_bits, stage_table, text_bytes, text_slices, thinned, window_hashes
+from .common import SPACE_WORDS, WordHasher, bound_batches, drop_stage_table, filter_bits, released, repeated_ids, stage_table, text_bytes, text_nodes, text_slices, thinned, window_hashes
 
 K, WINDOW = 6, 8
 #: Words of a reported passage, and of a chain that may become part of one.
@@ -56,7 +56,7 @@ def minimizers(values: np.ndarray) -> np.ndarray:
 
 
 def seed_table(own: DataFrame) -> DataFrame:
-    """h, doc, b (first byte) and e (end byte) of each document's seeds, at all their places."""
+    """h, doc, b (first byte), e (end byte) and w (first word) of each document's seeds, at all their places."""
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = hasher()
@@ -80,85 +80,118 @@ def seed_table(own: DataFrame) -> DataFrame:
                 at, who = np.concatenate(take), np.concatenate(owner)
                 base = off[who]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[at].view(np.int64)), ids.slice(first, last - first).take(pa.array(who)), pa.array((starts[at] - base).astype(np.int32)), pa.array((ends[at + K - 1] - base).astype(np.int32))],
-                    names=["h", "doc", "b", "e"],
+                    [pa.array(grams[at].view(np.int64)), ids.slice(first, last - first).take(pa.array(who)), pa.array((starts[at] - base).astype(np.int32)), pa.array((ends[at + K - 1] - base).astype(np.int32)), pa.array((at - edge[who]).astype(np.int32))],
+                    names=["h", "doc", "b", "e", "w"],
                 )
 
-    return own.mapInArrow(seeds, f"h long, doc {own.schema['doc'].dataType.simpleString()}, b int, e int")
+    return own.mapInArrow(released(seeds), f"h long, doc {own.schema['doc'].dataType.simpleString()}, b int, e int, w int")
 
 
-class MaxTree:
-    """Segment tree of maxima with the index that attains each; unlike a Fenwick tree's, its values can be removed."""
+class MaxFenwick:
+    """Fenwick tree of prefix maxima."""
 
     NONE = (-1e18, -1)
 
     def __init__(self, n: int):
-        self.size = 1 << max(n - 1, 0).bit_length()
-        self.best = [self.NONE] * (2 * self.size)
+        self.best = [self.NONE] * (n + 1)
 
     def put(self, i: int, value: tuple[float, int]) -> None:
-        i += self.size
-        self.best[i] = value
-        while i > 1:
-            i >>= 1
-            self.best[i] = max(self.best[2 * i], self.best[2 * i + 1])
-
-    def between(self, lo: int, hi: int) -> tuple[float, int]:
-        """Largest value at places from lo on and below hi."""
+        i += 1
+        while i < len(self.best):
+            if value > self.best[i]:
+                self.best[i] = value
+            i += i & -i
+
+    def upto(self, i: int) -> tuple[float, int]:
+        """Largest value at places 0 to i."""
+        i += 1
         top = self.NONE
-        lo, hi = lo + self.size, hi + self.size
-        while lo < hi:
-            if lo & 1:
-                top = max(top, self.best[lo])
-                lo += 1
-            if hi & 1:
-                hi -= 1
-                top = max(top, self.best[hi])
-            lo, hi = lo >> 1, hi >> 1
+        while i > 0:
+            top = max(top, self.best[i])
+            i -= i & -i
         return top
 
 
-def anchors(b: np.ndarray, e: np.ndarray, c: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Merge matches that lie on one diagonal and touch or nearly touch: (start, end, other start, other end)."""
+class Reach:
+    """Largest values whose place in the other document lies within MAX_GAP before a given one.
+
+    Places are cut into blocks of MAX_GAP + 1, so that what is within reach of a place is the beginning of its own block
+    and the end of the block before; each block has a Fenwick tree from its beginning and one from its end.
+    """
+
+    BLOCK = MAX_GAP + 1
+
+    def __init__(self) -> None:
+        self.trees: dict[int, tuple[MaxFenwick, MaxFenwick]] = {}
+
+    def put(self, place: int, value: tuple[float, int]) -> None:
+        block, at = divmod(place, self.BLOCK)
+        if block not in self.trees:
+            self.trees[block] = MaxFenwick(self.BLOCK), MaxFenwick(self.BLOCK)
+        low, high = self.trees[block]
+        low.put(at, value)
+        high.put(self.BLOCK - 1 - at, value)
+
+    def before(self, place: int) -> tuple[float, int]:
+        block, at = divmod(place, self.BLOCK)
+        top = MaxFenwick.NONE
+        if block in self.trees:
+            top = self.trees[block][0].upto(at)
+        if at < MAX_GAP and block - 1 in self.trees:
+            top = max(top, self.trees[block - 1][1].upto(self.BLOCK - 1 - (at + 1)))
+        return top
+
+
+Anchor = tuple[int, int, int, int, int]
+
+
+def anchors(b: np.ndarray, e: np.ndarray, c: np.ndarray, w: np.ndarray) -> list[Anchor]:
+    """Merge matches that lie on one diagonal and touch or nearly touch: (start, end, other start, other end, first word)."""
     diagonal = c - b
     cut = np.flatnonzero((diagonal[1:] != diagonal[:-1]) | (b[1:] - e[:-1] > MAX_GAP // 2)) + 1
     first = np.concatenate([[0], cut])
     last = np.concatenate([cut, [len(b)]]) - 1
-    return [(int(b[i]), int(e[j]), int(c[i]), int(c[i] + e[j] - b[i])) for i, j in zip(first, last, strict=True)]
+    return [(int(b[i]), int(e[j]), int(c[i]), int(c[i] + e[j] - b[i]), int(w[i])) for i, j in zip(first, last, strict=True)]
 
 
-def chains(found: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int, int, int]]]:
+def chains(found: list) -> list[list]:
     """Best collinear chains of anchors sorted by their start, best first, each anchor in one chain at most.
 
-    A chain's score is the bytes of its anchors less GAP_COST for every byte skipped in either document. The part
-    of the gap cost that depends on the predecessor alone is stored with it, so that the best one is a maximum over
-    the other document's positions within MAX_GAP; anchors that end too far back are taken out before.
+    A chain's score is the bytes of its anchors less GAP_COST for every byte skipped in either document; no gap is longer
+    than MAX_GAP. The part of the gap cost that depends on the predecessor alone is stored with it, so that the best one
+    is a maximum over the other document's places. In this document, too, blocks keep what is too far off away: anchors
+    that end in a start's own block are put in as starts rise, those of the block before as starts fall.
     """
     if len(found) == 1:
         return [found]
-    order = sorted(range(len(found)), key=lambda i: found[i][3])
-    ends = [found[i][3] for i in order]
-    place = [0] * len(found)
-    for n, i in enumerate(order):
-        place[i] = n
-    tree = MaxTree(len(found))
-    score, back = [0.0] * len(found), [-1] * len(found)
-    by_end = sorted(range(len(found)), key=lambda i: found[i][1])
-    done = gone = 0
+    score, back = [float(a[1] - a[0]) for a in found], [-1] * len(found)
+    starts: dict[int, list[int]] = {}
+    ends: dict[int, list[int]] = {}
     for i in sorted(range(len(found)), key=lambda i: found[i][0]):
-        s, e, cs, ce = found[i]
-        while done < len(by_end) and found[by_end[done]][1] <= s:
-            j = by_end[done]
-            tree.put(place[j], (score[j] + GAP_COST * (found[j][1] + found[j][3]), j))
-            done += 1
-        while gone < done and found[by_end[gone]][1] < s - MAX_GAP:
-            tree.put(place[by_end[gone]], MaxTree.NONE)
-            gone += 1
-        score[i] = float(e - s)
-        value, j = tree.between(bisect.bisect_left(ends, cs - MAX_GAP), bisect.bisect_right(ends, cs))
-        if j >= 0 and value - GAP_COST * (s + cs) > 0:
-            score[i] += value - GAP_COST * (s + cs)
-            back[i] = j
+        starts.setdefault(found[i][0] // Reach.BLOCK, []).append(i)
+    for i in sorted(range(len(found)), key=lambda i: found[i][1]):
+        ends.setdefault(found[i][1] // Reach.BLOCK, []).append(i)
+    value = lambda j: (score[j] + GAP_COST * (found[j][1] + found[j][3]), j)
+    for block in sorted(starts):
+        own, top = starts[block], {}
+        earlier, reach = list(ends.get(block - 1, ())), Reach()
+        for i in reversed(own):
+            while earlier and found[earlier[-1]][1] >= found[i][0] - MAX_GAP:
+                j = earlier.pop()
+                reach.put(found[j][3], value(j))
+            top[i] = reach.before(found[i][2])
+        ended, reach = ends.get(block, ()), Reach()
+        done = 0
+        for i in own:
+            while done < len(ended) and found[ended[done]][1] <= found[i][0]:
+                j = ended[done]
+                reach.put(found[j][3], value(j))
+                done += 1
+            best, j = max(top[i], reach.before(found[i][2]))
+            gain = best - GAP_COST * (found[i][0] + found[i][2])
+            if j >= 0 and gain > 0:
+                score[i] += gain
+                back[i] = j
     used = [False] * len(found)
     out = []
     for i in sorted(range(len(found)), key=lambda i: -score[i]):
@@ -173,12 +206,12 @@ def chains(found: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int,
 
 
 def chain_table(matches: DataFrame) -> DataFrame:
-    """Chains of the matches (doc, other, b, e, c), which come sorted by doc, other and b."""
+    """Chains of the matches (doc, other, b, e, c, w), which come sorted by doc, other and b."""
     id_type = matches.schema["doc"].dataType.simpleString()
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc", "other", "spans"]
-        kind = pa.list_(pa.struct([(x, pa.int32()) for x in "becf"]))
+        kind = pa.list_(pa.struct([(x, pa.int32()) for x in "becfw"]))
         held: list[np.ndarray] = []
         key: tuple[Any, Any] | None = None
         rows: list[tuple[Any, Any, list[dict[str, int]]]] = []
@@ -192,14 +225,14 @@ def chain_table(matches: DataFrame) -> DataFrame:
                 return
             for chain in chains(anchors(*x)):
                 if chain[-1][1] - chain[0][0] >= MIN_CHAIN_BYTES:
-                    rows.append((*key, [dict(zip("becf", a, strict=True)) for a in chain]))
+                    rows.append((*key, [dict(zip("becfw", a, strict=True)) for a in chain]))
 
         for batch in batches:
             if not len(batch):
                 continue
             id_kind = batch.column(0).type
             doc, other = batch.column(0), batch.column(1)
-            values = np.stack([batch.column(i).to_numpy() for i in (2, 3, 4)]).astype(np.int64)
+            values = np.stack([batch.column(i).to_numpy() for i in (2, 3, 4, 5)]).astype(np.int64)
             d, o = doc.to_numpy(zero_copy_only=False), other.to_numpy(zero_copy_only=False)
             cut = np.flatnonzero((d[1:] != d[:-1]) | (o[1:] != o[:-1])) + 1
             for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(batch)], strict=True):
@@ -215,7 +248,7 @@ def chain_table(matches: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], id_kind), pa.array([r[1] for r in rows], id_kind), pa.array([r[2] for r in rows], kind)], names=names)
 
-    return matches.mapInArrow(link, f"doc {id_type}, other {id_type}, spans array<struct<b:int,e:int,c:int,f:int>>")
+    return matches.mapInArrow(released(link), f"doc {id_type}, other {id_type}, spans array<struct<b:int,e:int,c:int,f:int,w:int>>")
 
 
 def _words(piece: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -268,8 +301,9 @@ def grown(a: list[bytes], b: list[bytes]) -> tuple[int, int, int]:
     return reached
 
 
-def align(x: bytes, y: bytes, spans: list[tuple[int, int, int, int]], open_left: bool, open_right: bool) -> tuple[int, int, int, int, int, int] | None:
-    """Align two slices along a chain: (start, end, other start, other end, words, equal words) in bytes of the slices.
+def align(x: bytes, y: bytes, spans: list[Anchor], open_left: bool, open_right: bool) -> tuple[int, int, int, int, int, int, int, int] | None:
+    """Align two slices along a chain: (start, end, other start, other end, words, equal words) in bytes of the slices,
+    and the first word and the word past the last one in the document.
 
     Ends grow over equal words, and through mismatches as long as the identity stays MIN_IDENTITY. ``open_left``/
     ``open_right``: a word cut by the slice's edge may stand there.
@@ -280,10 +314,11 @@ def align(x: bytes, y: bytes, spans: list[tuple[int, int, int, int]], open_left:
     j = int(np.searchsorted(sy, spans[0][2]))
     p = int(np.searchsorted(ex, spans[-1][1], side="left"))
     q = int(np.searchsorted(ey, spans[-1][3], side="left"))
+    before = spans[0][4] - i  # words of the document before the slice
     if i > p or j > q or p >= len(wx) or q >= len(wy):
         return None
     equal, at, bt = 0, i, j
-    for b, e, c, f in spans:
+    for b, e, c, f, _ in spans:
         b0, e0 = int(np.searchsorted(sx, b)), int(np.searchsorted(ex, e, side="left")) + 1
         c0, f0 = int(np.searchsorted(sy, c)), int(np.searchsorted(ey, f, side="left")) + 1
         b0, c0 = max(b0, at), max(c0, bt)
@@ -301,10 +336,10 @@ def align(x: bytes, y: bytes, spans: list[tuple[int, int, int, int]], open_left:
     m, n, same = grown(wx[p + 1 : len(wx) - high + 1], wy[q + 1 : len(wy) - high + 1])
     if equal + same >= MIN_IDENTITY * (max(p - i + m, q - j + n) + 1):
         p, q, equal = p + m, q + n, equal + same
-    return int(sx[i]), int(ex[p]), int(sy[j]), int(ey[q]), max(p - i, q - j) + 1, equal
+    return int(sx[i]), int(ex[p]), int(sy[j]), int(ey[q]), max(p - i, q - j) + 1, equal, before + i, before + p + 1
 
 
-def aligned(x: bytes, y: bytes, spans: list[tuple[int, int, int, int]], open_left: bool, open_right: bool) -> list[tuple[int, int, int, int, int, int]]:
+def aligned(x: bytes, y: bytes, spans: list[Anchor], open_left: bool, open_right: bool) -> list[tuple[int, int, int, int, int, int, int, int]]:
     """Alignments of a chain that reach MIN_IDENTITY: a chain that doesn't is parted at its widest gap, so that a good
     part isn't lost by what was chained to it."""
     out, left = [], [spans]
@@ -325,61 +360,73 @@ def aligned_table(rows: DataFrame) -> DataFrame:
     id_type = rows.schema["doc"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "start_byte", "end_byte", "other", "other_start", "other_end", "n_words", "n_equal"]
+        names = ["doc", "start_byte", "end_byte", "other", "other_start", "other_end", "n_words", "n_equal", "word", "word_end"]
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 x_at, y_at = r["x_at"], r["y_at"]
-                spans = [(s["b"] - x_at, s["e"] - x_at, s["c"] - y_at, s["f"] - y_at) for s in r["spans"]]
+                spans = [(s["b"] - x_at, s["e"] - x_at, s["c"] - y_at, s["f"] - y_at, s["w"]) for s in r["spans"]]
                 for got in aligned(r["x"], r["y"], spans, x_at > 0 or y_at > 0, True):
                     if got[4] < MIN_CHAIN_WORDS:
                         continue
-                    out.append((r["doc"], got[0] + x_at, got[1] + x_at, r["other"], got[2] + y_at, got[3] + y_at, got[4], got[5]))
-            kinds = [batch.column(0).type, pa.int32(), pa.int32(), batch.column(0).type, pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+                    out.append((r["doc"], got[0] + x_at, got[1] + x_at, r["other"], got[2] + y_at, got[3] + y_at, *got[4:]))
+            kinds = [batch.column(0).type, pa.int32(), pa.int32(), batch.column(0).type, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)
 
-    return rows.mapInArrow(work, f"doc {id_type}, start_byte int, end_byte int, other {id_type}, other_start int, other_end int, n_words int, n_equal int")
+    return rows.mapInArrow(released(work), f"doc {id_type}, start_byte int, end_byte int, other {id_type}, other_start int, other_end int, n_words int, n_equal int, word int, word_end int")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per passage of at least MIN_WORDS words that an earlier document holds too, exactly or nearly:
-    doc_id, start_byte, end_byte, n_words, src_doc_id, src_start, src_end, identity.
+    """One row per passage of at least MIN_WORDS words that an earlier document holds too, exactly or nearly: doc_id,
+    start_byte, end_byte, n_words, src_doc_id, src_start, src_end, identity, part_start, part_end.
 
-    Parts that follow one another in a document count as one passage even if they come from different ones.
+    Parts that follow one another in a document count as one passage even if they come from different ones; the source
+    span, its identity and the bytes of this document that it answers to are those of the longest part.
     """
+    if repeated_ids(docs, id_col, text_col)[1]:
+        rows, keys, node = text_nodes(docs, id_col, text_col)
+        got = _passages(rows, node, text_col)
+        named = got.join(keys.select(F.col("node").alias("doc"), F.col("id").alias(id_col)), "doc").join(keys.select(F.col("node").alias("src_doc_id"), F.col("id").alias("src")), "src_doc_id")
+        return named.withColumn("src_doc_id", F.col("src")).select(id_col, *[c for c in got.columns if c != "doc"])
+    return _passages(docs, id_col, text_col).withColumnRenamed("doc", id_col)
+
+
+def _passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bound_batches(docs.sparkSession)
     own = docs.select(docs[id_col].alias("doc"), docs[text_col].cast("string").alias("text")).where("doc is not null and text is not null")
     seeds = stage_table(seed_table(own), "seeds")
     firsts = seeds.groupBy("h").agg(F.min(F.struct("doc", "b")).alias("at"), F.max("doc").alias("last")).where("at.doc <> last")
     firsts = stage_table(firsts.select("h", F.col("at.doc").alias("other"), F.col("at.b").alias("c")), "firsts")
-    matches = seeds.join(firsts, "h").where("doc <> other").select("doc", "other", "b", "e", "c")
+    matches = seeds.join(firsts, "h").where("doc <> other").select("doc", "other", "b", "e", "c", "w")
     matches = matches.repartition("doc").sortWithinPartitions("doc", "other", "b", "e", "c")
-    found = stage_table(chain_table(matches), "chains")
+    found = stage_table(chain_table(matches).withColumn("chain", F.monotonically_increasing_id()), "chains")
+    drop_stage_table(seeds, firsts)
 
+    # both slices of each chain: the texts of these documents are shuffled once, then slices alone
+    first, last = F.col("spans")[0], F.element_at("spans", -1)
+    cuts = found.select("chain", F.lit(True).alias("own"), "doc", F.greatest(F.lit(0), first["b"] - MARGIN).alias("at"), (last["e"] + MARGIN).alias("to"))
+    cuts = cuts.union(found.select("chain", F.lit(False), "other", F.greatest(F.lit(0), first["c"] - MARGIN), last["f"] + MARGIN))
     texts = thinned(own, filter_bits(found.select("doc").union(found.select(F.col("other").alias("doc")))))
-    texts = stage_table(texts.select("doc", F.encode("text", "UTF-8").alias("raw")).groupBy("doc").agg(F.min("raw").alias("raw")), "texts")
-    begin, finish = F.greatest(F.lit(0), F.col("spans")[0]["b"] - MARGIN), F.element_at("spans", -1)["e"] + MARGIN
-    other_begin, other_finish = F.greatest(F.lit(0), F.col("spans")[0]["c"] - MARGIN), F.element_at("spans", -1)["f"] + MARGIN
-    rows = found.withColumns({"x_at": begin, "x_to": finish, "y_at": other_begin, "y_to": other_finish})
-    rows = rows.join(texts, "doc").withColumn("x", F.expr("substring(raw, x_at + 1, x_to - x_at)")).drop("raw")
-    rows = rows.join(texts.withColumnRenamed("doc", "other"), "other").withColumn("y", F.expr("substring(raw, y_at + 1, y_to - y_at)"))
-    parts = aligned_table(rows.select("doc", "other", "spans", "x", "x_at", "y", "y_at"))
-    return joined_parts(parts).withColumnRenamed("doc", id_col)
+    slices = cuts.join(texts.select("doc", F.encode("text", "UTF-8").alias("raw")), "doc").select("chain", "own", "at", F.expr("substring(raw, at + 1, to - at)").alias("piece"))
+    mine, theirs = F.col("own"), ~F.col("own")
+    both = slices.groupBy("chain").agg(*[F.min(F.when(side, F.col(c))).alias(name) for side, c, name in ((mine, "piece", "x"), (mine, "at", "x_at"), (theirs, "piece", "y"), (theirs, "at", "y_at"))])
+    parts = stage_table(aligned_table(found.join(both, "chain").select("doc", "other", "spans", "x", "x_at", "y", "y_at")), "parts")
+    drop_stage_table(found)
+    return joined_parts(parts)
 
 
 def joined_parts(parts: DataFrame) -> DataFrame:
-    """Unite parts of a document that overlap or nearly touch; report what is long enough."""
+    """Unite parts of a document that overlap or nearly touch; report what is long enough. Words are counted exactly, as
+    parts carry their places among the document's words."""
     w = Window.partitionBy("doc").orderBy("start_byte", "end_byte", "other", "other_start")
     reach = F.max("end_byte").over(w.rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.withColumn("new", F.when(F.col("start_byte") > F.coalesce(reach, F.lit(-100)) + 12, 1).otherwise(0))
     parts = parts.withColumn("group", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    best = F.max(F.struct("n_words", F.struct((-F.col("start_byte")).alias("s"), "other", "other_start", "other_end", "n_equal"))).alias("best")
-    length = F.max("end_byte") - F.min("start_byte")
-    share = F.sum(F.col("n_words") / (F.col("end_byte") - F.col("start_byte"))) / F.count(F.lit(1))
-    out = parts.groupBy("doc", "group").agg(F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"), best, F.when(F.count(F.lit(1)) == 1, F.max("n_words")).otherwise(F.round(length * share)).cast("int").alias("n_words"))
+    best = F.max(F.struct("n_words", F.struct((-F.col("start_byte")).alias("s"), "other", "other_start", "other_end", "n_equal", "start_byte", "end_byte"))).alias("best")
+    out = parts.groupBy("doc", "group").agg(F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"), best, (F.max("word_end") - F.min("word")).alias("n_words"))
     return out.where(F.col("n_words") >= MIN_WORDS).select(
         "doc", "start_byte", "end_byte", "n_words", F.col("best.col2.other").alias("src_doc_id"), F.col("best.col2.other_start").alias("src_start"), F.col("best.col2.other_end").alias("src_end"),
-        (F.col("best.col2.n_equal") / F.col("best.n_words")).alias("identity"),
+        (F.col("best.col2.n_equal") / F.col("best.n_words")).alias("identity"), F.col("best.col2.start_byte").alias("part_start"), F.col("best.col2.end_byte").alias("part_end"),
     )
 
 
@@ -389,13 +436,20 @@ def cut_passages(docs: DataFrame) -> DataFrame:
     Texts without such a passage stay byte for byte, as do n_chars and all other columns except that n_chars, where
     it exists, follows a cut text.
     """
-    spans = repeated_passages(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_byte", "end_byte"))).alias("cuts"))
-    spans = stage_table(spans.select(F.col("doc_id").alias("cut_doc"), "cuts"), "cuts")
+    if repeated_ids(docs)[1]:
+        rows, _, node = text_nodes(docs)
+        return _cut(rows, node).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+    return _cut(docs, "doc_id")
+
+
+def _cut(docs: DataFrame, id_col: str) -> DataFrame:
+    spans = _passages(docs, id_col, "text").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start_byte", "end_byte"))).alias("cuts"))
+    spans = stage_table(spans.select(F.col("doc").alias("cut_doc"), "cuts"), "cuts")
     cut_name = "cuts"
     while cut_name in docs.columns or f"{cut_name}_doc" in docs.columns:
         cut_name += "_"
     spans = spans.select(F.col("cut_doc").alias(f"{cut_name}_doc"), F.col("cuts").alias(cut_name))
-    joined = docs.join(spans, F.col("doc_id") == F.col(f"{cut_name}_doc"), "left")
+    joined = docs.join(spans, docs[id_col] == F.col(f"{cut_name}_doc"), "left")
     raw = "encode(text, 'UTF-8')"
     edges = f"concat(array(0), transform(`{cut_name}`, c -> c.end_byte))"
     stops = f"concat(transform(`{cut_name}`, c -> c.start_byte), array(length({raw})))"
