@@ -2,7 +2,9 @@
 distribution whose mean is its source's repetition rate; documents are exploded by their counts and shuffled.
 
 A null source is a source of its own. Sources of weight 0 vanish. Rows that repeat get the same count. All columns
-stay as they are; texts may be null or empty. Everything runs in DataFrame functions.
+stay as they are, whatever their names: added columns take names that no column has, with underscores behind where
+theirs is taken. Texts may be null, empty or of any length, as none is looked at. An empty table stays empty.
+Everything runs in DataFrame functions.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, stage_table
+
 #: Share of a source without a given weight: its size to this power (1 keeps the mixture, 0 levels it).
 TEMPERATURE = 0.5
 SEED = 11
@@ -21,12 +25,10 @@ PART_MEAN = 8.0
 TERMS = 60
 #: Hash digits (hex) that make a uniform number: 52 bits, exact in a double.
 DIGITS = 13
-
-
-def _fresh(df: DataFrame, name: str) -> str:
-    while name in df.columns:
-        name += "_"
-    return name
+#: Sources up to this number are broadcast with their distributions (some 600 bytes each); more meet the documents in
+#: SALTS parts each, so that no source is one task's alone.
+BROADCAST_SOURCES = 10_000
+SALTS = 64
 
 
 def repetition_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, source_col: str = "source", temperature: float = TEMPERATURE) -> DataFrame:
@@ -34,7 +36,7 @@ def repetition_rates(docs: DataFrame, weights: Mapping[str, float] | None = None
 
     With ``weights`` these are the shares (scaled to 1; a source that isn't named gets 0).
     """
-    sizes = docs.groupBy(F.col(source_col).cast("string").alias("mix_source")).agg(F.count(F.lit(1)).alias("mix_docs"))
+    sizes = docs.groupBy(F.col(f"`{source_col}`").cast("string").alias("mix_source")).agg(F.count(F.lit(1)).alias("mix_docs"))
     if weights is None:
         want = F.pow(F.col("mix_docs").cast("double"), F.lit(float(temperature)))
     else:
@@ -61,29 +63,40 @@ def _with_distribution(rates: DataFrame) -> DataFrame:
     return terms.withColumn("mix_cdf", running).drop("terms")
 
 
-def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", seed: int = SEED, temperature: float = TEMPERATURE) -> DataFrame:
-    """``docs`` with mix_rate, mix_count (copies drawn) and mix_copy (from 0), one row per copy, not yet shuffled.
+def added_names(docs: DataFrame) -> tuple[str, str, str]:
+    """Names of the columns that ``replicate`` adds: rate, copies drawn, and the copy's number."""
+    return fresh(docs.columns, "mix_rate"), fresh(docs.columns, "mix_count"), fresh(docs.columns, "mix_copy")
 
-    The source table is joined on the source with adaptive skew handling where it is too large to broadcast.
-    """
-    rates = _with_distribution(repetition_rates(docs, weights, source_col, temperature))
-    uniform = f"conv(substr(md5(concat('{int(seed)}', ':', coalesce(cast(`{id_col}` as string), ''), ':', cast(j as string))), 1, {DIGITS}), 16, 10) / {float(16**DIGITS)!r}D"
-    one = f"size(filter(mix_cdf, c -> c <= u.v))"
-    count = F.expr(f"aggregate(transform(sequence(1, mix_parts), j -> named_struct('v', cast({uniform} as double))), 0, (a, u) -> a + {one})")
-    key = _fresh(docs, "mix_key")
-    joined = docs.withColumn(key, F.col(source_col).cast("string")).join(rates, F.col(key).eqNullSafe(F.col("mix_source")))
-    drawn = joined.withColumn("mix_count", F.when(F.col("mix_rate") > 0, count).otherwise(F.lit(0))).where("mix_count > 0")
-    return drawn.select(*[F.col(f"`{c}`") for c in docs.columns], "mix_rate", "mix_count", F.explode(F.sequence(F.lit(0), F.col("mix_count") - 1)).alias("mix_copy"))
+
+def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", seed: int = SEED, temperature: float = TEMPERATURE) -> DataFrame:
+    """``docs`` with mix_rate, mix_count (copies drawn) and mix_copy (from 0), one row per copy, not yet shuffled."""
+    rates = stage_table(_with_distribution(repetition_rates(docs, weights, source_col, temperature)), "rates")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rate, count, copy = added_names(docs)
+    key, id_text, salt, source, parts, cdf = (fresh(docs.columns, n) for n in ("mix_key", "mix_id", "mix_salt", "mix_source", "mix_parts", "mix_cdf"))
+    rates = rates.select(F.col("mix_source").alias(source), F.col("mix_rate").alias(rate), F.col("mix_parts").alias(parts), F.col("mix_cdf").alias(cdf))
+    keyed = docs.select(*own, F.col(f"`{source_col}`").cast("string").alias(key), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias(id_text))
+    same = F.col(key).eqNullSafe(F.col(source))
+    if rates.count() <= BROADCAST_SOURCES:
+        joined = keyed.join(F.broadcast(rates), same)
+    else:
+        dealt = rates.withColumn(f"{salt}2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        keyed = keyed.withColumn(salt, F.pmod(F.xxhash64(id_text), F.lit(SALTS)).cast("int"))
+        joined = keyed.join(dealt, same & (F.col(salt) == F.col(f"{salt}2")))
+    uniform = f"conv(substr(md5(concat('{int(seed)}', ':', {id_text}, ':', cast(j as string))), 1, {DIGITS}), 16, 10) / {float(16**DIGITS)!r}D"
+    drawn = f"aggregate(transform(sequence(1, {parts}), j -> named_struct('v', cast({uniform} as double))), 0, (a, u) -> a + size(filter({cdf}, c -> c <= u.v)))"
+    joined = joined.select(*own, rate, F.when(F.col(rate) > 0, F.expr(drawn)).otherwise(F.lit(0)).alias(count)).where(F.col(count) > 0)
+    return joined.select(*own, rate, count, F.explode(F.sequence(F.lit(0), F.col(count) - 1)).alias(copy))
 
 
-def shuffled(df: DataFrame, id_col: str = "doc_id", copy_col: str = "mix_copy", seed: int = SEED, column: str = "shuffle_key") -> DataFrame:
+def shuffled(df: DataFrame, id_col: str = "doc_id", copy_col: str = "mix_copy", seed: int = SEED) -> DataFrame:
     """Rows in a global random order fixed by a hash of id and copy: dealt over all partitions by it and sorted by
     it within each, so that copies of a document or a source don't stay together."""
-    keyed = df.withColumn(column, F.xxhash64(F.lit(int(seed)), F.col(id_col).cast("string"), F.col(copy_col)))
-    return keyed.repartition(column).sortWithinPartitions(column)
+    key = fresh(df.columns, "shuffle_key")
+    keyed = df.withColumn(key, F.xxhash64(F.lit(int(seed)), F.col(f"`{id_col}`").cast("string"), F.col(f"`{copy_col}`")))
+    return keyed.repartition(key).sortWithinPartitions(key).drop(key)
 
 
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, seed: int = SEED) -> DataFrame:
     """The mixed corpus with the columns of ``docs`` alone, in global random order."""
-    out = docs.columns
-    return shuffled(replicate(docs, weights, seed=seed), seed=seed).select(*[F.col(f"`{c}`") for c in out])
+    return shuffled(replicate(docs, weights, seed=seed), copy_col=added_names(docs)[2], seed=seed).select(*[F.col(f"`{c}`") for c in docs.columns])
