@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, stage_table
+from .common import bound_batches, drop_stage_table, fresh, released, stage_table
 from .components import connected_components
 
 COSINE = 0.93
@@ -70,11 +70,13 @@ def list_decode(unit: np.ndarray) -> list[np.ndarray]:
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """vec, label, key (digest of the components), dim, v (float or double components)."""
+    """vec, label, v (float or double components) and key (digest of the components; null where a row links with nothing)
+    of every row."""
     kept = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
-    own = vectors.select(F.col(id_col).alias("vec"), F.col(label_col).alias("label"), F.col(vector_col).cast(kept).alias("v")).where("vec is not null and label is not null and v is not null and size(v) > 0")
-    fine = "not exists(v, x -> x is null or isnan(x) or abs(x) = cast('infinity' as double)) and exists(v, x -> x <> 0)"
-    return own.where(fine).select("vec", "label", F.expr("md5(array_join(transform(v, x -> cast(cast(x as double) + 0.0D as string)), ','))").alias("key"), F.size("v").alias("dim"), "v")
+    own = vectors.select(F.col(f"`{id_col}`").alias("vec"), F.col(f"`{label_col}`").alias("label"), F.col(f"`{vector_col}`").cast(kept).alias("v"))
+    fine = "vec is not null and label is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = cast('infinity' as double)) and exists(v, x -> x <> 0)"
+    key = "md5(array_join(transform(v, x -> cast(cast(x as double) + 0.0D as string)), ','))"
+    return own.select("vec", "label", "v", F.expr(f"case when {fine} then {key} end").alias("key"))
 
 
 def filters_of(classes: DataFrame) -> DataFrame:
@@ -96,11 +98,12 @@ def filters_of(classes: DataFrame) -> DataFrame:
                     lists[r] = f
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], names=["vec", "filters"])
 
-    return classes.select("vec", "v").mapInArrow(decode, f"vec {classes.schema['vec'].dataType.simpleString()}, filters array<int>")
+    return classes.select("vec", "v").mapInArrow(released(decode), f"vec {classes.schema['vec'].dataType.simpleString()}, filters array<int>")
 
 
-def linked_in_tile(copies: np.ndarray, tile: np.ndarray, x: np.ndarray, filters: list[np.ndarray], own: int, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """For one filter's pair of tiles: partners found for each row, and links (row, row) that span what is linked."""
+def linked_in_tile(copies: np.ndarray, tile: np.ndarray, x: np.ndarray, below: list[np.ndarray], cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """For one filter's pair of tiles: partners found for each row, and links (row, row) that span what is linked. ``below``
+    are each row's filters before this one: a pair that shares one of them is counted there."""
     unit = x / np.abs(x).max(1, keepdims=True)
     unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
     close = np.triu(unit @ unit.T >= cosine, 1)
@@ -112,7 +115,7 @@ def linked_in_tile(copies: np.ndarray, tile: np.ndarray, x: np.ndarray, filters:
     if not len(a):
         return count, []
     rows = np.unique(np.concatenate([a, b]))
-    below = [f[: np.searchsorted(f, own)] for f in (filters[r] for r in rows)]
+    below = [below[r] for r in rows]
     names, where = np.unique(np.concatenate(below), return_inverse=True)
     member = np.zeros((len(rows), max(1, len(names))), np.float32)
     member[np.repeat(np.arange(len(rows)), [len(f) for f in below]), where] = 1
@@ -173,13 +176,13 @@ def verified_tiles(rows: DataFrame, cosine: float) -> DataFrame:
                 x = flat[at[own][:, None] + np.arange(dim)]
                 x = x / np.abs(x).max(1, keepdims=True)
                 busy += suspects(x / np.linalg.norm(x, axis=1, keepdims=True), group[own], cosine).tolist()
-        ids, copies, tile, f = t.column("vec"), t.column("copies").to_numpy(), t.column("tile").to_numpy(), t.column("f").to_numpy()
+        ids, copies, tile = t.column("vec"), t.column("copies").to_numpy(), t.column("tile").to_numpy()
         lists = t.column("filters")
         edges, values = lists.offsets.to_numpy(), lists.values.to_numpy()
         for g in busy:
             i, j = int(start[g]), int(start[g + 1])
             x = flat[at[i] : at[j]].reshape(j - i, -1)
-            count, links = linked_in_tile(copies[i:j], tile[i:j], x, [values[edges[r] : edges[r + 1]] for r in range(i, j)], int(f[i]), cosine)
+            count, links = linked_in_tile(copies[i:j], tile[i:j], x, [values[edges[r] : edges[r + 1]] for r in range(i, j)], cosine)
             hit = np.flatnonzero(count)
             if len(hit):
                 a = [*(hit + i).tolist(), *(p + i for p, _ in links)]
@@ -223,36 +226,40 @@ def verified_tiles(rows: DataFrame, cosine: float) -> DataFrame:
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             yield from settle(whole, np.array([0, len(whole)]))
 
-    return rows.mapInArrow(work, f"a {kind}, b {kind}, n long")
+    return rows.mapInArrow(released(work), f"a {kind}, b {kind}, n long")
 
 
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
     """One row per row of ``vectors``: id, n_links, component_id and kept.
 
-    ``id_col`` identifies a vector: rows that repeat an id with an equal vector count once.
+    Rows that repeat an id with an equal vector and label count once. Rows that repeat an id with another vector or label
+    are vectors of their own, which share the id: each has its own links. An empty table has no rows.
     """
     bound_batches(vectors.sparkSession)
-    usable = _usable(vectors, id_col, vector_col, label_col)
-    members = stage_table(usable.dropDuplicates(["vec", "label", "key"]), "vectors")
-    classes = members.groupBy("label", "key").agg(F.min("vec").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = stage_table(classes, "classes")
-    reps = members.join(classes.select("label", "key", F.col("rep").alias("vec"), "copies"), ["label", "key", "vec"])
-    reps = stage_table(reps.select("vec", "label", "dim", "v", "copies"), "reps")
-    listed = stage_table(filters_of(reps), "filters").join(reps.select("vec", "label", "dim"), "vec")
-    entries = stage_table(listed.select("vec", "label", "dim", "filters", F.explode("filters").alias("f")), "entries")
+    rows = _usable(vectors, id_col, vector_col, label_col)
+    # equal vectors of a label are one class, known by a number from here on
+    members = rows.where("key is not null").groupBy("label", "key", "vec").agg(F.first("v").alias("v"))
+    classes = members.groupBy("label", "key").agg(F.min("vec").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
+    classes = stage_table(classes.select(F.monotonically_increasing_id().alias("vec"), "label", "key", "rep", "copies", F.size("v").alias("dim"), "v"), "classes")
+    listed = filters_of(classes).join(classes.select("vec", "label", "dim"), "vec")
+    entries = stage_table(listed.select("vec", "label", "dim", F.posexplode("filters").alias("pos", "f"), "filters").select("vec", "label", "dim", "f", F.expr("slice(filters, 1, pos)").alias("filters")), "entries")
     groups = entries.groupBy("label", "dim", "f").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     groups = stage_table(groups.select("label", "dim", "f", F.expr(f"cast(ceil(size / {TILE}) as int)").alias("tiles")), "tiles")
     dealt = entries.join(groups, ["label", "dim", "f"]).withColumn("tile", F.expr("cast(pmod(xxhash64(vec), tiles) as int)"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
     dealt = dealt.select("label", "dim", "f", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "vec", "tile", "filters")
-    rows = dealt.join(reps.select("vec", "v", "copies"), "vec").select("label", "dim", "f", "t1", "t2", "vec", "tile", "filters", "copies", "v")
-    rows = rows.repartition("label", "dim", "f", "t1", "t2").sortWithinPartitions("label", "dim", "f", "t1", "t2")
-    found = stage_table(verified_tiles(rows, cosine), "found")
+    met = dealt.join(classes.select("vec", "v", "copies"), "vec").select("label", "dim", "f", "t1", "t2", "vec", "tile", "filters", "copies", "v")
+    met = met.repartition("label", "dim", "f", "t1", "t2").sortWithinPartitions("label", "dim", "f", "t1", "t2")
+    found = stage_table(verified_tiles(met, cosine), "found")
+    drop_stage_table(entries, groups)
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
-    comps = connected_components(found.where("b is not null"))
-    state = classes.join(counts, classes.rep == counts.a, "left").join(comps, classes.rep == comps.node, "left")
-    state = stage_table(state.select("label", "key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "state")
-    own = vectors.select(F.col(id_col).alias("vec"))
-    linked = members.select("vec", "label", "key").join(state, ["label", "key"]).groupBy("vec").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = own.join(linked, "vec", "left")
-    return out.select(F.col("vec").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec").alias("component_id"), F.coalesce(F.col("component_id") == F.col("vec"), F.lit(True)).alias("kept"))
+    comps = connected_components(found.where("b is not null")).withColumnRenamed("node", "vec")
+    ids = classes.select("vec", "rep").join(comps, "vec")
+    least = ids.groupBy("component").agg(F.min("rep").alias("least"))
+    ids = ids.join(least, "component").select("vec", "least")
+    state = classes.select("vec", "label", "key", "rep", "copies").join(counts, F.col("vec") == F.col("a"), "left").join(ids, "vec", "left")
+    state = state.select(F.col("label").alias("c_label"), F.col("key").alias("c_key"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
+    state = stage_table(state, "state")
+    drop_stage_table(found, classes)
+    out = rows.select("vec", "label", "key").join(state, (F.col("key") == F.col("c_key")) & (F.col("label") == F.col("c_label")), "left")
+    return out.select(F.col("vec").alias(fresh(["n_links", "component_id", "kept"], id_col)), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec").alias("component_id"), F.coalesce(F.col("component_id") == F.col("vec"), F.lit(True)).alias("kept"))
