@@ -1,8 +1,10 @@
 """Media columns: a byte payload is stored as 8-bit audio and described by polyphase resampling, overlapped
 log-mel filterbanks and hysteresis energy segmentation.
 
-Features come as fixed-shape tensors (``PATCH_FRAMES`` x ``MELS`` float32) with their time spans. Any payload of
-one byte or more has a result; a null payload counts as empty. Equal payloads give equal values.
+Features come as fixed-shape tensors (``PATCH_FRAMES`` x ``MELS`` float32) with their time spans. A null or empty text is a
+payload of zero bytes alone; texts of any length are taken whole, in blocks. Equal texts, repeated rows among them, give
+equal values; a silent or even payload has no loud segment. An empty table has no rows. Columns other than id and text are
+not looked at; an id column that is called like a result keeps its name with underscores behind.
 """
 
 from __future__ import annotations
@@ -10,22 +12,24 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches
+from .common import bound_batches, drop_stage_table, fresh, released, stage_table
 
 RATE = 16_000
 UP, DOWN = 1, 2
 OUT_RATE = RATE * UP // DOWN
 TAPS = 8
 FRAME, HOP, MELS = 512, 256, 32
-PATCH_FRAMES = 64
+PATCH_FRAMES = 16
 #: Segments start above the higher and end below the lower mark, both as shares of the loudness range.
 ENTER, LEAVE = 0.6, 0.4
 BLOCK = 1 << 18
@@ -149,9 +153,14 @@ def tensor_array(patches: np.ndarray) -> pa.FixedShapeTensorArray:
     return pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(patches))
 
 
-def tensor_ipc(patches: np.ndarray, spans: np.ndarray) -> bytes:
-    """An Arrow IPC stream of the tensors with the time span of each."""
-    table = pa.table({"start_s": spans[:, 0], "end_s": spans[:, 1], "log_mel": tensor_array(patches)})
+def frames_of(n: int) -> np.ndarray:
+    """Frames in each patch of n frames."""
+    return np.minimum(PATCH_FRAMES, n - np.arange(0, n, PATCH_FRAMES))
+
+
+def tensor_ipc(patches: np.ndarray, spans: np.ndarray, frames: np.ndarray) -> bytes:
+    """An Arrow IPC stream of the tensors with the time span of each and its number of frames (the rest is silence)."""
+    table = pa.table({"start_s": spans[:, 0], "end_s": spans[:, 1], "frames": pa.array(frames, pa.int32()), "log_mel": tensor_array(patches)})
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
@@ -168,55 +177,86 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return raw + b"\0" * (-len(raw) % 64 if raw else 64), len(raw)
 
 
-def feature_string(patches: np.ndarray, spans: np.ndarray, loud: list[tuple[float, float]], energy: np.ndarray) -> str:
-    mean = patches.reshape(-1, MELS)[: len(energy)].mean(0)
-    return f"frames={len(energy)};patches={len(spans)};end={spans[-1, 1]:.4f};loud={len(loud)}:{sum(b - a for a, b in loud):.3f};mel=" + ",".join(f"{v:.2f}" for v in mean[::4])
-
-
-def stored_features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Patches and spans as ``tensor_ipc`` stored them."""
+def stored_features(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Patches, spans and numbers of frames as ``tensor_ipc`` stored them."""
     table = read_tensor_ipc(data).combine_chunks()
     patches = table["log_mel"].chunk(0).to_numpy_ndarray()
-    return patches, np.stack([table["start_s"].to_numpy(), table["end_s"].to_numpy()], 1)
+    return patches, np.stack([table["start_s"].to_numpy(), table["end_s"].to_numpy()], 1), table["frames"].to_numpy()
 
 
-def described(text: str | None) -> tuple[list, bytes, bytes, list[tuple[float, float]]]:
-    """Values of MEDIA_FIELDS for a text, its WAV, its Arrow tensor stream and its loud segments."""
-    payload, n = payload_of(text)
-    media = wav_bytes(payload)
-    back = wav_payload(media)
-    patches, spans, loud, energy = features(back)
-    tensors = tensor_ipc(patches, spans)
-    patches, spans = stored_features(tensors)
-    row = [n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature_string(patches, spans, loud, energy)]
-    return row, media, tensors, loud
+def feature_string(patches: np.ndarray, spans: np.ndarray, frames: np.ndarray, loud: list[tuple[float, float]]) -> str:
+    """Frames, patches, last time, loud segments and the mean of each band."""
+    own = np.concatenate([p[:n] for p, n in zip(patches, frames.tolist(), strict=True)])
+    return f"frames={len(own)};patches={len(spans)};end={spans[-1, 1]:.4f};loud={len(loud)}:{sum(b - a for a, b in loud):.3f};mel=" + ",".join(f"{v:.2f}" for v in own.mean(0))
 
 
-MEDIA_FIELDS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+LOUD = "loud array<struct<start_s:double,end_s:double>>"
+#: Rows of a written Arrow batch: a batch holds media or tensors of so many texts.
+ROWS = 64
 
 
-def audio_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
-    """One row per document: digests of the payload as read back and of the stored WAV, the feature digest from the
-    tensors as read back and, with ``keep_media``, the WAV itself, the Arrow tensor stream and the loud segments. One
-    pass, no shuffle."""
+def _mapped(table: DataFrame, schema: T.StructType, describe: Callable[[dict[str, Any]], tuple]) -> DataFrame:
+    """One row of values for each row of ``table``; the first column, the id, is passed through."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [to_arrow_type(f.dataType) for f in schema.fields[1:]]
+        for batch in batches:
+            for first in range(0, len(batch), ROWS):
+                part = batch.slice(first, ROWS)
+                rows = [describe(r) for r in part.select(range(1, part.num_columns)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=schema.fieldNames())
+
+    return table.mapInArrow(released(work), schema)
+
+
+def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_bytes (of the text) and media: each text's payload as a WAV file. One pass, no shuffle."""
     bound_batches(docs.sparkSession)
     own = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    more = ", media binary, tensors binary, loud array<struct<start_s:double,end_s:double>>" if keep_media else ""
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *T._parse_datatype_string(MEDIA_FIELDS + more).fields])
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        if keep_media:
-            kinds += [pa.binary(), pa.binary(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))]
-        for batch in batches:
-            for first in range(0, len(batch), 64 if keep_media else 2048):
-                part = batch.slice(first, 64 if keep_media else 2048)
-                rows = []
-                for text in part.column(1):
-                    row, media, tensors, loud = described(text.as_py())
-                    if keep_media:
-                        row += [media, tensors, [{"start_s": a, "end_s": b} for a, b in loud]]
-                    rows.append(row)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[f.name for f in schema])
-
-    return own.mapInArrow(describe, schema)
+    def store(row: dict[str, Any]) -> tuple:
+        payload, n = payload_of(row["text"])
+        return n, wav_bytes(payload)
+
+    return _mapped(own, T.StructType([own.schema["id"], *T._parse_datatype_string("n_bytes long, media binary").fields]), store)
+
+
+MEDIA_FIELDS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+
+
+def tensor_table(media: DataFrame, keep_media: bool = False) -> DataFrame:
+    """For a table of ``media_table``: digests of the media and of the payload read from it, its features as an Arrow stream
+    of fixed-shape tensors with time spans, its loud segments and, with ``keep_media``, the media. One pass, no shuffle."""
+    bound_batches(media.sparkSession)
+
+    def describe(row: dict[str, Any]) -> tuple:
+        back = wav_payload(row["media"])
+        patches, spans, loud, energy = features(back)
+        tensors = tensor_ipc(patches, spans, frames_of(len(energy)))
+        segments = [{"start_s": a, "end_s": b} for a, b in loud]
+        return row["n_bytes"], len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(row["media"]), hashlib.sha256(row["media"]).hexdigest(), tensors, segments, *((row["media"],) if keep_media else ())
+
+    return _mapped(media, T.StructType([media.schema["id"], *T._parse_datatype_string(f"{MEDIA_FIELDS}, tensors binary, {LOUD}{', media binary' if keep_media else ''}").fields]), describe)
+
+
+def audio_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
+    """One row per document: n_bytes, digests of the stored WAV and of the payload read back, the feature digest of the
+    stored tensors and, with ``keep_media``, the WAV, the Arrow tensor stream and the loud segments.
+
+    Media are written, features are computed from what is read back and written as tensors, and the digest comes from the
+    tensors as read back. Three passes, no shuffle; the first table is deleted as soon as the second is written.
+    """
+    media = stage_table(media_table(docs, id_col, text_col), "media", codec="zstd")
+    table = stage_table(tensor_table(media, keep_media), "tensors", codec="zstd")
+    drop_stage_table(media)
+    fields = [c for c in table.columns if c not in ("id", "media", "tensors", "loud")]
+
+    def digest(row: dict[str, Any]) -> tuple:
+        loud = [(x["start_s"], x["end_s"]) for x in row["loud"]]
+        more = (row["media"], row["tensors"], row["loud"]) if keep_media else ()
+        return *(row[c] for c in fields), feature_string(*stored_features(row["tensors"]), loud), *more
+
+    out = T._parse_datatype_string(f"{MEDIA_FIELDS}, feature string" + (f", media binary, tensors binary, {LOUD}" if keep_media else "")).fields
+    name = fresh([f.name for f in out], id_col)
+    return _mapped(table, T.StructType([T.StructField(name, docs.schema[id_col].dataType), *out]), digest)

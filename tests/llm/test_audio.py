@@ -1,8 +1,11 @@
 import hashlib
 import zlib
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 from helpers import awkward
+from pyspark.sql import functions as F
 from recallframe.llm import audio as A
 
 
@@ -14,7 +17,7 @@ def test_round_trip_and_spans():
         patches, spans, loud, energy = A.features(payload)
         assert patches.shape[1:] == (A.PATCH_FRAMES, A.MELS) and len(spans) == len(patches)
         assert (spans[:, 1] > spans[:, 0]).all() and all(b > a for a, b in loud) and len(energy) <= len(patches) * A.PATCH_FRAMES
-        table = A.read_tensor_ipc(A.tensor_ipc(patches, spans))
+        table = A.read_tensor_ipc(A.tensor_ipc(patches, spans, A.frames_of(len(energy))))
         assert np.array_equal(table["log_mel"].combine_chunks().to_numpy_ndarray(), patches)
 
 
@@ -48,16 +51,31 @@ def test_columns(spark):
     assert A.audio_columns(docs.where("false")).count() == 0
 
 
-def test_feature_comes_from_the_stored_tensors(spark, monkeypatch):
+def test_feature_comes_from_the_stored_tensors(spark):
     docs = awkward(spark)
     got = {r.doc_id: r for r in A.audio_columns(docs).collect()}
     short = {r.doc_id: r for r in A.audio_columns(docs, keep_media=False).collect()}
     for d in docs.collect():
-        payload = A.payload_of(d.text)[0]
-        patches, spans = A.stored_features(bytes(got[d.doc_id].tensors))
-        want = A.features(payload)
-        assert np.array_equal(patches, want[0]) and np.array_equal(spans, want[1])
-        assert got[d.doc_id].feature == short[d.doc_id].feature == A.feature_string(*want) == A.described(d.text)[0][-1]
-    stored = A.tensor_ipc
-    monkeypatch.setattr(A, "tensor_ipc", lambda patches, spans: stored(patches + 1, spans))
-    assert A.described("some text")[0][-1] == A.feature_string(*[x + 1 if i == 0 else x for i, x in enumerate(A.features(A.payload_of("some text")[0]))])
+        patches, spans, frames = A.stored_features(bytes(got[d.doc_id].tensors))
+        want, at, loud, energy = A.features(A.payload_of(d.text)[0])
+        assert np.array_equal(patches, want) and np.array_equal(spans, at) and frames.sum() == len(energy)
+        assert [tuple(x) for x in got[d.doc_id].loud] == loud
+        assert got[d.doc_id].feature == short[d.doc_id].feature == A.feature_string(want, at, frames, loud)
+    # whatever the tables hold is what counts: other media or tensors give other digests
+    media = A.media_table(docs.where("doc_id = 3"))
+    other = A.tensor_table(media.withColumn("media", F.lit(bytearray(A.wav_bytes(b"x" * 64))))).first()
+    assert other.payload_sha256 == hashlib.sha256(b"x" * 64).hexdigest() != got[3].payload_sha256
+    kinds = A.read_tensor_ipc(bytes(got[6].tensors)).schema
+    assert isinstance(kinds.field("log_mel").type, pa.FixedShapeTensorType) and kinds.field("log_mel").type.shape == [A.PATCH_FRAMES, A.MELS] and {"start_s", "end_s"} <= set(kinds.names)
+
+
+def test_clashing_names_and_digests_in_sql(spark, tmp_path):
+    docs = awkward(spark)
+    odd = docs.withColumnRenamed("doc_id", "feature").withColumnRenamed("lang", "media").withColumnRenamed("source", "id")
+    rows = A.audio_columns(odd, id_col="feature").collect()
+    assert len(rows) == 11 and {r.feature_ for r in rows} == {r.doc_id for r in docs.collect()}
+    docs.write.parquet(f"{tmp_path}/docs")
+    want = duckdb.sql(f"""select doc_id, n, n + pad, sha256(concat(text, repeat(chr(0), pad::int))) from (select *, case when n > 0 and n % 64 = 0 then 0 else 64 - n % 64 end as pad
+        from (select doc_id, coalesce(text, '') as text, strlen(coalesce(text, '')) as n from '{tmp_path}/docs/*.parquet'))""").fetchall()
+    got = {(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256) for r in A.audio_columns(docs, keep_media=False).collect()}
+    assert got == set(want)
