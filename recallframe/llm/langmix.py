@@ -1,13 +1,16 @@
 """Language identification as mixture inference: expectation-maximisation estimates each document's language
 proportions from byte n-gram likelihoods, and a penalised likelihood selects the set of languages.
 
-A null text, or one without a letter, is ``und`` with score 0, as is every text while no language is known.
-Ties go to the language that sorts first.
+A null text, or one without a letter, is ``und`` with score 0, as is every text while no language is known. A text with a
+letter but no known n-gram gets the language with the most documents. Ties go to the language that sorts first. Texts of any
+length are read whole; rows that repeat count as often as they come when languages are learned and get equal results. An
+empty table teaches nothing and has no results. Columns other than id, text and lang are not looked at.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,14 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_WORDS, bound_batches, lower_ascii_table, text_bytes, text_slices
+from .common import ALNUM_WORDS, bound_batches, fresh, lower_ascii_table, released, text_bytes, text_slices
 
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
 EM_STEPS = 12
 #: Times log(n) that a further language must gain in log-likelihood.
 PENALTY = 3.0
-MAX_SET = 4
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.where(ALNUM_WORDS | ((np.arange(256) >= 65) & (np.arange(256) <= 90)), lower_ascii_table(), 0x20)
 _FOLD[ord("0") : ord("9") + 1] = 0x20
@@ -48,24 +50,38 @@ def gram_buckets(data: np.ndarray) -> np.ndarray:
 class LanguageModel:
     langs: tuple[str, ...]
     like: np.ndarray  # language x bucket
+    prior: np.ndarray | None = None  # share of each language among the documents
+
+    def usual(self) -> int:
+        return 0 if self.prior is None else int(np.argmax(self.prior))
+
+    def gain(self, p: np.ndarray, counts: np.ndarray, chosen: list[int]) -> tuple[float, np.ndarray]:
+        """Penalised log-likelihood of a set of languages, and their proportions."""
+        n = counts.sum()
+        pi = mixture(p[chosen], counts, n)
+        return float(np.log(pi @ p[chosen]) @ counts) - PENALTY * np.log(max(n, 2)) * (len(chosen) - 1), pi
 
     def infer(self, counts: np.ndarray, buckets: np.ndarray) -> tuple[list[str], np.ndarray, str, float]:
         """Selected languages, their proportions, the main one and its share."""
         p = self.like[:, buckets]
-        n = counts.sum()
-        single = np.log(p) @ counts
-        best = int(np.argmax(single))
-        full = mixture(p, counts, n)
-        chosen, share, level = [best], np.ones(1), single[best]
-        for add in [int(i) for i in np.argsort(-full, kind="stable") if i != best][: MAX_SET - 1]:
-            if full[add] < 0.02:
-                break
-            q = p[[*chosen, add]]
-            pi = mixture(q, counts, n)
-            gain = float(np.log(pi @ q) @ counts)
-            if gain - level < PENALTY * np.log(max(n, 2)):
+        full = mixture(p, counts, counts.sum())
+        best = int(np.argmax(np.log(p) @ counts))
+        chosen, (level, share) = [best], self.gain(p, counts, [best])
+        rest = [int(i) for i in np.argsort(-full, kind="stable") if i != best]
+        while rest:  # the languages that the whole mixture weighs most come first; the penalty alone ends it
+            trial = [*chosen, rest[0]]
+            value, pi = self.gain(p, counts, trial)
+            if value <= level:
                 break
-            chosen, share, level = [*chosen, add], pi, gain
+            chosen, level, share = trial, value, pi
+            rest.pop(0)
+            while len(chosen) > 2:  # one that was taken before may have become needless
+                fewer = [[x for x in chosen if x != c] for c in chosen]
+                values = [self.gain(p, counts, f) for f in fewer]
+                k = int(np.argmax([v[0] for v in values]))
+                if values[k][0] <= level:
+                    break
+                chosen, (level, share) = fewer[k], values[k]
         k = int(np.argmax(share))
         return [self.langs[i] for i in chosen], share, self.langs[chosen[k]], float(min(1.0, full[chosen[k]]))
 
@@ -73,20 +89,23 @@ class LanguageModel:
 def mixture(p: np.ndarray, counts: np.ndarray, n: float) -> np.ndarray:
     """Proportions of the rows of ``p`` by expectation-maximisation from equal shares."""
     pi = np.full(len(p), 1 / len(p))
-    for _ in range(EM_STEPS):
+    for _ in range(EM_STEPS if len(p) > 1 else 0):
         pi = pi * (p @ (counts / (pi @ p))) / n
         pi /= pi.sum()
     return pi
 
 
 def language_counts(docs: DataFrame) -> DataFrame:
-    """Counts of each language's buckets over all documents of ``docs`` (lang, text): lang, bucket, n."""
+    """Counts of each language's buckets over all documents of ``docs`` (lang, text), and of its documents under the bucket
+    BUCKETS: lang, bucket, n."""
     bound_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+        texts_of: Counter[str] = Counter()
         for batch in batches:
             langs = batch.column(0).to_pylist()
+            texts_of.update(langs)
             texts = batch.column(1)
             for first, last in text_slices(texts):
                 data, off = text_bytes(texts.slice(first, last - first))
@@ -96,10 +115,11 @@ def language_counts(docs: DataFrame) -> DataFrame:
                     s = sums.setdefault(langs[first + i], np.zeros(BUCKETS + 1, np.int64))
                     s += np.bincount(own, minlength=BUCKETS + 1)
         for lang, s in sums.items():
-            at = np.flatnonzero(s[:BUCKETS])
+            s[BUCKETS] = texts_of[lang]
+            at = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(s[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    return docs.select("lang", "text").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(released(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def fit_languages(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> LanguageModel | None:
@@ -110,9 +130,10 @@ def fit_languages(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     if not len(got):
         return None
     names, which = np.unique(np.array(got["lang"].to_pylist(), dtype=object).astype(str), return_inverse=True)
-    table = np.full((len(names), BUCKETS), SMOOTHING)
+    table = np.full((len(names), BUCKETS + 1), SMOOTHING)
     table[which, got["bucket"].to_numpy()] += got["n"].to_numpy()
-    return LanguageModel(tuple(str(x) for x in names), table / table.sum(1, keepdims=True))
+    prior, table = table[:, BUCKETS], table[:, :BUCKETS]
+    return LanguageModel(tuple(str(x) for x in names), table / table.sum(1, keepdims=True), prior / prior.sum())
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,7 +141,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None, id_col: str
     bound_batches(docs.sparkSession)
     own = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     fields = T._parse_datatype_string("lang_pred string, score double, langs array<string>, shares array<double>").fields
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *fields])
+    schema = T.StructType([T.StructField(fresh([f.name for f in fields], id_col), docs.schema[id_col].dataType), *fields])
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,11 +158,12 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None, id_col: str
                         continue
                     c = np.bincount(h[off[i] : max(off[i], off[i + 1] - 2)], minlength=BUCKETS + 1)[:BUCKETS]
                     at = np.flatnonzero(c)
-                    if not len(at):  # a letter or two: the frequency of languages decides nothing
-                        rows.append((model.langs[0], 1 / len(model.langs), [model.langs[0]], [1.0]))
+                    if not len(at):  # a letter or two: what is most usual decides
+                        k = model.usual()
+                        rows.append((model.langs[k], 1 / len(model.langs) if model.prior is None else float(model.prior[k]), [model.langs[k]], [1.0]))
                         continue
                     langs, shares, pred, score = model.infer(c[at].astype(np.float64), at)
                     rows.append((pred, score, langs, shares.tolist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()))))], names=[f.name for f in schema])
 
-    return own.mapInArrow(infer, schema)
+    return own.mapInArrow(released(infer), schema)

@@ -1,8 +1,10 @@
 """Licence scan: an Aho-Corasick automaton finds identifier tags and notice phrases; a shunting-yard parser
 evaluates the and/or/with expressions of the tags.
 
-A null or empty text has no words, no labels and score 0. Rows that repeat give the same values. Columns of the
-input other than the text are passed through untouched, so names can't clash unless the caller asks for it.
+A null or empty text has no words, no labels and score 0; an empty table has no rows. Rows that repeat give the same
+values, and of phrases that overlap each counts. Texts of any length are scanned whole in time that grows with them.
+Columns other than id and text are not looked at; an id column that is called like a result keeps its name with
+underscores behind.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import ALNUM_WORDS, bound_batches, lower_ascii_table
+from .common import ALNUM_WORDS, bound_batches, fresh, lower_ascii_table, released
 
 #: Fixed by the contract: phrase words and their label.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -83,19 +85,23 @@ def to_postfix(tokens: list[str]) -> list[str]:
 
 
 def evaluate(text: str, start: int = 0) -> tuple[set[str], float | None]:
-    """Labels and openness of the licence expression at ``start``, which ends with its line at the latest: OR takes the
-    freer side, AND the stricter."""
-    tokens, awaited = [], True
+    """Labels and openness of the licence expression at ``start``: OR takes the freer side, AND the stricter.
+
+    It begins on the tag's line and ends with a line that neither awaits an operand nor leaves a parenthesis open."""
+    tokens, awaited, depth = [], True, 0
     for m in _TOKEN.finditer(text, start):  # lazily: what follows the expression isn't read
         t = m[0].lower()
         if t.isspace():
-            break
+            if not tokens or not (awaited or depth > 0):
+                break
+            continue
         operand = t not in _BINDS and t not in "()"
         if (operand or t == "(") and not awaited:
             break  # two operands without an operator: prose follows the expression
         if t in _BINDS and awaited:
             break
         tokens.append(t)
+        depth += (t == "(") - (t == ")")
         awaited = t in _BINDS or t == "("
     labels: set[str] = set()
     stack: list[float] = []
@@ -150,16 +156,14 @@ def scan_text(text: str | None) -> tuple[int, int, int | None, int | None, list[
     scores: list[float] = []
     places: list[tuple[str, int, int]] = []
     tags = 0
-    seen = at = 0
+    spaces: np.ndarray | None = None
     for end, (n, length, label, is_base) in automaton().iter(joined):
-        start = end - length + 1
-        if start < at:
-            at = seen = 0  # matches come by their ends; a longer one may start before
-        seen += joined.count(" ", at, start)
-        at = start
         if not label:
             tags += 1
             continue
+        if spaces is None:
+            spaces = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32) == 0x20)
+        seen = int(np.searchsorted(spaces, end - length + 1))
         places.append((label, seen, n))
         labels.add(label)
         scores.append(OPENNESS[label])
@@ -183,7 +187,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     without any) and every place where a phrase stands. One pass, no shuffle."""
     bound_batches(docs.sparkSession)
     own = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *T._parse_datatype_string(SCAN_FIELDS).fields])
+    found = T._parse_datatype_string(SCAN_FIELDS).fields
+    schema = T.StructType([T.StructField(fresh([f.name for f in found], id_col), docs.schema[id_col].dataType), *found])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64()), ("n_words", pa.int64())]))]
@@ -195,4 +200,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[f.name for f in schema])
 
-    return own.mapInArrow(scan, schema)
+    return own.mapInArrow(released(scan), schema)

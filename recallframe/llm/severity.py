@@ -1,8 +1,11 @@
 """Toxicity as cumulative-link ordinal regression: severity grades from sparse word and word-beginning features,
 one weight vector shared across ordered thresholds, and the expected severity as output.
 
-Labels say only whether a text is toxic; its grade follows from how many distinct marker words it holds. A null
-or empty text has severity 0. Without labelled rows of both kinds no text is toxic.
+Labels say only whether a text is toxic. The grade of a toxic training text is the number of distinct markers that it
+holds of those that stand out in the other half of the training texts, so that no text is graded by what was learned from
+itself. A text without a word (null, empty, blank) has severity 0. Without labelled rows of both kinds no text is toxic.
+Texts of any length are read whole; rows that repeat get equal values, and of rows that repeat an id one is learned from. An
+empty table has no values. Columns other than id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_WORDS, WordHasher, bound_batches, id_text, labelled_sample, text_bytes, text_slices
+from .common import ALNUM_WORDS, WordHasher, bound_batches, fresh, id_text, labelled_sample, released, text_bytes, text_slices
 
 #: Labelled documents that a fit reads at most.
 MAX_TRAIN = 6000
@@ -25,7 +28,6 @@ SPACE_BITS = 22
 PREFIXES: tuple[int | None, ...] = (None, 4, 5, 6)
 MIN_SUPPORT = 3
 MIN_LIFT = 8.0
-MAX_FEATURES = 4000
 #: Distinct markers from which a toxic text has the next grade.
 GRADE_STEPS = (1, 3, 6)
 STEPS, RATE, RIDGE = 600, 0.1, 1e-4
@@ -79,7 +81,7 @@ def sparse_features(sample: DataFrame) -> DataFrame:
                 lists += [np.unique(ids[rows == i]) for i in range(last - first)] if last - first < 8 else split_unique(rows, ids, last - first)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "value", "ids"])
 
-    return sample.mapInArrow(extract, T.StructType([sample.schema["doc_id"], sample.schema["value"], T.StructField("ids", T.ArrayType(T.LongType()))]))
+    return sample.mapInArrow(released(extract), T.StructType([sample.schema["doc_id"], sample.schema["value"], T.StructField("ids", T.ArrayType(T.LongType()))]))
 
 
 def split_unique(rows: np.ndarray, ids: np.ndarray, n: int) -> list[np.ndarray]:
@@ -97,42 +99,58 @@ def fit_severity(docs: DataFrame, labels: DataFrame, value: str = "toxic", bound
     return fit_grades(np.split(ids.values.to_numpy(), ids.offsets.to_numpy()[1:-1]), got["value"].to_numpy())
 
 
+def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and feature of all that the lists hold."""
+    return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([np.zeros(0, np.int64), *lists])
+
+
+def _lifts(rows: np.ndarray, ids: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many toxic texts hold each feature, and how much more often they do than the others."""
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+    ones = np.bincount(ids[toxic[rows]], minlength=1 << SPACE_BITS)
+    zeros = np.bincount(ids[~toxic[rows]], minlength=1 << SPACE_BITS)
+    return ones, ((ones + 0.1) / (n1 + 0.2)) / ((zeros + 0.1) / (n0 + 0.2))
+
+
 def fit_grades(lists: list[np.ndarray], toxic: np.ndarray) -> SeverityModel | None:
-    n1, n0 = int((toxic == 1).sum()), int((toxic != 1).sum())
-    if not n1 or not n0:
+    toxic = np.asarray(toxic) == 1
+    if not toxic.any() or toxic.all():
         return None
-    ones = np.bincount(np.concatenate([x for x, t in zip(lists, toxic, strict=True) if t == 1]), minlength=1 << SPACE_BITS)
-    zeros = np.bincount(np.concatenate([x for x, t in zip(lists, toxic, strict=True) if t != 1]), minlength=1 << SPACE_BITS)
-    lift = ((ones + 0.1) / (n1 + 0.2)) / ((zeros + 0.1) / (n0 + 0.2))
-    worth = np.where((ones >= MIN_SUPPORT) & (lift >= MIN_LIFT), ones * np.log(lift), 0)
-    features = np.sort(np.argsort(-worth, kind="stable")[:MAX_FEATURES])
-    features = features[worth[features] > 0]
+    rows, ids = _flat(lists)
+    ones, lift = _lifts(rows, ids, toxic)
+    features = np.flatnonzero((ones >= MIN_SUPPORT) & (lift >= MIN_LIFT))
     if not len(features):
         return None
-    x = np.zeros((len(lists), len(features)), np.float32)
-    for i, ids in enumerate(lists):
-        at = np.searchsorted(features, ids)
-        at = at[(at < len(features))]
-        own = np.isin(features[at], ids)
-        x[i, at[own]] = 1
-    strong = lift[features] >= 4 * MIN_LIFT
-    marks = x[:, strong].sum(1)
-    grade = np.where(toxic == 1, np.maximum(1, np.searchsorted(GRADE_STEPS, marks, side="right")), 0)
+    # each half of the texts is graded by the markers of the other half
+    half = np.zeros(len(lists), bool)
+    half[np.flatnonzero(toxic)[::2]] = half[np.flatnonzero(~toxic)[::2]] = True
+    marks = np.zeros(len(lists), np.int64)
+    for own in (half, ~half):
+        theirs = ~own[rows]
+        n, far = _lifts(rows[theirs], ids[theirs], toxic)
+        marker = (n >= MIN_SUPPORT) & (far >= 4 * MIN_LIFT)
+        marks += np.bincount(rows[~theirs], marker[ids[~theirs]], minlength=len(lists)).astype(np.int64)
+    grade = np.where(toxic, np.maximum(1, np.searchsorted(GRADE_STEPS, marks, side="right")), 0)
     levels = int(grade.max())
-    y = (grade[:, None] > np.arange(levels)).astype(np.float32)
-    w, cuts = np.zeros(len(features), np.float32), np.arange(1, levels + 1, dtype=np.float32)
+    y = (grade[:, None] > np.arange(levels)).astype(np.float64)
+    place = np.full(1 << SPACE_BITS, -1)
+    place[features] = np.arange(len(features))
+    held = place[ids] >= 0
+    r, c = rows[held], place[ids[held]]  # the sparse table of features, rows in order
+    w, cuts = np.zeros(len(features)), np.arange(1, levels + 1, dtype=np.float64)
     params = [w, cuts]
     mean, var = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, STEPS + 1):
-        p = 1 / (1 + np.exp(-np.clip((x @ w)[:, None] - cuts, -30, 30)))
+        line = np.bincount(r, w[c], minlength=len(lists))
+        p = 1 / (1 + np.exp(-np.clip(line[:, None] - cuts, -30, 30)))
         d = (p - y) / len(y)
-        grads = [x.T @ d.sum(1) + RIDGE * w, -d.sum(0)]
+        grads = [np.bincount(c, d.sum(1)[r], minlength=len(w)) + RIDGE * w, -d.sum(0)]
         for v, g, m, s in zip(params, grads, mean, var, strict=True):
             m += 0.1 * (g - m)
             s += 0.001 * (g * g - s)
             v -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
         np.maximum.accumulate(cuts, out=cuts)  # thresholds stay ordered
-    return SeverityModel(features, w, cuts.astype(np.float64))
+    return SeverityModel(features, w.astype(np.float32), cuts)
 
 
 def score_severity(docs: DataFrame, model: SeverityModel | None, id_col: str = "doc_id", text_col: str = "text", keep: str = "") -> DataFrame:
@@ -143,7 +161,7 @@ def score_severity(docs: DataFrame, model: SeverityModel | None, id_col: str = "
     bound_batches(docs.sparkSession)
     names = ["severity", "grade", "score", "toxic"]
     fields = [T.StructField(f"{keep}{n}", k) for n, k in zip(names, (T.DoubleType(), T.IntegerType(), T.DoubleType(), T.BooleanType()), strict=True)]
-    own = docs if keep else docs.select(docs[id_col], docs[text_col].alias("_text"))
+    own = docs if keep else docs.select(docs[id_col].alias(fresh(names, id_col)), docs[text_col].cast("string").alias("_text"))
     schema = T.StructType([*(own.schema.fields if keep else own.schema.fields[:1]), *fields])
     text_at = own.columns.index(text_col) if keep else 1
     packed = None if model is None else (model.features, model.weights)
@@ -156,7 +174,7 @@ def score_severity(docs: DataFrame, model: SeverityModel | None, id_col: str = "
         for batch in batches:
             texts = batch.column(text_at)
             line = np.zeros(len(texts))
-            hit = np.zeros(len(texts), bool)
+            worded = np.zeros(len(texts), bool)
             for first, last in text_slices(texts) if weights is not None else ():
                 data, off = text_bytes(texts.slice(first, last - first))
                 rows, ids = feature_ids(data, off)
@@ -164,16 +182,16 @@ def score_severity(docs: DataFrame, model: SeverityModel | None, id_col: str = "
                 key = np.unique(rows[at] << SPACE_BITS | ids[at])
                 r = key >> SPACE_BITS
                 line[first:last] = np.bincount(r, weights[key & ((1 << SPACE_BITS) - 1)], minlength=last - first)
-                hit[first + r] = True
+                worded[first + np.unique(rows)] = True
             if model is None:
                 above = np.zeros((len(texts), 1))
             else:
-                above = np.where(hit[:, None], model.above(line), 0.0)  # without any marker a text is clean
+                above = np.where(worded[:, None], model.above(line), 0.0)
             grade = (above >= 0.5).sum(1)
             values = [pa.array(above.sum(1), pa.float64()), pa.array(grade, pa.int32()), pa.array(above[:, 0], pa.float64()), pa.array(above[:, 0] >= REJECT, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*(batch.columns if keep else batch.columns[:1]), *values], names=[f.name for f in schema])
 
-    return own.mapInArrow(score, schema)
+    return own.mapInArrow(released(score), schema)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

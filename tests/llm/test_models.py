@@ -59,9 +59,9 @@ def test_quality_chunks_and_awkward(spark, monkeypatch):
     net = B.train(texts, np.array([1.0] * 30 + [0.0] * 30, np.float32))
     data = np.frombuffer(b"".join(texts), np.uint8)
     off = np.array([0, len(data)])
-    whole = net.pooled(data, B.repeat_marks(data, off), off, net.stacked())
+    whole = net.pooled(data, off, net.stacked())
     monkeypatch.setattr(B, "CHUNK", 64)
-    assert np.allclose(whole, net.pooled(data, B.repeat_marks(data, off), off, net.stacked()), atol=1e-4)
+    assert np.allclose(whole, net.pooled(data, off, net.stacked()), atol=1e-4)
     docs = awkward(spark)
     got = {r.doc_id: r.score for r in B.score_quality(docs, net).collect()}
     assert len(got) == 11 and got[0] == got[1] and got[3] == got[4]
