@@ -80,12 +80,17 @@ def time_to_first_token(latency_s: ColumnOrName, first: ColumnOrName, arrival: C
     return F.when(_c(latency_s) > 0, _c(latency_s) * 1000).when(gap >= 0, gap * 1000).otherwise(F.raise_error(F.lit("no first-token timing")).cast("double"))
 
 
+def fixed(x: ColumnOrName, digits: int, suffix: str = "") -> Column:
+    """A number with so many decimals; a half goes to the even digit."""
+    return F.format_string(f"%.{digits}f{suffix}", F.bround(_c(x).cast("double"), digits))
+
+
 def two_digits(x: ColumnOrName, suffix: str = "") -> Column:
-    return F.when(_c(x).isNull(), "-").otherwise(F.format_string(f"%.2f{suffix}", _c(x).cast("double")))
+    return F.when(_c(x).isNull(), "-").otherwise(fixed(x, 2, suffix))
 
 
 def ratio_text(a: ColumnOrName, b: ColumnOrName) -> Column:
-    return F.when(_c(a).isNull() | _c(b).isNull() | (_c(b) <= 0), "-").otherwise(F.format_string("%.2fx", _c(a) / _c(b)))
+    return F.when(_c(a).isNull() | _c(b).isNull() | (_c(b) <= 0), "-").otherwise(fixed(_c(a) / _c(b), 2, "x"))
 
 
 def result_columns(users: ColumnOrName, per_user: int, generation_s: ColumnOrName, tokens_in: ColumnOrName, tokens_out: ColumnOrName) -> dict[str, Column]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
@@ -74,7 +74,12 @@ def turn_role(speaker: ColumnOrName, speaker_a: ColumnOrName, speaker_b: ColumnO
 
 def uuid5(name: ColumnOrName, namespace: str = FACT_NAMESPACE) -> Column:
     """Version-5 UUID of a name, from SHA-1 and bit operations on its hexadecimal digits."""
-    digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(_c(name), "UTF-8")))
+    return uuid5_of(F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(_c(name), "UTF-8"))))
+
+
+def uuid5_of(sha1: ColumnOrName) -> Column:
+    """The UUID that a name's SHA-1 (hexadecimal) makes."""
+    digest = _c(sha1)
     nibble = F.conv(F.substring(digest, 17, 1), 16, 10).cast("int")
     variant = F.element_at(F.array(*[F.lit(x) for x in "89ab"]), (nibble % 4) + 1)
     return F.concat(F.substring(digest, 1, 8), F.lit("-"), F.substring(digest, 9, 4), F.lit("-5"), F.substring(digest, 14, 3), F.lit("-"), variant, F.substring(digest, 18, 3), F.lit("-"), F.substring(digest, 21, 12))
@@ -99,6 +104,14 @@ def fact_id(sample: ColumnOrName, source_turn: ColumnOrName, text: ColumnOrName)
     return uuid5(canonical_json(sample_id=json_string(sample), source_turn_id=json_string(source_turn), text=json_string(squeeze(text))))
 
 
+def with_fact_id(df: DataFrame, sample: str, source_turn: str, text: str, name: str = "fact_id") -> DataFrame:
+    """``fact_id`` as a column, in steps that each name the one before several times but compute it once."""
+    identity = canonical_json(sample_id=json_string(sample), source_turn_id=json_string(source_turn), text=json_string("__text"))
+    steps = df.withColumn("__text", squeeze(text)).withColumn("__identity", identity)
+    steps = steps.withColumn("__digest", F.sha1(F.concat(F.unhex(F.lit(FACT_NAMESPACE.replace("-", ""))), F.encode("__identity", "UTF-8"))))
+    return steps.withColumn(name, uuid5_of("__digest")).drop("__text", "__identity", "__digest")
+
+
 def text_hash(memory: ColumnOrName, text: ColumnOrName) -> Column:
     return F.sha2(F.coalesce(first_filled(memory, text), F.lit("")), 256)
 
@@ -181,13 +194,23 @@ def judge_payload(x: ColumnOrName) -> Column:
     return F.struct(v.alias("correct"), F.when(v.isNull(), trim_all(x)).otherwise("").alias("reason"), _c(x).alias("raw"), F.when(v.isNull(), "unparsed").otherwise("ok").alias("status"))
 
 
+# The judge's instruction, on which cached verdicts depend.
+JUDGE_SYSTEM_PROMPT = (
+    "You are evaluating the correctness of an answer about a conversation. "
+    "Compare the predicted answer to the reference answer. "
+    "Answer with exactly one lowercase word: true or false."
+)
+JUDGE_RULES = (
+    "Return true if the prediction conveys the same essential information as the reference answer, even if worded differently. "
+    "Return false for contradictions, unsupported answers, or missing key facts. "
+    "Output only true or false. Do not return JSON, punctuation, or an explanation."
+)
+
+
 def judge_prompt(question: ColumnOrName, answer: ColumnOrName, predicted: ColumnOrName) -> Column:
     """Instruction for a judge that answers with one lower-case word."""
-    return F.concat(
-        F.lit("Decide whether a predicted answer about a conversation agrees with the reference answer. Reply with exactly one lowercase word: true or false.\n\nQuestion: "), _c(question),
-        F.lit("\nReference answer: "), _c(answer), F.lit("\nPredicted answer: "), _c(predicted),
-        F.lit("\n\nSay true if the prediction holds the same essential information in whatever words, false if it contradicts it, lacks key facts or has no support."),
-    )
+    parts = [F.lit(f"{JUDGE_SYSTEM_PROMPT}\n\nQuestion: "), _c(question), F.lit("\nReference answer: "), _c(answer), F.lit("\nPredicted answer: "), _c(predicted), F.lit(f"\n\n{JUDGE_RULES}")]
+    return F.concat(*parts)
 
 
 def category_name(x: ColumnOrName) -> Column:
@@ -222,9 +245,13 @@ def content_text(x: ColumnOrName) -> Column:
     return F.coalesce(whole, F.array_join(F.transform(parts, text), ""), F.lit(""))
 
 
+# An error speaks of the context limit if it holds a term of each list.
+CONTEXT_TERMS = ("context", "prompt", "token", "sequence")
+LIMIT_TERMS = ("too long", "maximum", "max", "limit", "length")
+
+
 def context_limit_error(x: ColumnOrName) -> Column:
-    """Whether an error text speaks of a context or token limit."""
+    """Whether an error text speaks of a context limit."""
     t = F.lower(_c(x))
-    about = t.contains("context") | t.contains("token") | t.contains("prompt")
-    limit = t.contains("length") | t.contains("limit") | t.contains("maximum") | t.contains("too long") | t.contains("exceed")
-    return F.coalesce(about & limit, F.lit(False))
+    hold = [F.exists(F.array(*[F.lit(w) for w in terms]), lambda w: t.contains(w)) for terms in (CONTEXT_TERMS, LIMIT_TERMS)]
+    return F.coalesce(hold[0] & hold[1], F.lit(False))

@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import number, per_second, safe_ratio, wilson
 from ..functions.text import category_name
-from .retrieval import ranked_by
+from .retrieval import order_statistics, ranked_by
 
 
 def numeric_summary(df: DataFrame, *metrics: str, by: Sequence[str] = ()) -> DataFrame:
     """count, avg, min, p50, p95 and max of each metric over its non-null values, one row per metric (and group)."""
     long = df.unpivot([F.col(b) for b in by], [F.col(m).cast("double").alias(m) for m in metrics], "metric", "value") if by else df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("x")).select("x.*")
-    return long.groupBy(*by, "metric").agg(F.count("value").alias("count"), F.avg("value").alias("avg"), F.min("value").alias("min"), F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.95).alias("p95"), F.max("value").alias("max"))
+    quantiles = order_statistics(long, [*by, "metric"], "value", (0.5, 0.95)).groupBy(*by, "metric").agg(
+        F.max(F.when(F.col("fraction") == 0.5, F.col("quantile"))).alias("p50"), F.max(F.when(F.col("fraction") == 0.95, F.col("quantile"))).alias("p95"))
+    out = long.groupBy(*by, "metric").agg(F.count("value").alias("count"), F.avg("value").alias("avg"), F.min("value").alias("min"), F.max("value").alias("max"))
+    mine, theirs = out.alias("a"), quantiles.alias("b")
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "metric")])
+    return mine.join(theirs, same, "left").select(*[F.col(f"a.{c}") for c in (*by, "metric", "count", "avg", "min")], "p50", "p95", F.col("a.max"))
 
 
 def run_summary(records: DataFrame, query_ms: str = "query_ms") -> DataFrame:

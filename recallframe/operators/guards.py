@@ -40,15 +40,30 @@ def valid_hits(hits: DataFrame, expected: Column, group: str = "query_id") -> Da
 
 
 def extraction_problem(response: str = "response", limit: int = 5, longest: int = 600) -> Column:
-    """What is wrong with a model's JSON list of facts (null: nothing): its keys, size, fields, texts."""
-    text = F.col(response)
-    keys = F.json_object_keys(text)
-    facts = F.from_json(F.get_json_object(text, "$.memory"), "array<map<string,string>>")
-    blank = F.exists(facts, lambda f: F.length(F.trim(F.coalesce(f["text"], F.lit("")))) == 0)
-    long = F.exists(facts, lambda f: F.length(F.trim(F.coalesce(f["text"], F.lit("")))) > longest)
+    """What is wrong with a model's JSON list of facts (null: nothing): its keys, size, and each fact's fields, id, text,
+    speaker and links, in the order in which they are looked at."""
+    v = F.try_parse_json(F.col(response))
+    keys = F.when(F.schema_of_variant(v).startswith("OBJECT"), F.json_object_keys(F.to_json(v)))
+    listed = F.schema_of_variant(F.try_variant_get(v, "$.memory", "variant"))
+    facts = F.try_variant_get(v, "$.memory", "array<variant>")
+
+    def fact_problem(f: Column) -> Column:
+        kind = lambda name: F.schema_of_variant(F.try_variant_get(f, f"$.{name}", "variant"))
+        text = F.try_variant_get(f, "$.text", "string")
+        fields = F.json_object_keys(F.to_json(f))
+        named = (F.size(F.array_intersect(fields, F.array(*[F.lit(x) for x in ("id", "text", "attributed_to")]))) == 3) & (F.size(F.array_except(fields, F.array(*[F.lit(x) for x in ("id", "text", "attributed_to", "linked_memory_ids")]))) == 0)
+        blank = (kind("text") != "STRING") | (F.length(F.regexp_replace(text, r"^\s+|\s+$", "")) == 0)
+        speaker = (kind("attributed_to") == "STRING") & F.try_variant_get(f, "$.attributed_to", "string").isin("user", "assistant")
+        linked = F.coalesce(kind("linked_memory_ids"), F.lit("ARRAY<STRING>"))  # absent links are none
+        return (
+            F.when(~F.coalesce(F.schema_of_variant(f).startswith("OBJECT"), F.lit(False)), "not a fact").when(~named, "fields").when(kind("id") != "STRING", "id")
+            .when(blank, "blank text").when(F.length(text) > longest, "long text").when(~F.coalesce(speaker, F.lit(False)), "attributed_to").when(~linked.isin("ARRAY<STRING>", "ARRAY<VOID>"), "links")
+        )
+
+    first = F.get(F.filter(F.transform(facts, fact_problem), lambda p: p.isNotNull()), F.lit(0))
     return (
-        F.when(keys.isNull(), "not an object").when((F.size(keys) != 1) | (keys[0] != "memory"), "keys").when(facts.isNull(), "facts")
-        .when(F.size(facts) > limit, "too many").when(blank, "blank text").when(long, "long text")
+        F.when(keys.isNull(), "not an object").when((F.size(keys) != 1) | (keys[0] != "memory"), "keys").when(~F.coalesce(listed.startswith("ARRAY"), F.lit(False)), "facts")
+        .when(F.size(facts) > limit, "too many").otherwise(first)
     )
 
 

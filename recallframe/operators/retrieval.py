@@ -6,19 +6,23 @@ broadcast only where the optimizer finds its size small, else both sides are has
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .guards import require
+from .guards import require, valid_hits
 
 
 #: Queries that are broadcast at most, and parts of the rows that larger query sets meet separately.
 BROADCAST_QUERIES = 4096
 DEALS = 64
+#: Keys that ranked_by draws to cut an order into ranges, and the ranges: FINE in each of COARSE.
+SAMPLE, FINE, COARSE = 4096, 32, 32
+#: Centres of an inverted file at most.
+CELLS = 4096
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -87,23 +91,51 @@ def search(vectors: DataFrame, query: list[float], k: int, filters: Mapping[str,
 
 def list_rows(rows: DataFrame, filters: Mapping[str, Any] | None = None, limit: int | None = None, ordinal: str = "ordinal") -> DataFrame:
     """Rows that pass, by ordinal, with rank from 1 and score and distance 0."""
-    out = rows.where(payload_matches(filters)).orderBy(ordinal)
+    out = rows.where(payload_matches(filters))
     if limit is not None:
-        out = out.limit(limit)
+        out = out.orderBy(ordinal).limit(max(0, limit))
         return out.withColumn("rank", F.row_number().over(Window.orderBy(ordinal))).withColumns({"score": F.lit(0.0), "distance": F.lit(0.0)})
     # without a limit ranks come from counts below each partition range, not from one global window
     return ranked_by(out, ordinal).withColumns({"score": F.lit(0.0), "distance": F.lit(0.0)})
 
 
 def ranked_by(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
-    """Global 1-based position in an order: rows are range-partitioned and numbered within their partition; the
-    offsets come from one count per partition."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
-    placed = placed.withColumns({"__part": F.shiftright("__at", 33), "__row": F.col("__at").bitwiseAND((1 << 33) - 1)})
-    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = placed.join(F.broadcast(before.select("__part", "__before")), "__part")  # a row per partition
-    return out.withColumn(name, (F.col("__before") + F.col("__row") + 1).cast("long")).drop("__part", "__before", "__row", "__at")
+    """Global 1-based position in an order (nulls first), exact at any size; equal keys have distinct positions.
+
+    The rows with the smallest hashes of their keys are a bounded sample that every evaluation draws alike; it cuts the
+    keys into up to FINE * COARSE ranges. Rows are numbered within their range and ranges are counted apart, so that what
+    decides a row's range depends on its key alone, never on how Spark happens to partition. One shuffle of the rows.
+    """
+    key = F.struct(*[F.col(f"`{c}`") for c in order])
+    drawn = df.select(key.alias("__key")).orderBy(F.xxhash64("__key"), "__key").limit(SAMPLE)
+    sorted_keys = drawn.agg(F.array_sort(F.collect_list("__key")).alias("__all"))
+    step = F.greatest(F.lit(1), F.ceil(F.size("__all") / (FINE * COARSE)).cast("int"))
+    fine = sorted_keys.select(F.filter("__all", lambda x, i: i % step == 0).alias("__fine"))
+    cuts = fine.select("__fine", F.filter("__fine", lambda x, i: i % FINE == 0).alias("__coarse"))  # one row
+    placed = df.withColumn("__key", key).crossJoin(F.broadcast(cuts))
+    block = F.size(F.filter("__coarse", lambda x: x < F.col("__key")))
+    placed = placed.withColumn("__block", F.greatest(F.lit(0), block - 1))
+    inner = F.size(F.filter(F.slice("__fine", F.col("__block") * FINE + 1, F.lit(FINE)), lambda x: x < F.col("__key")))
+    placed = placed.withColumn("__part", F.col("__block") * (FINE + 1) + inner).drop("__fine", "__coarse", "__block")
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # a row per range
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = placed.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy("__key")))
+    out = own.join(F.broadcast(before), "__part")
+    return out.withColumn(name, (F.col("__before") + F.col("__row")).cast("long")).drop("__part", "__before", "__row", "__key")
+
+
+def order_statistics(df: DataFrame, by: Sequence[str], value: str, fractions: Sequence[float]) -> DataFrame:
+    """Interpolated quantiles of the non-null values of each group: by, fraction, quantile. Ranks come from one global
+    order, so that no group has to fit in one place."""
+    own = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
+    ranked = ranked_by(own, *by, "__v", name="__rank")
+    per = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min("__rank").alias("__first"))
+    asked = per.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions]))).withColumn("__at", (F.col("__n") - 1) * F.col("fraction"))
+    low = F.floor("__at")
+    asked = asked.withColumn("__pick", F.explode(F.array(*[F.struct((F.col("__first") + F.least(F.col("__n") - 1, low + k)).alias("rank"), w.alias("w")) for k, w in ((0, 1 - (F.col("__at") - low)), (1, F.col("__at") - low))])))
+    wanted = asked.select(*by, "fraction", F.col("__pick.rank").alias("__rank"), F.col("__pick.w").alias("__w"))
+    got = wanted.join(ranked.select("__rank", "__v"), "__rank")
+    return got.groupBy(*by, "fraction").agg(F.sum(F.when(F.col("__w") > 0, F.col("__v") * F.col("__w")).otherwise(0.0)).alias("quantile"))
 
 
 def point_lookup(rows: DataFrame, item: Any, id_col: str = "id", ordinal: str = "ordinal") -> DataFrame:
@@ -123,14 +155,85 @@ def hits_with_facts(hits: DataFrame, facts: DataFrame) -> DataFrame:
 
 def approximate_top_k(vectors: DataFrame, queries: DataFrame, k: int, cells: DataFrame, probe: int = 4) -> DataFrame:
     """Inverted-file search (approximate): rows live in the cell of their nearest centre; a query looks into the
-    ``probe`` best cells. ``cells`` (cell, centre) is the bounded table of centres of a fitted quantiser."""
-    centres = F.broadcast(cells.select("cell", "centre"))
-
-    def nearest(df: DataFrame, key: str, vector: str, n: int) -> DataFrame:
-        scored = df.select(key, vector).crossJoin(centres).select(key, "cell", inner_product(F.col(vector), F.col("centre")).alias("s"))
-        ranked = scored.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("s", "cell")), asc=False).alias("c"))
-        return ranked.select(key, F.explode(F.slice("c", 1, n)).alias("x")).select(key, F.col("x.cell").alias("cell"))
-
-    placed = vectors.join(nearest(vectors, "id", "vector", 1), "id")
-    asked = queries.join(nearest(queries, "query_id", "query_vector", probe), "query_id")
-    return top_k(placed, asked, k, scope="cell")
+    ``probe`` best cells. ``cells`` (cell, centre) are the centres of a fitted quantiser, CELLS at most: they travel as
+    one array, so that finding cells shuffles nothing."""
+    if cells.limit(CELLS + 1).count() > CELLS:
+        raise ValueError(f"more than {CELLS} cells")
+    centres = cells.agg(F.collect_list(F.struct("cell", "centre")).alias("__centres"))
+
+    def nearest(df: DataFrame, vector: str, n: int) -> DataFrame:
+        scored = F.transform("__centres", lambda c: F.struct(inner_product(F.col(vector), c["centre"]).alias("s"), c["cell"].alias("cell")))
+        best = F.slice(F.sort_array(scored, asc=False), 1, n) if n > 1 else F.array(F.array_max(scored))
+        return df.crossJoin(F.broadcast(centres)).withColumn("__best", F.explode(best)).withColumn("cell", F.col("__best.cell")).drop("__best", "__centres")
+
+    return top_k(nearest(vectors, "vector", 1), nearest(queries, "query_vector", probe), k, scope="cell")
+
+
+def pushable(filters: Mapping[str, Any] | None) -> bool:
+    """Whether a backend's own filter can express the filters: eq, ne and in over strings, whole numbers and booleans;
+    others (numbers with a fraction, null, empty or unknown operators, booleans in a list) are tested after the scan."""
+    def plain(x: Any) -> bool:
+        return isinstance(x, (str, int))
+
+    for want in (filters or {}).values():
+        if not isinstance(want, Mapping):
+            if not plain(want):
+                return False
+            continue
+        if not want or not set(want) <= {"eq", "ne", "in"}:
+            return False
+        listed = want.get("in", [""])
+        if not isinstance(listed, list) or not listed or not all(plain(x) and not isinstance(x, bool) for x in listed):
+            return False
+        if not all(plain(want[op]) for op in ("eq", "ne") if op in want):
+            return False
+    return bool(filters)
+
+
+def dispatch(k: int, count: int, matching: int, finalised: bool, filtered: bool, beam: int) -> dict[str, Any]:
+    """How a store of ``count`` rows, of which ``matching`` pass the filters, is searched: the k that is asked for, the
+    candidates, the beam, and whether the approximate index serves (finalised, no filter that leaves rows out, fewer
+    candidates than rows)."""
+    k = max(1, min(k, count))
+    selective = filtered and matching < count
+    candidates = count if selective else k
+    return {"k": k, "candidates": candidates, "beam": max(beam, k), "approximate": finalised and not selective and candidates < count}
+
+
+def dispatched_search(vectors: DataFrame, query: Sequence[float], k: int, filters: Mapping[str, Any] | None = None, cells: DataFrame | None = None, beam: int = 64, id_col: str = "id", ordinal: str = "ordinal", vector: str = "vector") -> DataFrame:
+    """Search under the rules of ``dispatch``: with ``cells`` the store is finalised and its inverted file may serve; where
+    it finds fewer rows than asked for, the exact search answers. An empty store has no hits; a query of another dimension
+    raises."""
+    sizes = vectors.agg(F.count(F.lit(1)).alias("n"), F.count_if(payload_matches(filters)).alias("matching"), F.max(F.size(vector)).alias("dim")).first()
+    if not sizes.n:
+        return search(vectors, list(query), 1, filters, id_col, ordinal, vector)
+    if len(query) != sizes.dim:
+        raise ValueError(f"query dim {len(query)} does not match store dim {sizes.dim}")
+    plan = dispatch(k, sizes.n, sizes.matching, cells is not None, bool(filters), beam)
+    if plan["approximate"]:
+        own = vectors.select(F.col(id_col).alias("id"), F.col(ordinal).alias("ordinal"), F.col(vector).alias("vector"))
+        asked = vectors.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id int, query_vector array<double>")
+        near = approximate_top_k(own, asked, plan["k"], cells).drop("query_id")
+        if near.count() == plan["k"]:
+            return near
+    return search(vectors, list(query), plan["k"], filters, id_col, ordinal, vector)
+
+
+def adapter_search(vectors: DataFrame, query: Sequence[float] | Sequence[Sequence[float]], k: int | None = 5, filters: Mapping[str, Any] | None = None, id_col: str = "id", ordinal: str = "ordinal", vector: str = "vector") -> DataFrame:
+    """Search as the memory layer calls it: k is 5 unless given and at least 1, the first of several query vectors counts,
+    and hits that break the contract raise (as many as min(k, rows that pass), distinct ids, ranks without gaps, finite
+    scores)."""
+    k = 5 if k is None else int(k)
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    if len(query) and isinstance(query[0], (list, tuple)):
+        query = query[0]
+    if not len(query):
+        raise ValueError("no query vector")
+    hits = dispatched_search(vectors, query, k, filters, id_col=id_col, ordinal=ordinal, vector=vector)
+    matching = vectors.where(payload_matches(filters)).agg(F.least(F.lit(k), F.count(F.lit(1))).alias("expected"))
+    bad = valid_hits(hits.crossJoin(F.broadcast(matching)).withColumn("query_id", F.lit(0)), F.col("expected"))
+    found = bad.agg(F.max("problem").alias("problem"))
+    short = matching.crossJoin(F.broadcast(hits.agg(F.count(F.lit(1)).alias("n")))).select((F.col("n") == F.col("expected")).alias("enough"))
+    checked = require(hits.crossJoin(F.broadcast(found)).crossJoin(F.broadcast(short)), F.col("problem").isNull() & F.col("enough"), F.concat(F.lit("bad hits: "), F.coalesce("problem", F.lit("count"))))
+    return checked.select("id", "score", "distance", "rank")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import mebibytes
+from ..functions.numbers import fixed, mebibytes
 from ..functions.text import ELIGIBLE_CATEGORIES, first_filled
 from .guards import require
 
@@ -204,7 +204,10 @@ def quarantine(responses: DataFrame, problem: Column) -> tuple[DataFrame, DataFr
 
 
 def markdown_timing(rows: DataFrame) -> DataFrame:
-    """Set-up, retrieval and generation seconds per row as report text."""
-    setup = F.coalesce("memory_setup_time_s", F.lit(0.0)) + F.coalesce("kv_precompute_time_s", F.lit(0.0))
-    cell = lambda c: F.format_string("%.3f", F.coalesce(c, F.lit(0.0)))
-    return rows.select("condition", "num_users", F.concat_ws(" | ", "condition", F.col("num_users").cast("string"), cell(setup), cell(F.col("retrieval_time_s")), cell(F.col("generation_time_s"))).alias("line"))
+    """Seconds of each part of a row as a line of the report's table."""
+    from .throughput import setup_time
+
+    cell = lambda c: fixed(F.coalesce(c, F.lit(0.0)), 3)
+    parts = [setup_time(), *[F.col(c) for c in ("retrieval_time_s", "kv_compose_time_s", "kv_verify_time_s", "prompt_build_time_s", "generation_time_s")]]
+    cells = F.concat_ws(" | ", "condition", F.col("num_users").cast("string"), *[cell(p) for p in parts])
+    return rows.select("condition", "num_users", F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"))

@@ -26,6 +26,45 @@ def append(store: DataFrame, fresh: DataFrame, order: str = "seq") -> DataFrame:
     return store.unionByName(added.select(*store.columns))
 
 
+def inserted(store: DataFrame, rows: DataFrame, dim: int | None = None, order: str = "seq", seed: str = "") -> DataFrame:
+    """Rows (id, fact_id, vector, ...) added at the end under stable ids: a row's fact id, else the id that it was given.
+    If any row has neither, all get new ones, drawn from a digest. A vector of another dimension, or one that is no list of
+    numbers, raises."""
+    stable = F.coalesce(F.col("fact_id").cast("string"), F.col("id").cast("string"))
+    nameless = rows.agg(F.coalesce(F.max(stable.isNull()), F.lit(False)).alias("__nameless"))  # one row
+    wide = store.agg(F.max(F.size("vector")).alias("__dim")) if dim is None else None
+    own = rows.withColumn("vector", F.col("vector").cast("array<float>"))
+    own = own.crossJoin(F.broadcast(wide)) if wide is not None else own.withColumn("__dim", F.lit(dim))
+    fits = F.col("vector").isNotNull() & (F.col("__dim").isNull() | (F.size("vector") == F.col("__dim")))
+    own = require(own, fits, F.concat(F.lit("vector dim "), F.coalesce(F.size("vector").cast("string"), F.lit("null")), F.lit(" does not match store dim "), F.coalesce(F.col("__dim").cast("string"), F.lit("null"))))
+    own = own.crossJoin(F.broadcast(nameless)).withColumn("id", F.when(F.col("__nameless"), F.sha2(F.concat(F.lit(seed), F.lit(":"), F.col(order).cast("string")), 256)).otherwise(stable))
+    return append(store, own.select(*[c for c in store.columns if c != "ordinal"], *([order] if order not in store.columns else [])), order)
+
+
+def collection_info(store: DataFrame, name: str, backend: str, vector: str = "vector") -> DataFrame:
+    """A collection's name, backend, number of vectors and dimension."""
+    return store.agg(F.count(F.lit(1)).alias("vectors"), F.max(F.size(vector)).alias("embedding_dim")).select(F.lit(name).alias("name"), F.lit(backend).alias("backend"), "vectors", "embedding_dim")
+
+
+def reset(store: DataFrame) -> DataFrame:
+    """The store without rows."""
+    return store.where(F.lit(False))
+
+
+def require_inner_product(distance: str) -> None:
+    """Collections know no other distance."""
+    if distance != "inner_product":
+        raise ValueError(f"distance must be inner_product, got {distance!r}")
+
+
+def point_hits(points: DataFrame, id_key: str) -> DataFrame:
+    """Points of an outside store (id, payload map, score, rank) as hits: the original id stands in the payload, which loses
+    it; a missing score is 0 and distance is -score."""
+    score = F.coalesce(F.col("score").cast("double"), F.lit(0.0))
+    payload = F.coalesce(F.col("payload"), F.create_map().cast("map<string,string>"))
+    return points.select(F.coalesce(F.try_element_at(payload, F.lit(id_key)), F.col("id").cast("string")).alias("id"), F.map_filter(payload, lambda k, v: k != id_key).alias("payload"), score.alias("score"), (F.lit(0.0) - score).alias("distance"), "rank")
+
+
 def upsert(store: DataFrame, fresh: DataFrame, order: str = "seq", key: str = "id") -> DataFrame:
     """Rows with new ids are appended, those with known ids replaced at their ordinal; of rows that repeat an id the
     last counts."""

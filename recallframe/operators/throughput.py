@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import overlap_ratio
+from .retrieval import order_statistics, ranked_by
 
+# The report's columns by their type.
 INT_COLUMNS = ("num_users", "requests_per_user", "total_requests", "kv_prefix_caching", "kv_h2d_bytes", "kv_requests_loaded", "total_input_tokens", "total_output_tokens")
 FLOAT_COLUMNS = (
     "fact_count", "throughput_qps", "avg_latency_ms", "generation_time_s", "retrieval_time_s", "vector_search_time_s", "prompt_build_time_s", "kv_compose_time_s", "kv_verify_time_s",
@@ -39,8 +42,10 @@ def merge_rows(existing: DataFrame, fresh: DataFrame, keys: Sequence[str] = ("co
 
 
 def in_condition_order(rows: DataFrame, conditions: Sequence[str]) -> DataFrame:
+    """Rows by users and the conditions' order, with their place from 1 (unknown conditions last)."""
     order = F.array_position(F.array(*[F.lit(c) for c in conditions]), F.col("condition"))
-    return rows.orderBy("num_users", order)
+    keyed = rows.withColumn("__order", F.when(order > 0, order).otherwise(len(conditions) + 1))
+    return ranked_by(keyed, "num_users", "__order", "condition", name="place").drop("__order").orderBy("place")
 
 
 def condition_summary(rows: DataFrame) -> DataFrame:
@@ -63,14 +68,19 @@ def setup_time(setup: str = "memory_setup_time_s", precompute: str = "kv_precomp
 def transfer_summary(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Totals, latency percentiles, overlap and bandwidth of transfers; 0 where there are none."""
     timed = F.col("h2d_latency_ms") > 0
-    pct = lambda c, p: F.coalesce(F.percentile(c, p), F.lit(0.0))
     avg = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
-    return records.groupBy(*by).agg(
+    sums = records.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_transfers"), F.coalesce(F.sum("num_bytes"), F.lit(0)).alias("total_bytes_transferred"), avg("h2d_latency_ms").alias("avg_h2d_latency_ms"),
-        pct("h2d_latency_ms", 0.5).alias("p50_h2d_latency_ms"), pct("h2d_latency_ms", 0.95).alias("p95_h2d_latency_ms"), pct("h2d_latency_ms", 0.99).alias("p99_h2d_latency_ms"),
         avg(F.when(timed, overlap_ratio("h2d_latency_ms", "staging_stall_ms"))).alias("avg_overlap_ratio"), avg(F.when(timed, F.col("num_bytes") / 1e9 / (F.col("h2d_latency_ms") / 1e3))).alias("avg_effective_bandwidth_gb_per_s"),
-        F.coalesce(F.sum("staging_stall_ms"), F.lit(0.0)).alias("total_staging_stall_ms"), avg("staging_stall_ms").alias("avg_staging_stall_ms"), pct("staging_stall_ms", 0.95).alias("p95_staging_stall_ms"),
+        F.coalesce(F.sum("staging_stall_ms"), F.lit(0.0)).alias("total_staging_stall_ms"), avg("staging_stall_ms").alias("avg_staging_stall_ms"),
     )
+    long = records.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in ("h2d_latency_ms", "staging_stall_ms")])).alias("x")).select(*by, "x.*")
+    found = order_statistics(long, [*by, "metric"], "value", (0.5, 0.95, 0.99))
+    pick = lambda c, f, name: F.max(F.when((F.col("metric") == c) & (F.col("fraction") == f), F.col("quantile"))).alias(name)
+    names = {"p50_h2d_latency_ms": ("h2d_latency_ms", 0.5), "p95_h2d_latency_ms": ("h2d_latency_ms", 0.95), "p99_h2d_latency_ms": ("h2d_latency_ms", 0.99), "p95_staging_stall_ms": ("staging_stall_ms", 0.95)}
+    wide = found.groupBy(*by).agg(*[pick(c, f, n) for n, (c, f) in names.items()]).alias("b")
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by], F.lit(True))
+    return sums.alias("a").join(wide, same, "left").select("a.*", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
 
 
 def nested_user_counts(requests: DataFrame, counts: Sequence[int], *sums: str) -> DataFrame:

@@ -112,18 +112,17 @@ def point_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id AS fact_id, text, lang, n_chars / 1e6 AS score, 1 - n_chars / 1e6 AS distance FROM documents WHERE lang = 'de'
+SELECT doc_id AS fact_id, text, lang, n_chars / 1e6 AS score, 1 - n_chars / 1e6 AS distance FROM documents
 """)
 def hits_with_facts(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
-    hits = docs.where("lang = 'de'").select(F.col("doc_id").alias("fact_id"), "text", (F.col("n_chars") / 1e6).alias("score"))
+    hits = docs.select(F.col("doc_id").alias("fact_id"), "text", (F.col("n_chars") / 1e6).alias("score"))
     return retrieval.hits_with_facts(hits, docs.select(F.col("doc_id").alias("fact_id"), "text", "lang")).select("fact_id", "text", "lang", "score", "distance")
 
 
-@query("SELECT label, count(*) AS vector_count, max(len(embedding))::INT AS dim, count(*) * max(len(embedding)) * 4 AS matrix_bytes, count(*) * max(len(embedding)) * 4 / 1048576.0 AS matrix_mb FROM embeddings WHERE label = 2 GROUP BY label")
+@query("SELECT count(*) AS vector_count, max(len(embedding))::INT AS dim, count(*) * max(len(embedding)) * 4 AS matrix_bytes, count(*) * max(len(embedding)) * 4 / 1048576.0 AS matrix_mb FROM embeddings")
 def store_statistics(spark: SparkSession, d: str) -> DataFrame:
-    own = read(spark, d, "embeddings").where("label = 2")
-    return store.store_stats(own, "embedding").select(F.lit(2).alias("label"), "vector_count", "dim", "matrix_bytes", "matrix_mb")
+    return store.store_stats(read(spark, d, "embeddings"), "embedding")
 
 
 # --- text -----------------------------------------------------------------------------------------------------
@@ -167,26 +166,15 @@ WITH h AS (SELECT doc_id, sha1(unhex('55bbc26062d54a8497246686fd41798e') || enco
 SELECT doc_id, substr(x, 1, 8) || '-' || substr(x, 9, 4) || '-5' || substr(x, 14, 3) || '-' || substr('89ab89ab89ab89ab', ('0x' || substr(x, 17, 1))::INT + 1, 1) || substr(x, 18, 3) || '-' || substr(x, 21, 12) AS fact_id FROM h
 """)
 def fact_ids(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", X.fact_id("source", F.col("doc_id").cast("string"), "text").alias("fact_id"))
+    own = read(spark, d, "documents").select("doc_id", "source", F.col("doc_id").cast("string").alias("turn"), "text")
+    return X.with_fact_id(own, "source", "turn", "text").select("doc_id", "fact_id")
 
 
 @query("""
-SELECT source, sha256(string_agg(doc_id || chr(0) || sha256(text) || chr(0) || lang || chr(0), '' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source
-""")
-def source_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    """Order-sensitive fingerprint of each source's rows.
-
-    Only digests gather in a group; a source of any size costs some 80 bytes a row."""
-    part = F.concat(F.col("doc_id").cast("string"), F.lit("\u0000"), F.sha2("text", 256), F.lit("\u0000"), "lang", F.lit("\u0000"))
-    rows = read(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("p")))).alias("r"))
-    return rows.select("source", F.sha2(F.array_join("r.p", ""), 256).alias("fingerprint"))
-
-
-@query("""
-SELECT doc_id, trim(substr(text, 1, 30), E' \\t\\n\\r') AS answer FROM documents
+SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS answer FROM documents
 """)
 def final_answers(spark: SparkSession, d: str) -> DataFrame:
-    said = F.concat(F.lit("Thinking... ANSWER: none. ANSWER: "), F.substring("text", 1, 30))
+    said = F.concat(F.lit("Thinking... ANSWER: none. ANSWER: "), "text")
     return read(spark, d, "documents").select("doc_id", X.final_answer(said).alias("answer"))
 
 
@@ -262,11 +250,11 @@ def preceding_turns(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT conv_id AS sample_id, conv_id || ':' || turn AS source_turn_id, coalesce(string_agg(conv_id || ':' || turn, '|') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS context
-FROM conversations QUALIFY turn % 2 = 1
+FROM conversations
 """)
 def fact_context(spark: SparkSession, d: str) -> DataFrame:
     turns = _turns(spark, d)
-    facts = turns.where("ord % 2 = 1").select("sample_id", F.col("turn_id").alias("source_turn_id"))
+    facts = turns.select("sample_id", F.col("turn_id").alias("source_turn_id"))
     return context.fact_context(facts, turns, 2).select("sample_id", "source_turn_id", F.array_join("context", "|").alias("context"))
 
 
@@ -461,9 +449,9 @@ def unique_texts(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").groupBy(F.sha2("text", 256).alias("text_hash")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
-@query("SELECT text AS key, count(*) AS n FROM benchmark GROUP BY text HAVING count(*) > 1")
+@query("SELECT text AS key, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
 def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
-    return guards.duplicate_ids(read(spark, d, "benchmark").withColumnRenamed("text", "key"), "key")
+    return guards.duplicate_ids(read(spark, d, "documents").select(F.col("text").alias("key")), "key")
 
 
 @query("""
@@ -519,9 +507,19 @@ def latest_memories(spark: SparkSession, d: str) -> DataFrame:
     return store.latest_memories(docs.unionByName(gone))
 
 
-@query()
+_DRAW = "('0x' || substr(md5('42:' || {0}), 1, 11))::BIGINT"
+
+
+@query(f"""
+WITH s AS (SELECT conv_id AS sample_id, count(*) AS have, row_number() OVER (ORDER BY conv_id) - 1 AS ord FROM conversations GROUP BY conv_id),
+d AS (SELECT u AS user_index, sample_id, k AS draw, have, CASE WHEN have >= 3
+  THEN ({_DRAW.format("'start:' || u")} + (k - 1) * ({list(workload.STRIDES)}[{_DRAW.format("'stride:' || u")} % {len(workload.STRIDES)} + 1] % have)) % have ELSE {_DRAW.format("'again:' || u || ':' || k")} % have END AS q
+  FROM range(100) t(u), range(1, 4) r(k), s WHERE s.ord = u % (SELECT count(*) FROM s)),
+n AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS q FROM conversations)
+SELECT printf('user_%04d', user_index) AS user_id, user_index, sample_id, draw::INT AS draw, n.conv_id || ':' || n.turn AS question_id, n.text AS query FROM d JOIN n ON n.conv_id = d.sample_id AND n.q = d.q
+""")
 def sampled_requests(spark: SparkSession, d: str) -> DataFrame:
-    """Seeded workload: the sequence is the hash's own, its properties are tested."""
+    """Seeded workload: draws come from a hash that SQL can compute."""
     own = _turns(spark, d)
     samples = retrieval.ranked_by(own.select("sample_id").distinct(), "sample_id", name="n").select("sample_id", (F.col("n") - 1).alias("ord"))
     asked = own.select("sample_id", F.col("ord").alias("question_ord"), F.col("turn_id").alias("question_id"), F.col("text").alias("query"))

@@ -69,7 +69,7 @@ def fetched_chunks(spark: SparkSession, d: str) -> DataFrame:
     own = read(spark, d, "conversations")
     asked = own.groupBy(F.col("conv_id").alias("request_id")).agg(F.sort_array(F.collect_list(F.concat_ws(":", F.lpad("turn", 6, "0"), F.col("conv_id"))), asc=False).alias("fact_ids"))
     chunks = own.select(F.concat_ws(":", F.lpad("turn", 6, "0"), F.col("conv_id")).alias("fact_id"), F.length("text").alias("tokens"))
-    got = runs.fetch_chunks(asked, chunks, 1000)
+    got = runs.fetch_chunks(asked, chunks)
     return got.select("request_id", "pos", F.substring_index("fact_id", ":", 1).cast("long").alias("fact_id"), "tokens")
 
 
@@ -152,35 +152,48 @@ def precompute_counts(spark: SparkSession, d: str) -> DataFrame:
     return runs.already_cached(docs, have)
 
 
-@query("SELECT q.vec_id AS query_id, v.vec_id AS ordinal, v.label FROM embeddings q JOIN embeddings v ON v.vec_id = q.vec_id WHERE q.vec_id % 50 = 0")
+@query("SELECT q.vec_id AS query_id, v.vec_id AS ordinal, v.label FROM embeddings q JOIN embeddings v ON v.vec_id = q.vec_id")
 def ordinal_payloads(spark: SparkSession, d: str) -> DataFrame:
     """Padded result lists joined to their rows: what follows the first padding is ignored."""
     rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("ordinal"), "label")
-    found = rows.where("ordinal % 50 = 0").select(F.col("ordinal").alias("query_id"), F.posexplode(F.array(F.col("ordinal"), F.lit(-1).cast("long"), F.col("ordinal") + 1)).alias("place", "ordinal"))
+    found = rows.select(F.col("ordinal").alias("query_id"), F.posexplode(F.array(F.col("ordinal"), F.lit(-1).cast("long"), F.col("ordinal") + 1)).alias("place", "ordinal"))
     return runs.by_payload_ordinal(found, rows).select("query_id", "ordinal", "label")
 
 
 @query("""
-SELECT conv_id AS request_id, CASE WHEN turn = 0 THEN conv_id ELSE -1 END AS user_id FROM conversations WHERE turn < 2
+SELECT conv_id AS request_id, turn, CASE WHEN turn % 3 = 0 THEN conv_id WHEN turn % 3 = 1 THEN conv_id + 1000000 ELSE -1 END AS user_id FROM conversations
 """)
 def routed_requests(spark: SparkSession, d: str) -> DataFrame:
-    """Prompts routed by the memory that they begin with; those that begin with none get none."""
-    own = read(spark, d, "conversations").where("turn < 2")
-    asked = own.select(F.struct("conv_id", "turn").alias("request_id"), F.lit(None).cast("long").alias("user_id"), F.when(F.col("turn") == 0, F.array(F.col("conv_id"), F.lit(7).cast("long"), F.lit(9).cast("long"))).otherwise(F.array(F.lit(-1).cast("long"), F.col("conv_id"))).alias("prompt"))
-    memories = own.where("turn = 0").select(F.col("conv_id").alias("user_id"), F.col("conv_id").alias("ord"), F.array(F.col("conv_id"), F.lit(7).cast("long")).alias("tokens"))
-    return context.route_requests(asked, memories).select(F.col("request_id.conv_id").alias("request_id"), F.coalesce("user_id", F.lit(-1)).alias("user_id"))
+    """Prompts routed by the memory that they begin with (memories of several lengths, of which some begin with others) or
+    by their user; those that begin with none get none."""
+    own = read(spark, d, "conversations")
+    start = F.array(F.col("conv_id"), F.lit(7).cast("long"))
+    longer = F.concat(start, F.transform(F.sequence(F.lit(0), (F.col("conv_id") % 5).cast("int")), lambda i: i.cast("long")))
+    k = F.col("turn") % 3
+    prompt = F.when(k == 0, F.concat(longer, F.array(F.lit(-5).cast("long")))).otherwise(F.array(F.lit(-1).cast("long"), F.col("conv_id"), F.col("turn")))
+    asked = own.select(F.struct("conv_id", "turn").alias("request_id"), F.when(k == 1, F.col("conv_id") + 1_000_000).alias("user_id"), prompt.alias("prompt"))
+    one = own.select("conv_id").distinct()
+    memories = one.select(F.col("conv_id").alias("user_id"), F.col("conv_id").alias("ord"), longer.alias("tokens"))
+    memories = memories.union(one.select(F.col("conv_id") + 1_000_000, F.col("conv_id") + 1_000_000, start))  # shorter, but later
+    got = context.route_requests(asked, memories)
+    return got.select(F.col("request_id.conv_id").alias("request_id"), F.col("request_id.turn").alias("turn"), F.coalesce("user_id", F.lit(-1)).alias("user_id"))
 
 
 @query("""
-SELECT event_id, (event_id % 5)::INT AS mismatch, event_id % 5 <> 4 AS prefixed, (3 + event_id % 5)::INT AS joined FROM events WHERE event_id % 5 > 0
+SELECT event_id, CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id % 5 END::INT AS mismatch, event_id % 6 > 0 AS prefixed, (event_id % 6 + CASE WHEN event_id % 6 = 0 THEN 4 ELSE 3 END)::INT AS joined FROM events
 """)
 def token_streams(spark: SparkSession, d: str) -> DataFrame:
     """First mismatch of two streams, prefix test, and joined prompts without a second begin token."""
-    own = read(spark, d, "events").where("event_id % 5 > 0")
-    k = (F.col("event_id") % 5).cast("int")
-    a = F.sequence(F.lit(1), F.lit(5))
-    b = F.transform(a, lambda x, i: F.when(i == k, -1).otherwise(x))
-    return own.select("event_id", context.first_mismatch(a, b).alias("mismatch"), context.is_memory_prefix(F.slice(a, F.lit(1), k), F.slice(a, F.lit(1), F.lit(4))).alias("prefixed"), F.size(context.joined_prompt(F.slice(a, F.lit(1), k), F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4)), 1)).alias("joined"))
+    own = read(spark, d, "events")
+    begin = F.array(F.lit(1), F.lit(2))
+    a = F.concat(begin, F.array(F.col("user_id").cast("int"), F.col("event_id").cast("int"), F.lit(9)))
+    k = (F.col("user_id") % 5).cast("int")
+    b = F.transform(a, lambda x, i: F.when((i == k) & (k > 0), -1).otherwise(x))
+    m = (F.col("event_id") % 6).cast("int")
+    memory = F.when(m == 0, F.array().cast("array<int>")).otherwise(F.slice(F.concat(a, F.array(F.lit(5))), F.lit(1), m))
+    prompt = F.when(m == 0, F.array().cast("array<int>")).otherwise(F.concat(memory, F.array(F.lit(3))))
+    query_ids = F.array(F.lit(1), F.lit(2), F.lit(3), F.col("user_id").cast("int"))
+    return own.select("event_id", context.first_mismatch(a, b).alias("mismatch"), context.is_memory_prefix(memory, prompt).alias("prefixed"), F.size(context.joined_prompt(memory, query_ids, 1)).alias("joined"))
 
 
 @query("""
@@ -188,7 +201,7 @@ SELECT doc_id, doc_id % 3 AS kind, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN
 """)
 def extraction_checks(spark: SparkSession, d: str) -> DataFrame:
     own = read(spark, d, "documents")
-    said = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(F.array(F.struct(F.lit("1").alias("id"), F.lit("fact").alias("text"))).alias("memory")))).when(F.col("doc_id") % 3 == 1, '{"memory": [], "other": 1}').otherwise('{"memory": [{"text": "  "}]}')
+    said = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(F.array(F.struct(F.lit("1").alias("id"), F.lit("fact").alias("text"), F.lit("user").alias("attributed_to"))).alias("memory")))).when(F.col("doc_id") % 3 == 1, '{"memory": [], "other": 1}').otherwise('{"memory": [{"id": "0", "text": "  ", "attributed_to": "user"}]}')
     return own.withColumn("response", said).select("doc_id", (F.col("doc_id") % 3).alias("kind"), guards.extraction_problem().alias("problem"))
 
 
@@ -198,15 +211,22 @@ def first_of_each(spark: SparkSession, d: str) -> DataFrame:
     return cache.first_of_each(own, "key", "first_order")
 
 
-@query("SELECT event_type AS condition, user_id % 4 AS num_users, printf('%.3f', round(sum(value) / 1000, 3)) IS NOT NULL AS has_line FROM events GROUP BY 1, 2")
+@query("""
+SELECT event_type AS condition, user_id % 4 AS num_users, printf('| %s | %d | %.3f | %.3f | 0.000 | 0.000 | 0.000 | %.3f |', event_type, user_id % 4, count(*) / 8.0 + 0.5, count(*) / 4.0, count(*) / 2.0) AS line FROM events GROUP BY 1, 2
+""")
 def timing_lines(spark: SparkSession, d: str) -> DataFrame:
-    own = read(spark, d, "events").groupBy(F.col("event_type").alias("condition"), (F.col("user_id") % 4).alias("num_users")).agg((F.sum("value") / 1000).alias("generation_time_s"))
-    rows = own.withColumns({c: F.lit(None).cast("double") for c in ("memory_setup_time_s", "kv_precompute_time_s", "retrieval_time_s")})
-    return runs.markdown_timing(rows).select("condition", "num_users", F.col("line").contains(" | 0.000 | 0.000 | ").alias("has_line"))
+    own = read(spark, d, "events").groupBy(F.col("event_type").alias("condition"), (F.col("user_id") % 4).alias("num_users")).agg(F.count(F.lit(1)).alias("n"))
+    rows = own.withColumns({"memory_setup_time_s": F.col("n") / 8, "kv_precompute_time_s": F.lit(0.5), "retrieval_time_s": F.col("n") / 4, "generation_time_s": F.col("n") / 2})
+    rows = rows.withColumns({c: F.lit(None).cast("double") for c in ("kv_compose_time_s", "kv_verify_time_s", "prompt_build_time_s")})
+    return runs.markdown_timing(rows)
 
 
-@query("SELECT event_type AS condition, user_id % 3 AS num_users, count(*) AS n FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2")
+@query("""
+WITH g AS (SELECT event_type AS condition, user_id % 3 AS num_users, count(*) AS n FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2)
+SELECT condition, num_users, n, row_number() OVER (ORDER BY num_users, list_position(['view', 'click'], condition)) AS place FROM g
+""")
 def condition_order(spark: SparkSession, d: str) -> DataFrame:
+    """Rows in the report's order; their place tells of it."""
     own = read(spark, d, "events").where("event_type in ('view', 'click')").groupBy(F.col("event_type").alias("condition"), (F.col("user_id") % 3).alias("num_users")).agg(F.count(F.lit(1)).alias("n"))
     return throughput.in_condition_order(own, ["view", "click"])
 
@@ -224,12 +244,15 @@ def user_rates(spark: SparkSession, d: str) -> DataFrame:
     return own.select("user_id", "transfers", F.coalesce("mean", F.lit(0.0)).alias("mean"), N.per_second("transfers", "total").alias("qps"))
 
 
-@query("SELECT lang, count(*) AS total, round(count(*) FILTER (quality = 1) / count(*), 6) AS share FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+@query("""
+WITH g AS (SELECT lang, count(*) AS total, count(*) FILTER (quality = 1) AS k FROM documents JOIN labels USING (doc_id) GROUP BY lang), p AS (SELECT *, k / total AS s, 1 + 3.8416 / total AS scale FROM g)
+SELECT lang, total, round(s, 6) AS share, round(greatest(0, (s + 3.8416 / (2 * total)) / scale - 1.96 * sqrt((s * (1 - s) + 3.8416 / (4 * total)) / total) / scale), 6) AS lower,
+  round(least(1, (s + 3.8416 / (2 * total)) / scale + 1.96 * sqrt((s * (1 - s) + 3.8416 / (4 * total)) / total) / scale), 6) AS upper FROM p
+""")
 def wilson_by_language(spark: SparkSession, d: str) -> DataFrame:
     own = read(spark, d, "documents").select("doc_id", "lang").join(read(spark, d, "labels"), "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("quality") == 1).alias("k"))
     ci = N.wilson("k", "total")
-    inside = guards.require(own.withColumn("ci", ci), (F.col("ci.lower") <= F.col("k") / F.col("total") + 1e-9) & (F.col("ci.upper") >= F.col("k") / F.col("total") - 1e-9), "interval misses its share")
-    return inside.select("lang", "total", F.round(N.safe_ratio("k", "total"), 6).alias("share"))
+    return own.withColumn("ci", ci).select("lang", "total", F.round(N.safe_ratio("k", "total"), 6).alias("share"), F.round("ci.lower", 6).alias("lower"), F.round("ci.upper", 6).alias("upper"))
 
 
 @query("""

@@ -20,7 +20,8 @@ def _field(record: str | Column, *names: str) -> Column:
     col = F.col(record) if isinstance(record, str) else record
     def read(name: str) -> Column:
         v = F.get_json_object(col, f"$.{name}")
-        return F.when(v.isin("null", "", "0", "false", "[]", "{}"), None).otherwise(v)
+        bare = F.schema_of_variant(F.try_variant_get(F.try_parse_json(col), f"$.{name}", "variant")) != "STRING"  # text counts as filled
+        return F.when(v.isin("", "[]", "{}"), None).when(v.isin("null", "0", "false"), F.when(~bare, v)).otherwise(v)
 
     return F.coalesce(*[read(n) for n in names])
 

@@ -25,17 +25,24 @@ def write_document(spark: SparkSession, path: str, data: Any, canonical: bool =
     out = fs.create(part, True)
     out.write(text.encode())
     out.close()
-    if fs.exists(at):
-        fs.delete(at, False)
+    old, _ = _fs(spark, f"{path}.old")
+    fs.delete(old, False)
+    if fs.exists(at) and not fs.rename(at, old):
+        raise OSError(f"could not set {path} aside")
     if not fs.rename(part, at):
+        fs.rename(old, at)
         raise OSError(f"could not write {path}")
+    fs.delete(old, False)
 
 
 def read_document(spark: SparkSession, path: str, default: dict[str, Any]) -> dict[str, Any]:
     """A JSON object, or the default where the file is missing or holds something else."""
     at, fs = _fs(spark, path)
     if not fs.exists(at):
-        return default
+        old, _ = _fs(spark, f"{path}.old")  # a write was cut off between its renames
+        if not fs.exists(old):
+            return default
+        path = f"{path}.old"
     rows = spark.read.text(path, wholetext=True).collect()  # one small document
     try:
         value = json.loads(rows[0].value) if rows else None

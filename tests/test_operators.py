@@ -261,8 +261,12 @@ def test_caches_and_models(spark):
 
 
 def test_extraction_responses(spark):
-    good = '{"memory": [{"id": "7", "text": " one "}, {"id": "8", "text": "two"}]}'
-    rows = [(good, None), ("[1]", "not an object"), ('{"memory": [], "x": 1}', "keys"), ('{"memory": [{"text": " "}]}', "blank text"), (json.dumps({"memory": [{"text": "a"}] * 6}), "too many"), (json.dumps({"memory": [{"text": "a" * 601}]}), "long text")]
+    fact = lambda **x: {"id": "7", "text": " one ", "attributed_to": "user"} | x
+    said = lambda *f: json.dumps({"memory": list(f)})
+    rows = [
+        (said(fact(), fact(text="two", linked_memory_ids=[])), None), ("[1]", "not an object"), ('{"memory": [], "x": 1}', "keys"), (said(fact(text=" ")), "blank text"), (said(*[fact()] * 6), "too many"),
+        (said(fact(text="a" * 601)), "long text"), (said({"text": "a"}), "fields"), (said(fact(), fact(attributed_to=1)), "attributed_to"), (said(fact(linked_memory_ids="x")), "links"), (None, "not an object"),
+    ]
     df = spark.createDataFrame([(r,) for r, _ in rows], "response string")
     assert [r.p for r in df.select(guards.extraction_problem().alias("p")).collect()] == [w for _, w in rows]
     assert [tuple(f) for f in df.select(guards.renumbered_facts().alias("f")).first().f] == [("0", "one"), ("1", "two")]
