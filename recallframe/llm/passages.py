@@ -301,12 +301,12 @@ def grown(a: list[bytes], b: list[bytes]) -> tuple[int, int, int]:
     return reached
 
 
-def align(x: bytes, y: bytes, spans: list[Anchor], open_left: bool, open_right: bool) -> tuple[int, int, int, int, int, int, int, int] | None:
+def align(x: bytes, y: bytes, spans: list[Anchor], x_open: tuple[bool, bool], y_open: tuple[bool, bool]) -> tuple[int, int, int, int, int, int, int, int] | None:
     """Align two slices along a chain: (start, end, other start, other end, words, equal words) in bytes of the slices,
     and the first word and the word past the last one in the document.
 
-    Ends grow over equal words, and through mismatches as long as the identity stays MIN_IDENTITY. ``open_left``/
-    ``open_right``: a word cut by the slice's edge may stand there.
+    Ends grow over equal words, and through mismatches as long as the identity stays MIN_IDENTITY. ``x_open``,
+    ``y_open``: whether a slice begins and ends within its text, where its edge may cut a word.
     """
     wx, sx, ex = _words(x)
     wy, sy, ey = _words(y)
@@ -324,28 +324,27 @@ def align(x: bytes, y: bytes, spans: list[Anchor], open_left: bool, open_right:
         b0, c0 = max(b0, at), max(c0, bt)
         equal += common_words(wx[at:b0], wy[bt:c0]) + common_words(wx[b0:e0], wy[c0:f0])
         at, bt = max(e0, at), max(f0, bt)
-    low = 1 if open_left else 0
-    while i > low and j > low and wx[i - 1] == wy[j - 1]:
+    x_low, y_low, x_high, y_high = int(x_open[0]), int(y_open[0]), len(wx) - x_open[1], len(wy) - y_open[1]
+    while i > x_low and j > y_low and wx[i - 1] == wy[j - 1]:
         i, j, equal = i - 1, j - 1, equal + 1
-    high = 2 if open_right else 1
-    while p < len(wx) - high and q < len(wy) - high and wx[p + 1] == wy[q + 1]:
+    while p + 1 < x_high and q + 1 < y_high and wx[p + 1] == wy[q + 1]:
         p, q, equal = p + 1, q + 1, equal + 1
-    m, n, same = grown(wx[low:i][::-1], wy[low:j][::-1])
+    m, n, same = grown(wx[x_low:i][::-1], wy[y_low:j][::-1])
     if equal + same >= MIN_IDENTITY * (max(p - i + m, q - j + n) + 1):
         i, j, equal = i - m, j - n, equal + same
-    m, n, same = grown(wx[p + 1 : len(wx) - high + 1], wy[q + 1 : len(wy) - high + 1])
+    m, n, same = grown(wx[p + 1 : x_high], wy[q + 1 : y_high])
     if equal + same >= MIN_IDENTITY * (max(p - i + m, q - j + n) + 1):
         p, q, equal = p + m, q + n, equal + same
     return int(sx[i]), int(ex[p]), int(sy[j]), int(ey[q]), max(p - i, q - j) + 1, equal, before + i, before + p + 1
 
 
-def aligned(x: bytes, y: bytes, spans: list[Anchor], open_left: bool, open_right: bool) -> list[tuple[int, int, int, int, int, int, int, int]]:
+def aligned(x: bytes, y: bytes, spans: list[Anchor], x_open: tuple[bool, bool], y_open: tuple[bool, bool]) -> list[tuple[int, int, int, int, int, int, int, int]]:
     """Alignments of a chain that reach MIN_IDENTITY: a chain that doesn't is parted at its widest gap, so that a good
     part isn't lost by what was chained to it."""
     out, left = [], [spans]
     while left:
         part = left.pop()
-        got = align(x, y, part, open_left, open_right)
+        got = align(x, y, part, x_open, y_open)
         if got and got[5] >= MIN_IDENTITY * got[4]:
             out.append(got)
         elif len(part) > 1:
@@ -366,7 +365,9 @@ def aligned_table(rows: DataFrame) -> DataFrame:
             for r in batch.to_pylist():
                 x_at, y_at = r["x_at"], r["y_at"]
                 spans = [(s["b"] - x_at, s["e"] - x_at, s["c"] - y_at, s["f"] - y_at, s["w"]) for s in r["spans"]]
-                for got in aligned(r["x"], r["y"], spans, x_at > 0 or y_at > 0, True):
+                x_open = x_at > 0, len(r["x"]) >= spans[-1][1] + MARGIN
+                y_open = y_at > 0, len(r["y"]) >= spans[-1][3] + MARGIN
+                for got in aligned(r["x"], r["y"], spans, x_open, y_open):
                     if got[4] < MIN_CHAIN_WORDS:
                         continue
                     out.append((r["doc"], got[0] + x_at, got[1] + x_at, r["other"], got[2] + y_at, got[3] + y_at, *got[4:]))
