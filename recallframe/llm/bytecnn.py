@@ -3,8 +3,8 @@ filters over overlapping chunks that cover the whole text; each filter's maximum
 logistic output.
 
 A null or empty text gets the score of no evidence at all (all maxima zero). Without labels of both kinds every score is
-0.5. Texts of any length are read whole, when the network learns too; rows that repeat get equal scores, and of rows that
-repeat an id the network learns from one. An empty table has no scores. Columns other than id and text are not looked at.
+0.5. Texts of any length are read whole, when the network learns too; rows that repeat get equal scores (but for the
+last digits, as sums of single precision depend on what is computed beside them), and of rows that repeat an id the network learns from one. An empty table has no scores. Columns other than id and text are not looked at.
 """
 
 from __future__ import annotations

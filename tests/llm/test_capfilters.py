@@ -69,3 +69,20 @@ def test_awkward(spark):
             (10, [2.0], 0), (11, [3.0], 0), (12, [-1.0], 0), (None, [1.0, 0.0], 0), (13, [1e30, 0.0], 0), (14, [1.0, 0.0], 1)]
     check(spark, rows)
     assert C.near_duplicate_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_ids_that_repeat_with_other_vectors_or_labels(spark):
+    """Each row is a vector of its own, linked within its label alone."""
+    rng = np.random.default_rng(4)
+    a, b = (rng.normal(size=64).astype(np.float32) for _ in range(2))
+    close = lambda v: near(rng, v, 0.99).astype(np.float32).tolist()
+    rows = [(1, a.tolist(), 0), (1, b.tolist(), 1), (2, close(a), 0), (3, close(b), 1), (4, b.tolist(), 0), (4, b.tolist(), 0), (5, None, 0), (5, a.tolist(), None), (None, a.tolist(), 0)]
+    got = C.near_duplicate_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == len(rows)
+    of = {}
+    for r in got:
+        of.setdefault(r.vec_id, []).append((r.n_links, r.component_id, r.kept))
+    assert of[1] == [(1, 1, True)] * 2 and of[2] == of[3] == [(1, 1, False)] and of[4] == [(0, 4, True)] * 2 and of[5] == [(0, 5, True)] * 2
+    assert of[None] == [(0, None, True)]
+    odd = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("vec_id", "kept")
+    assert C.near_duplicate_vectors(odd, id_col="kept").columns == ["kept_", "n_links", "component_id", "kept"]

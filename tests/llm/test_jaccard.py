@@ -82,3 +82,21 @@ def test_bridges_between_components(spark):
     rng.shuffle(ids)
     rows = [(ids[i], *r[1:]) for i, r in enumerate(rows)]
     assert len(check(documents(spark, rows))) > 3000
+
+
+def test_texts_that_share_an_id(spark):
+    """Different texts under one id are documents of their own; equal rows are one."""
+    a, b, c = ("x%d " * 1 + " ".join(f"{t}{i}" for i in range(30)) for t in "abc")
+    rows = [(1, a, "en", "s", 1), (2, b, "en", "s", 1), (2, a, "en", "t", 1), (3, c, "en", "s", 1), (3, c, "en", "s", 1), (4, b + " more", "en", "s", 1), (None, a, "en", "n", 1)]
+    docs = documents(spark, rows)
+    kept = sorted((r.doc_id or 0, r.source) for r in J.keep_first_of_class(docs).collect())
+    assert kept == [(0, "n"), (1, "s"), (2, "s"), (3, "s")]
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in J.jaccard_classes(docs).collect())
+    assert got == [(0, 0), (1, 1), (2, 1), (2, 2), (3, 3), (3, 3), (4, 2)]
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(1, long, "en", "s", 1), (2, long + " end", "en", "s", 1), (3, long[: len(long) // 2], "en", "s", 1)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_classes(documents(spark, rows)).collect()}
+    assert got[1] == (199_996, 1) and got[2] == (199_997, 1) and got[3][1] == 3

@@ -1,5 +1,6 @@
 import re
 
+import duckdb
 from helpers import LOWER, awkward
 from recallframe.llm import licenses as L
 
@@ -44,3 +45,25 @@ def test_long_expressions_are_read_to_their_end():
     assert n[5] == ["agpl", "apache", "bsd", "cc0", "isc", "mit"] and n[6] == 0.4
     assert L.scan_text("SPDX-License-Identifier: " + "(" * 395 + "MIT OR Zlib" + ")" * 395)[5] == ["mit", "zlib"]
     assert L.scan_text("SPDX-License-Identifier:\nMIT")[5] == []
+
+
+def test_expressions_go_on_over_lines_while_something_is_open():
+    many = "SPDX-License-Identifier: (" + " OR\n ".join(f"Apache-{i}.0" for i in range(200)) + " OR ISC)\nAGPL-3.0"
+    assert len(many) > 2000 and L.scan_text(many)[5] == ["apache", "isc"]
+    assert L.scan_text("SPDX-License-Identifier: MIT\nOR GPL-3.0")[5] == ["mit"]  # the line neither awaits nor leaves open
+
+
+def test_base_columns_in_sql(spark, small):
+    want = duckdb.sql(f"""
+        with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from '{small}/documents.parquet'),
+        p as (select doc_id, w, list_filter(range(1, len(w) + 1), lambda i: array_to_string(w[i:i+1], ' ') in ('mit license', 'apache license') or array_to_string(w[i:i+2], ' ') = 'general public license') as hits from w)
+        select doc_id, len(w), len(hits), list_min(hits) - 1, list_max(hits) - 1 from p""").fetchall()
+    got = {(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word) for r in L.scan_licenses(spark.read.parquet(f"{small}/documents.parquet")).collect()}
+    assert got == set(want)
+
+
+def test_long_texts_and_names(spark):
+    n = L.scan_text("no license here, " * 100_000 + "MIT License " * 3)
+    assert n[:4] == (300_006, 3, 300_000, 300_004)
+    odd = awkward(spark).withColumnRenamed("doc_id", "labels")
+    assert {r.labels_ for r in L.scan_licenses(odd, id_col="labels").collect()} == {r.labels for r in odd.collect()}

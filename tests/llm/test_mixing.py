@@ -46,3 +46,30 @@ def test_awkward_and_order(spark):
     clash = docs.withColumnRenamed("lang", "mix_key")
     assert X.mix_sources(clash).columns == clash.columns
     assert X.mix_sources(docs.where("false")).count() == 0
+
+
+def test_every_added_name_may_clash(spark):
+    docs = awkward(spark)
+    plain = Counter(r.doc_id for r in X.mix_sources(docs).collect())
+    for name in ("mix_rate", "mix_count", "mix_copy", "shuffle_key", "mix_key", "mix_id", "mix_salt", "mix_source", "mix_docs", "mix_cdf", "mix_parts", "mix_share", "mix_mean", "MIX_COUNT", "j", "u", "c", "k", "terms", "a.b"):
+        clash = docs.withColumnRenamed("lang", name)
+        out = X.mix_sources(clash)
+        assert out.columns == clash.columns, name
+        rows = out.collect()
+        assert Counter(r.doc_id for r in rows) == plain, name
+        want = {r.doc_id: r.lang for r in docs.collect()}
+        assert all(r[2] == want[r.doc_id] for r in rows), name
+
+
+def test_many_sources_meet_in_parts(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat('long text ', 2000) as text", "case when id % 3 = 0 then null else concat('s', id % 50) end as source")
+    few = Counter((r.doc_id, r.mix_copy) for r in X.replicate(docs).select("doc_id", "mix_copy").collect())
+    monkeypatch.setattr(X, "BROADCAST_SOURCES", 2)
+    assert Counter((r.doc_id, r.mix_copy) for r in X.replicate(docs).select("doc_id", "mix_copy").collect()) == few
+
+
+def test_repeated_rows_and_one_source(spark):
+    docs = awkward(spark).where("doc_id = 3")
+    both = docs.unionByName(docs)
+    assert X.mix_sources(both).count() % 2 == 0
+    assert X.repetition_rates(both).first().mix_rate == 1.0

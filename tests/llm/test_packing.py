@@ -82,3 +82,28 @@ def test_windows_best_fit():
     out = put("e", 5)  # fits nowhere: the fullest (d) is topped up with two ids and emitted
     assert [(p[0], len(p[2])) for p in out[0]] == [("d", 8), ("e", 2)]
     assert sorted(len(p[2]) for x in w.rest() for p in x) == [3, 6]
+
+
+def test_rows_of_one_id_are_told_apart(spark, code):
+    """Copies share an id; each piece names the row that it comes from, whose pieces cover its ids exactly once."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 30")
+    both = docs.unionByName(docs).unionByName(awkward(spark))
+    per = defaultdict(list)
+    for r in K.pack(both, tokenizer_file()).collect():
+        per[r.row_id].append(r)
+    assert len(per) == both.count()
+    for pieces in per.values():
+        pieces.sort(key=lambda r: r.start)
+        assert len({(r.doc_id, r.doc_tokens) for r in pieces}) == 1
+        assert [r.start for r in pieces] == [sum(p.length for p in pieces[:i]) for i in range(len(pieces))]
+        assert sum(r.length for r in pieces) == pieces[0].doc_tokens
+
+
+def test_clashing_names_and_other_tokenizers(spark, code, monkeypatch):
+    docs = awkward(spark)
+    for name in ("start", "row_id", "left_ids", "part", "ids", "offset"):
+        got = K.pack(docs.withColumnRenamed("doc_id", name), tokenizer_file(), id_col=name)
+        assert f"{name}_" in got.columns and got.select(f"{name}_").distinct().count() == 11
+    other = K.RunEncoder(tokenizer_file())
+    other.parted = False  # a tokenizer of another kind reads texts whole
+    assert other.encode("It's MIXED Case, été!").tolist() == code.encode("It's MIXED Case, été!").tolist()

@@ -162,3 +162,66 @@ def test_growing_ends():
     assert P.grown(w("abXcdefg"), w("abYcdefg")) == (8, 8, 7)
     assert P.grown(w("Xcdefg"), w("cdefg")) == (6, 5, 5) and P.grown(w("cdefg"), w("Xcdefg")) == (5, 6, 5)
     assert P.grown(w("abXc"), w("abYc")) == (2, 2, 2)
+
+
+def quadratic(found):
+    """Best score of a chain that ends in each anchor."""
+    best = {}
+    for i in sorted(found):
+        best[i] = float(i[1] - i[0])
+        for j in best:
+            gap = (i[0] - j[1], i[2] - j[3])
+            if min(gap) >= 0 and max(gap) <= P.MAX_GAP:
+                best[i] = max(best[i], i[1] - i[0] + best[j] - P.GAP_COST * sum(gap))
+    return best
+
+
+def test_every_best_chain_equals_the_quadratic_one():
+    """Anchors of very different lengths, among them such as hide a nearer predecessor behind a better one."""
+    rng = random.Random(12)
+    score = lambda c: sum(a[1] - a[0] for a in c) - P.GAP_COST * sum((b[0] - a[1]) + (b[2] - a[3]) for a, b in zip(c, c[1:], strict=False))
+    for n in range(1000):
+        found = set()
+        for _ in range(rng.randint(2, 45)):
+            size, s, c = rng.choice([1, 7, 10, 60, 240, 241, 300, 1000]), rng.randrange(0, 2500), rng.randrange(0, 2500)
+            if n % 3 == 0:
+                c = max(0, s + rng.randrange(-40, 40))  # close to one diagonal
+            found.add((s, s + size, c, c + size))
+        found = sorted(found)
+        got = P.chains(found)
+        assert sorted(a for c in got for a in c) == found
+        assert all(0 <= b[0] - a[1] <= P.MAX_GAP and 0 <= b[2] - a[3] <= P.MAX_GAP for c in got for a, b in zip(c, c[1:], strict=False))
+        assert abs(score(got[0]) - max(quadratic(found).values())) < 1e-9
+    three = [(0, 1000, 0, 1000), (1300, 1340, 1300, 1340), (1350, 1400, 1350, 1400)]
+    assert P.chains(three) == [[three[0]], three[1:]]
+
+
+def test_words_and_sources_of_united_parts(spark):
+    """A passage whose halves come from two documents: its words are counted, and the source answers to one part."""
+    rng = random.Random(13)
+    a, b, p, q = text(rng, 40, "a"), text(rng, 40, "b"), text(rng, 61, "p"), text(rng, 30, "q")
+    docs = documents(spark, [(1, " ".join(a + p + a[::-1]), "en", "s", 1), (2, " ".join(b + q + b[::-1]), "en", "s", 1), (3, " ".join(text(rng, 25, "c") + p + q + text(rng, 25, "d")), "en", "s", 1)])
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    (r,) = P.repeated_passages(docs).collect()
+    assert (r.doc_id, r.src_doc_id, r.n_words) == (3, 1, 91) and texts[3][r.start_byte : r.end_byte].split() == p + q
+    assert texts[3][r.part_start : r.part_end] == texts[1][r.src_start : r.src_end] == " ".join(p)
+
+
+def test_texts_that_share_an_id(spark):
+    """Different texts under one id are documents of their own: each is cut by what it holds itself."""
+    rng = random.Random(14)
+    p, own = text(rng, 70, "p"), [text(rng, 50, f"o{i}_") for i in range(4)]
+    one, two, three = " ".join(own[0] + p), " ".join(own[1]), " ".join(own[2] + p + own[3])
+    docs = documents(spark, [(1, one, "en", "s", 1), (2, two, "en", "s", 1), (2, three, "en", "t", 1), (2, three, "en", "t", 1), (None, p[0], "en", "s", 1)])
+    got = P.repeated_passages(docs).collect()
+    assert [(r.doc_id, r.src_doc_id, r.n_words) for r in got] == [(2, 1, 70)]
+    kept = sorted((r.doc_id or 0, r.source, r.text.split()) for r in P.cut_passages(docs).collect())
+    assert kept == sorted([(0, "s", [p[0]]), (1, "s", one.split()), (2, "s", two.split()), (2, "t", own[2] + own[3]), (2, "t", own[2] + own[3])])
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(15)
+    p = text(rng, 300, "p")
+    docs = documents(spark, [(1, " ".join(text(rng, 150_000, "a") + p), "en", "s", 1), (2, " ".join(p + text(rng, 150_000, "b")), "en", "s", 1)])
+    (r,) = P.repeated_passages(docs).collect()
+    assert (r.doc_id, r.src_doc_id, r.n_words, r.start_byte, r.identity) == (2, 1, 300, 0, 1.0)
