@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 
 #: Bytes of text that one vectorised step holds at a time (a longer document is taken alone).
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1 << 19
 _PATHS: list[tuple[SparkSession, str]] = []
 
 
@@ -79,7 +79,7 @@ atexit.register(drop_stage_tables)
 def bound_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by rows and bytes, so that long texts don't pile up in a Python worker. The bounds hold when
     a lazy result runs, so they stay in the session; narrower ones that are set already are kept."""
-    for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 8 << 20)):
+    for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 4 << 20)):
         key = f"spark.sql.execution.arrow.{name}"
         have = spark.conf.get(key).rstrip("b")
         if not (have.isdigit() and 0 < int(have) <= most):

@@ -39,9 +39,11 @@ VERIFY_COST = 20.0
 #: the counters that one partition keeps.
 FREQUENT = 1 << 17
 FREQUENT_FROM = 12
-LOCAL_COUNTERS = 1 << 17
-#: Shingles that a partition gathers before it counts them.
+LOCAL_COUNTERS = 1 << 19
+#: Shingles that a partition gathers before it counts them, and marks (a byte each) by which it tells first occurrences,
+#: which are most of all, from later ones.
 HELD = 250_000
+MARKS = 24
 #: Postings of a group from which its documents' whole sets are looked at before pairs are formed.
 LARGE_GROUP = 64
 LOCAL_FROM = 3
@@ -83,13 +85,15 @@ def prefix_length(n: np.ndarray | int, matches: int) -> np.ndarray | int:
 def frequent_shingles(own: DataFrame) -> np.ndarray:
     """The most frequent shingles of all texts, least frequent first (FREQUENT at most, whatever the input).
 
-    Every partition counts its own shingles by lossy counting; what it finds often is added up over partitions.
+    Every partition counts its own shingles from their second occurrence on (marks of hashed places tell first ones) by
+    lossy counting; what it finds often is added up over partitions.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
         held: list[np.ndarray] = []
         size = 0
+        seen = np.zeros(1 << MARKS, bool)
 
         def fold() -> None:
             nonlocal keys, sums, held, size
@@ -104,13 +108,16 @@ def frequent_shingles(own: DataFrame) -> np.ndarray:
 
         for batch in batches:
             for s in shingle_sets(batch.column(1)):
-                held.append(s)
-                size += len(s)
+                at = s.view(np.uint64) >> np.uint64(64 - MARKS)
+                again = s[seen[at]]
+                seen[at] = True
+                held.append(again)
+                size += len(again)
                 if size > HELD:
                     fold()
         fold()
-        keep = sums >= LOCAL_FROM
-        yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(sums[keep])], names=["token", "n"])
+        keep = sums + 1 >= LOCAL_FROM
+        yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(sums[keep] + 1)], names=["token", "n"])
 
     found = own.mapInArrow(released(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM)
     got = found.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()

@@ -30,7 +30,7 @@ MAX_PAD = 16
 MERGE_PARTITIONS = 4
 END_ID = 1
 #: Bytes of token ids and runs that each of a worker's two generations of memory holds at most.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 20 << 20
 #: Letters of Latin-1 after lower-casing; between them and anything else lies a pre-token boundary.
 _RUNS = re.compile(r"[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[^\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+")
 _BEYOND = re.compile(r"[^\x00-\xff]|['\x1c-\x1f\x85]|<\|")

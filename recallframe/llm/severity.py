@@ -78,10 +78,10 @@ def sparse_features(sample: DataFrame) -> DataFrame:
             for first, last in text_slices(texts):
                 data, off = text_bytes(texts.slice(first, last - first))
                 rows, ids = feature_ids(data, off)
-                lists += [np.unique(ids[rows == i]) for i in range(last - first)] if last - first < 8 else split_unique(rows, ids, last - first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "value", "ids"])
+                lists += split_unique(rows, ids, last - first)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "value", "ids"])
 
-    return sample.mapInArrow(released(extract), T.StructType([sample.schema["doc_id"], sample.schema["value"], T.StructField("ids", T.ArrayType(T.LongType()))]))
+    return sample.mapInArrow(released(extract), T.StructType([sample.schema["doc_id"], sample.schema["value"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def split_unique(rows: np.ndarray, ids: np.ndarray, n: int) -> list[np.ndarray]:
@@ -99,24 +99,24 @@ def fit_severity(docs: DataFrame, labels: DataFrame, value: str = "toxic", bound
     return fit_grades(np.split(ids.values.to_numpy(), ids.offsets.to_numpy()[1:-1]), got["value"].to_numpy())
 
 
-def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Row and feature of all that the lists hold."""
-    return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([np.zeros(0, np.int64), *lists])
-
-
 def _lifts(rows: np.ndarray, ids: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many toxic texts hold each feature, and how much more often they do than the others."""
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    ones = np.bincount(ids[toxic[rows]], minlength=1 << SPACE_BITS)
-    zeros = np.bincount(ids[~toxic[rows]], minlength=1 << SPACE_BITS)
-    return ones, ((ones + 0.1) / (n1 + 0.2)) / ((zeros + 0.1) / (n0 + 0.2))
+    mark = toxic[rows]
+    ones = np.bincount(ids[mark], minlength=1 << SPACE_BITS).astype(np.int32)
+    zeros = np.bincount(ids[~mark], minlength=1 << SPACE_BITS).astype(np.float32)
+    return ones, ((ones + np.float32(0.1)) / np.float32(n1 + 0.2)) / ((zeros + np.float32(0.1)) / np.float32(n0 + 0.2))
 
 
 def fit_grades(lists: list[np.ndarray], toxic: np.ndarray) -> SeverityModel | None:
     toxic = np.asarray(toxic) == 1
     if not toxic.any() or toxic.all():
         return None
-    rows, ids = _flat(lists)
+    rows = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+    ids = np.concatenate([np.zeros(0, np.int32), *lists]).astype(np.int32)
+    often = np.bincount(ids[toxic[rows]], minlength=1 << SPACE_BITS) >= MIN_SUPPORT  # no other can be a feature or marker
+    keep = often[ids]
+    rows, ids = rows[keep], ids[keep]
     ones, lift = _lifts(rows, ids, toxic)
     features = np.flatnonzero((ones >= MIN_SUPPORT) & (lift >= MIN_LIFT))
     if not len(features):
@@ -133,7 +133,7 @@ def fit_grades(lists: list[np.ndarray], toxic: np.ndarray) -> SeverityModel | No
     grade = np.where(toxic, np.maximum(1, np.searchsorted(GRADE_STEPS, marks, side="right")), 0)
     levels = int(grade.max())
     y = (grade[:, None] > np.arange(levels)).astype(np.float64)
-    place = np.full(1 << SPACE_BITS, -1)
+    place = np.full(1 << SPACE_BITS, -1, np.int32)
     place[features] = np.arange(len(features))
     held = place[ids] >= 0
     r, c = rows[held], place[ids[held]]  # the sparse table of features, rows in order
