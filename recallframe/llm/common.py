@@ -95,11 +95,21 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``work`` for mapInArrow, which frees the worker's memory when a partition ends."""
+#: What operators remember in a Python worker from one partition to the next, by owner; another operator's work ends it.
+REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` for mapInArrow, which frees the worker's memory when a partition ends, and what other owners remembered
+    before it begins."""
 
     @functools.wraps(work)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        others = [k for k in REMEMBERED if k != owner]
+        for k in others:
+            REMEMBERED.pop(k)()
+        if others:
+            release_memory()
         try:
             yield from work(batches)
         finally:

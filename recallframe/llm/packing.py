@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, fresh, released, stage_table
+from .common import REMEMBERED, bound_batches, fresh, released, stage_table
 
 LENGTH = 2048
 OPEN_WINDOWS = 32
@@ -112,6 +112,7 @@ _ENCODERS: dict[str, RunEncoder] = {}
 def encoder(path: str) -> RunEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = RunEncoder(path)
+        REMEMBERED["packing"] = _ENCODERS.clear
     return _ENCODERS[path]
 
 
@@ -238,11 +239,11 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         if rows:
             yield to_batch(rows, kind, names)
 
-    packed = stage_table(own.mapInArrow(released(local), first_schema), "packed")
+    packed = stage_table(own.mapInArrow(released(local, "packing"), first_schema), "packed")
     left = packed.where("left_ids is not null")
     parts = packed.agg(F.max("part")).first()[0]
     groups = 1 if parts is None else -(-(parts + 1) // MERGE_PARTITIONS)
     left = left.select(id_col, "start", "doc_tokens", "left_ids", "row_id", F.expr(f"cast(part div {MERGE_PARTITIONS} as int)").alias("grp"), "part", F.col("length").alias("n"))
     left = left.repartitionByRange(groups, "grp").sortWithinPartitions("grp", F.desc("n"), "part", id_col, "start").select(id_col, "start", "doc_tokens", "left_ids", "row_id")
-    merged = left.mapInArrow(released(merge), out_schema)
+    merged = left.mapInArrow(released(merge, "packing"), out_schema)
     return packed.where("left_ids is null").select(*out_schema.fieldNames()).unionByName(merged)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_WORDS, WordHasher, bound_batches, fresh, id_text, labelled_sample, released, text_bytes, text_slices
+from .common import ALNUM_WORDS, WordHasher, bound_batches, fresh, id_text, labelled_sample, release_memory, released, text_bytes, text_slices
 
 #: Labelled documents that a fit reads at most.
 MAX_TRAIN = 6000
@@ -96,28 +96,32 @@ def fit_severity(docs: DataFrame, labels: DataFrame, value: str = "toxic", bound
     if not len(got):
         return None
     ids = got["ids"].chunk(0)
-    return fit_grades(np.split(ids.values.to_numpy(), ids.offsets.to_numpy()[1:-1]), got["value"].to_numpy())
+    model = fit_grades(np.split(ids.values.to_numpy(), ids.offsets.to_numpy()[1:-1]), got["value"].to_numpy())
+    del got, ids
+    release_memory()
+    return model
 
 
-def _lifts(rows: np.ndarray, ids: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many toxic texts hold each feature, and how much more often they do than the others."""
+def _lifts(rows: np.ndarray, at: np.ndarray, toxic: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many toxic texts hold each of n features, and how much more often they do than the others."""
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     mark = toxic[rows]
-    ones = np.bincount(ids[mark], minlength=1 << SPACE_BITS).astype(np.int32)
-    zeros = np.bincount(ids[~mark], minlength=1 << SPACE_BITS).astype(np.float32)
-    return ones, ((ones + np.float32(0.1)) / np.float32(n1 + 0.2)) / ((zeros + np.float32(0.1)) / np.float32(n0 + 0.2))
+    ones, zeros = np.bincount(at[mark], minlength=n), np.bincount(at[~mark], minlength=n)
+    return ones, ((ones + 0.1) / (n1 + 0.2)) / ((zeros + 0.1) / (n0 + 0.2))
 
 
 def fit_grades(lists: list[np.ndarray], toxic: np.ndarray) -> SeverityModel | None:
     toxic = np.asarray(toxic) == 1
     if not toxic.any() or toxic.all():
         return None
-    rows = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
-    ids = np.concatenate([np.zeros(0, np.int32), *lists]).astype(np.int32)
-    often = np.bincount(ids[toxic[rows]], minlength=1 << SPACE_BITS) >= MIN_SUPPORT  # no other can be a feature or marker
-    keep = often[ids]
-    rows, ids = rows[keep], ids[keep]
-    ones, lift = _lifts(rows, ids, toxic)
+    # what too few toxic texts hold can be neither feature nor marker; the rest is few, and known by a place from here on
+    often = np.bincount(np.concatenate([x for x, t in zip(lists, toxic, strict=True) if t]), minlength=1 << SPACE_BITS) >= MIN_SUPPORT
+    known = np.flatnonzero(often)
+    lists = [np.searchsorted(known, x[often[x]]) for x in lists]
+    del often
+    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    ids = np.concatenate(lists)
+    ones, lift = _lifts(rows, ids, toxic, len(known))
     features = np.flatnonzero((ones >= MIN_SUPPORT) & (lift >= MIN_LIFT))
     if not len(features):
         return None
@@ -127,13 +131,13 @@ def fit_grades(lists: list[np.ndarray], toxic: np.ndarray) -> SeverityModel | No
     marks = np.zeros(len(lists), np.int64)
     for own in (half, ~half):
         theirs = ~own[rows]
-        n, far = _lifts(rows[theirs], ids[theirs], toxic)
+        n, far = _lifts(rows[theirs], ids[theirs], toxic, len(known))
         marker = (n >= MIN_SUPPORT) & (far >= 4 * MIN_LIFT)
         marks += np.bincount(rows[~theirs], marker[ids[~theirs]], minlength=len(lists)).astype(np.int64)
     grade = np.where(toxic, np.maximum(1, np.searchsorted(GRADE_STEPS, marks, side="right")), 0)
     levels = int(grade.max())
     y = (grade[:, None] > np.arange(levels)).astype(np.float64)
-    place = np.full(1 << SPACE_BITS, -1, np.int32)
+    place = np.full(len(known), -1)
     place[features] = np.arange(len(features))
     held = place[ids] >= 0
     r, c = rows[held], place[ids[held]]  # the sparse table of features, rows in order
@@ -150,7 +154,7 @@ def fit_grades(lists: list[np.ndarray], toxic: np.ndarray) -> SeverityModel | No
             s += 0.001 * (g * g - s)
             v -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
         np.maximum.accumulate(cuts, out=cuts)  # thresholds stay ordered
-    return SeverityModel(features, w.astype(np.float32), cuts)
+    return SeverityModel(known[features], w.astype(np.float32), cuts)
 
 
 def score_severity(docs: DataFrame, model: SeverityModel | None, id_col: str = "doc_id", text_col: str = "text", keep: str = "") -> DataFrame:
