@@ -354,27 +354,38 @@ def aligned(x: bytes, y: bytes, spans: list[Anchor], x_open: tuple[bool, bool],
     return out
 
 
-def aligned_table(rows: DataFrame) -> DataFrame:
-    """Aligned spans of chains with the two slices of text (doc, other, spans, x, x_at, y, y_at)."""
-    id_type = rows.schema["doc"].dataType.simpleString()
+def aligned_table(slices: DataFrame) -> DataFrame:
+    """Aligned spans of chains. ``slices`` (chain, own, doc, other, spans, at, piece) come sorted by chain and own: the slice
+    of the other document, then that of the own one, which also has the chain's spans. Rows that repeat do nothing."""
+    id_type = slices.schema["doc"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc", "start_byte", "end_byte", "other", "other_start", "other_end", "n_words", "n_equal", "word", "word_end"]
+        theirs: dict[str, Any] | None = None
+        done = None
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                x_at, y_at = r["x_at"], r["y_at"]
+            for i in range(len(batch)):
+                r = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+                if not r["own"]:
+                    theirs = r
+                    continue
+                if r["chain"] == done or theirs is None or theirs["chain"] != r["chain"]:
+                    continue
+                done = r["chain"]
+                x, y, x_at, y_at = r["piece"], theirs["piece"], r["at"], theirs["at"]
                 spans = [(s["b"] - x_at, s["e"] - x_at, s["c"] - y_at, s["f"] - y_at, s["w"]) for s in r["spans"]]
-                x_open = x_at > 0, len(r["x"]) >= spans[-1][1] + MARGIN
-                y_open = y_at > 0, len(r["y"]) >= spans[-1][3] + MARGIN
-                for got in aligned(r["x"], r["y"], spans, x_open, y_open):
+                x_open = x_at > 0, len(x) >= spans[-1][1] + MARGIN
+                y_open = y_at > 0, len(y) >= spans[-1][3] + MARGIN
+                for got in aligned(x, y, spans, x_open, y_open):
                     if got[4] < MIN_CHAIN_WORDS:
                         continue
                     out.append((r["doc"], got[0] + x_at, got[1] + x_at, r["other"], got[2] + y_at, got[3] + y_at, *got[4:]))
-            kinds = [batch.column(0).type, pa.int32(), pa.int32(), batch.column(0).type, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+            kind = batch.schema.field("doc").type
+            kinds = [kind, pa.int32(), pa.int32(), kind, *[pa.int32()] * 6]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)
 
-    return rows.mapInArrow(released(work), f"doc {id_type}, start_byte int, end_byte int, other {id_type}, other_start int, other_end int, n_words int, n_equal int, word int, word_end int")
+    return slices.mapInArrow(released(work), f"doc {id_type}, start_byte int, end_byte int, other {id_type}, other_start int, other_end int, n_words int, n_equal int, word int, word_end int")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -403,15 +414,15 @@ def _passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = stage_table(chain_table(matches).withColumn("chain", F.monotonically_increasing_id()), "chains")
     drop_stage_table(seeds, firsts)
 
-    # both slices of each chain: the texts of these documents are shuffled once, then slices alone
+    # both slices of each chain: the texts of these documents are shuffled once, then slices alone; they meet sorted
     first, last = F.col("spans")[0], F.element_at("spans", -1)
-    cuts = found.select("chain", F.lit(True).alias("own"), "doc", F.greatest(F.lit(0), first["b"] - MARGIN).alias("at"), (last["e"] + MARGIN).alias("to"))
-    cuts = cuts.union(found.select("chain", F.lit(False), "other", F.greatest(F.lit(0), first["c"] - MARGIN), last["f"] + MARGIN))
+    own_cut = found.select("chain", F.lit(True).alias("own"), "doc", "other", "spans", F.greatest(F.lit(0), first["b"] - MARGIN).alias("at"), (last["e"] + MARGIN).alias("to"))
+    kinds = {f.name: f.dataType for f in own_cut.schema}
+    other_cut = found.select("chain", F.lit(False), F.col("other").alias("doc"), F.lit(None).cast(kinds["other"]), F.lit(None).cast(kinds["spans"]), F.greatest(F.lit(0), first["c"] - MARGIN), last["f"] + MARGIN)
     texts = thinned(own, filter_bits(found.select("doc").union(found.select(F.col("other").alias("doc")))))
-    slices = cuts.join(texts.select("doc", F.encode("text", "UTF-8").alias("raw")), "doc").select("chain", "own", "at", F.expr("substring(raw, at + 1, to - at)").alias("piece"))
-    mine, theirs = F.col("own"), ~F.col("own")
-    both = slices.groupBy("chain").agg(*[F.min(F.when(side, F.col(c))).alias(name) for side, c, name in ((mine, "piece", "x"), (mine, "at", "x_at"), (theirs, "piece", "y"), (theirs, "at", "y_at"))])
-    parts = stage_table(aligned_table(found.join(both, "chain").select("doc", "other", "spans", "x", "x_at", "y", "y_at")), "parts")
+    slices = own_cut.union(other_cut).join(texts.select("doc", F.encode("text", "UTF-8").alias("raw")), "doc")
+    slices = slices.select("chain", "own", "doc", "other", "spans", "at", F.expr("substring(raw, at + 1, to - at)").alias("piece"))
+    parts = stage_table(aligned_table(slices.repartition("chain").sortWithinPartitions("chain", "own")), "parts")
     drop_stage_table(found)
     return joined_parts(parts)
 
