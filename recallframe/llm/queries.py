@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bytecnn, capfilters, jaccard, langmix, licenses, mixing, packing, passages, severity
+from . import audio, bytecnn, capfilters, decontaminate, jaccard, langmix, licenses, mixing, packing, passages, severity
 from .common import id_text
 
 
@@ -72,6 +72,10 @@ def audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.audio_columns(_read(spark, sf_dir, "documents"), keep_media=False)
 
 
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": license_scan,
     "op2_collinear_passages": collinear_passages,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ordinal_toxicity": ordinal_toxicity,
     "op9_best_fit_pack": best_fit_pack,
     "op10_audio_features": audio_features,
+    "op13_benchmark_decontamination": benchmark_decontamination,
 }
 
 _COMPONENTS = """
@@ -125,5 +130,21 @@ draws AS (
   FROM documents d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source, unnest(range(1, parts + 1)) t(j)
 ), counts AS (SELECT doc_id, count(*) AS n FROM draws JOIN cdf ON draws.source IS NOT DISTINCT FROM cdf.source AND c <= u GROUP BY doc_id)
 SELECT d.*, n::INT AS mix_count, unnest(range(0, n))::INT AS mix_copy FROM documents d JOIN counts USING (doc_id)
+""",
+    "op13_benchmark_decontamination": rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{decontaminate.WORD}') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{decontaminate.WORD}') AS w FROM benchmark
+), wins AS (
+  SELECT DISTINCT item_id, m, unnest(list_transform(range(0, len(w) - m + 1), lambda i: array_to_string(w[i + 1:i + m], ' '))) AS s
+  FROM (SELECT *, least(len(w), {decontaminate.WINDOW}) AS m FROM b WHERE len(w) > 0)
+), tried AS (
+  SELECT doc_id, m, unnest(list_transform(range(0, len(w) - m + 1), lambda i: {{'i': i, 's': array_to_string(w[i + 1:i + m], ' ')}})) AS x FROM d, (SELECT DISTINCT m FROM wins)
+), hits AS (SELECT doc_id, x.i AS i, wins.m AS m, item_id FROM tried JOIN wins ON x.s = wins.s),
+places AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT doc_id, i, m FROM hits)) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(places.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(places.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """,
 }
