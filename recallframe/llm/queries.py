@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bytecnn, capfilters, decontaminate, jaccard, langmix, licenses, mixing, packing, passages, severity
+from . import audio, bytecnn, capfilters, decontaminate, jaccard, langmix, licenses, mixing, packing, passages, repair, severity, spelling
 from .common import id_text
 
 
@@ -72,6 +72,14 @@ def audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.audio_columns(_read(spark, sf_dir, "documents"), keep_media=False)
 
 
+def structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(_read(spark, sf_dir, "conversations"))
+
+
+def spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_read(spark, sf_dir, "documents"))
+
+
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -87,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ordinal_toxicity": ordinal_toxicity,
     "op9_best_fit_pack": best_fit_pack,
     "op10_audio_features": audio_features,
+    "op11_structure_repair": structure_repair,
+    "op12_spelling_variants": spelling_groups,
     "op13_benchmark_decontamination": benchmark_decontamination,
 }
 
@@ -96,6 +106,11 @@ reach(x, y) AS (SELECT x, y FROM both_ways UNION SELECT r.x, e.y FROM reach r JO
 comp AS (SELECT x, least(x, min(y)) AS c FROM reach GROUP BY x)
 """
 
+#: crc32 of the text in column k: a table of 256 entries (crc_table), then byte by byte.
+_CRC_TABLE = "crc_table AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS tab FROM range(256) r(i))"
+_CRC_OF = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, octet_length(encode({k})) + 1), lambda i: ('0x' || substr(hex(encode({k})), 2 * i - 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])))"""
+
 ORACLES: dict[str, str] = {
     "op3_cap_filters": f"""
 WITH RECURSIVE links AS (
@@ -130,6 +145,60 @@ draws AS (
   FROM documents d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source, unnest(range(1, parts + 1)) t(j)
 ), counts AS (SELECT doc_id, count(*) AS n FROM draws JOIN cdf ON draws.source IS NOT DISTINCT FROM cdf.source AND c <= u GROUP BY doc_id)
 SELECT d.*, n::INT AS mix_count, unnest(range(0, n))::INT AS mix_copy FROM documents d JOIN counts USING (doc_id)
+""",
+    "op11_structure_repair": rf"""
+WITH RECURSIVE {_CRC_TABLE}, raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), fated AS (SELECT raw.*, {_CRC_OF.format(k="k")} % 20 AS fate FROM raw, crc_table),
+left_over AS (
+  SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(0, CASE fate WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM fated WHERE fate <> 0
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM left_over),
+marked AS (
+  SELECT conv_id, turn, i, role, text, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS step,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM numbered
+), told AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (step NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id
+), keeps(initial, p, q) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('a', 2, 3), ('u', 3, 2)),
+wanted(p, q, line) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+inserts(p, q, cost, audit, lines) AS (VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 5, 'I', ['user:']), (1, 2, 5, 'I', ['user:']), (2, 3, 5, 'I', ['assistant:']),
+  (3, 2, 5, 'I', ['user:']), (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 3, 10, 'II', ['user:', 'assistant:'])),
+edits AS (
+  SELECT conv_id, i, p, p AS q, 2 AS cost, 'D' AS audit, []::VARCHAR[] AS lines FROM marked, wanted
+  UNION ALL SELECT conv_id, i, p, q, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, 'K', [role || ':' || text] FROM marked JOIN keeps USING (initial) WHERE fault IN ('', 'truncated')
+  UNION ALL SELECT conv_id, i, p, q, CASE fault WHEN 'truncated' THEN 6 ELSE 1 END, 'R', [line || ':' || text] FROM marked, wanted WHERE fault IN ('', 'truncated')
+), paths(conv_id, i, q, best) AS (
+  SELECT conv_id, 0::BIGINT, q, {{'cost': cost, 'audit': audit, 'lines': lines}} FROM told, inserts WHERE p = 0
+  UNION ALL
+  SELECT e.conv_id, e.i, s.q, min({{'cost': best.cost + e.cost + s.cost, 'audit': best.audit || e.audit || s.audit, 'lines': best.lines || e.lines || s.lines}})
+  FROM paths JOIN edits e ON e.conv_id IS NOT DISTINCT FROM paths.conv_id AND e.i = paths.i + 1 AND e.p = paths.q JOIN inserts s ON s.p = e.q GROUP BY e.conv_id, e.i, s.q
+), ended AS (SELECT told.conv_id, min(best) AS best FROM told JOIN paths ON paths.conv_id IS NOT DISTINCT FROM told.conv_id AND paths.i = n AND q IN (0, 3) GROUP BY told.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended ON ended.conv_id IS NOT DISTINCT FROM c.conv_id
+""",
+    "op12_spelling_variants": rf"""
+WITH RECURSIVE {_CRC_TABLE}, runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) WHERE length(run) >= {spelling.MIN_LENGTH} GROUP BY ALL
+), hashed AS (SELECT run, n, {_CRC_OF.format(k="coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM runs, crc_table),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN h % {spelling.DAMAGE} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= {spelling.MIN_LENGTH} GROUP BY word HAVING sum(n) >= {spelling.MIN_COUNT}
+), holes AS (SELECT word, n, unnest(list_transform(range(0, length(word)), lambda i: substr(word, 1, i) || '*' || substr(word, i + 2))) AS hole FROM words),
+pairs AS (
+  SELECT a.word AS a, b.word AS b, b.n AS n FROM holes a JOIN holes b ON a.hole = b.hole AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON replace(a.hole, '*', '') = b.word
+  UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON replace(a.hole, '*', '') = b.word
+), best AS (SELECT a, count(*) AS n_near, max(n) AS top FROM pairs GROUP BY a),
+forms AS (SELECT a, min(b) AS form, any_value(top) AS form_n FROM pairs JOIN best USING (a) JOIN words ON words.word = a WHERE pairs.n = top AND top >= {spelling.RATIO} * words.n GROUP BY a),
+up(word, root, step) AS (SELECT a, form, 1 FROM forms UNION ALL SELECT up.word, forms.form, step + 1 FROM up JOIN forms ON forms.a = up.root),
+roots AS (SELECT word, arg_max(root, step) AS root FROM up GROUP BY word)
+SELECT w.word, form, coalesce(root, w.word) AS root, n, coalesce(n_near, 0)::BIGINT AS n_near, form_n::BIGINT AS form_n
+FROM words w LEFT JOIN best ON best.a = w.word LEFT JOIN forms ON forms.a = w.word LEFT JOIN roots ON roots.word = w.word
 """,
     "op13_benchmark_decontamination": rf"""
 WITH d AS (
