@@ -1,7 +1,9 @@
 """Media columns: a byte payload is stored as 8-bit audio and described by polyphase resampling, overlapped
 log-mel filterbanks and hysteresis energy segmentation.
 
-Features come as fixed-shape tensors (``PATCH_FRAMES`` x ``MELS`` float32) with their time spans. A null or empty text is a
+Features come as fixed-shape tensors (``PATCH_FRAMES`` x ``MELS`` float32) with their time spans. They are the same bits on any
+machine: tables are rounded to ``TABLE_QUANTUM``, sums run in double precision in a fixed order without BLAS, the logarithm is made
+of single additions, products and quotients, and levels are rounded to ``LEVEL_QUANTUM``. A null or empty text is a
 payload of zero bytes alone; texts of any length are taken whole, in blocks. Equal texts, repeated rows among them, give
 equal values; a silent or even payload has no loud segment. An empty table has no rows. Columns other than id and text are
 not looked at; an id column that is called like a result keeps its name with underscores behind.
@@ -33,6 +35,9 @@ PATCH_FRAMES = 16
 #: Segments start above the higher and end below the lower mark, both as shares of the loudness range.
 ENTER, LEAVE = 0.6, 0.4
 BLOCK = 1 << 18
+TABLE_QUANTUM, LEVEL_QUANTUM = 2.0**-30, 2.0**-12
+#: Added to a power before its logarithm is taken, and the level of silence.
+FLOOR = 1e-6
 
 
 def wav_bytes(payload: bytes, rate: int = RATE) -> bytes:
@@ -55,6 +60,32 @@ def wav_payload(media: bytes) -> bytes:
     raise ValueError("no samples")
 
 
+def rounded(x: np.ndarray, quantum: float) -> np.ndarray:
+    return np.rint(x / quantum) * quantum
+
+
+def natural_log(x: np.ndarray) -> np.ndarray:
+    """Logarithm of positive doubles, to about 1e-13: x is m * 2**e with m near 1, and log m is 2 atanh((m - 1) / (m + 1)).
+    Library logarithms differ in their last bits from one processor to another."""
+    m, e = np.frexp(x)
+    low = m < 0.7071067811865476
+    m, e = np.where(low, 2 * m, m), e - low
+    s = (m - 1) / (m + 1)
+    z = s * s
+    series = np.full_like(z, 1 / 19)
+    for k in range(17, 0, -2):
+        series = series * z + 1 / k
+    return 2 * s * series + e * 0.6931471805599453
+
+
+def level(power: np.ndarray) -> np.ndarray:
+    """Rounded log of a power."""
+    return rounded(natural_log(power + FLOOR), LEVEL_QUANTUM).astype(np.float32)
+
+
+SILENCE = level(np.zeros(1))[0]
+
+
 @lru_cache(maxsize=4)
 def _phases(up: int, down: int, taps: int) -> np.ndarray:
     """A Hamming-windowed sinc low-pass, dealt into one filter for each of the ``up`` phases."""
@@ -63,7 +94,7 @@ def _phases(up: int, down: int, taps: int) -> np.ndarray:
     cut = 1 / max(up, down)
     h = cut * np.sinc(cut * t) * np.hamming(len(t)) * up
     h = np.pad(h, (0, -len(h) % up))
-    return h.reshape(-1, up).T.astype(np.float32).copy()
+    return rounded(h, TABLE_QUANTUM).reshape(-1, up).T.astype(np.float32).copy()
 
 
 def resample(x: np.ndarray, up: int = UP, down: int = DOWN, taps: int = TAPS) -> np.ndarray:
@@ -92,26 +123,37 @@ def resample(x: np.ndarray, up: int = UP, down: int = DOWN, taps: int = TAPS) ->
 
 @lru_cache(maxsize=2)
 def mel_filters(rate: int = OUT_RATE, frame: int = FRAME, mels: int = MELS) -> np.ndarray:
+    """Weight of each bin (row) in each band (column): triangles between neighbouring points of the mel scale."""
     mel = lambda f: 2595 * np.log10(1 + f / 700)
     points = 700 * (10 ** (np.linspace(mel(0), mel(rate / 2), mels + 2) / 2595) - 1)
     freq = np.linspace(0, rate / 2, frame // 2 + 1)
     rise = (freq[:, None] - points[:-2]) / (points[1:-1] - points[:-2])
     fall = (points[2:] - freq[:, None]) / (points[2:] - points[1:-1])
-    return np.maximum(0, np.minimum(rise, fall)).astype(np.float32)
+    return rounded(np.maximum(0, np.minimum(rise, fall)), TABLE_QUANTUM)
+
+
+@lru_cache(maxsize=2)
+def _band_runs() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bins of each band, one band after the other, their weights, and where each band begins among them."""
+    bins = [np.flatnonzero(column) for column in mel_filters().T]
+    bins = [x if len(x) else np.zeros(1, np.int64) for x in bins]  # a band without a bin sums one weight of 0
+    first = np.concatenate([[0], np.cumsum([len(x) for x in bins])[:-1]])
+    return np.concatenate(bins), np.concatenate([mel_filters()[x, i] for i, x in enumerate(bins)]), first
 
 
 def log_mel(x: np.ndarray, block_frames: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Log-mel bands and log energy of overlapped Hann frames; the last frame is padded with silence."""
     n = max(1, -(-max(0, len(x) - FRAME) // HOP) + 1)
     x = np.pad(x, (0, max(0, (n - 1) * HOP + FRAME - len(x))))
-    window = np.hanning(FRAME).astype(np.float32)
+    window = rounded(np.hanning(FRAME), TABLE_QUANTUM)
+    bins, weights, first = _band_runs()
     bands, energy = np.empty((n, MELS), np.float32), np.empty(n, np.float32)
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     for i in range(0, n, block_frames):
         spectrum = np.fft.rfft(frames[i : i + block_frames] * window)
-        power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
-        bands[i : i + block_frames] = np.log(power @ mel_filters() + 1e-6)
-        energy[i : i + block_frames] = np.log(power.sum(1) + 1e-6)
+        power = spectrum.real * spectrum.real + spectrum.imag * spectrum.imag
+        bands[i : i + block_frames] = level(np.add.reduceat(power[:, bins] * weights, first, axis=1))
+        energy[i : i + block_frames] = level(np.add.reduceat(power, [0], axis=1)[:, 0])
     return bands, energy
 
 
@@ -140,7 +182,7 @@ def features(payload: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[float,
     y = np.concatenate(parts) if parts else np.zeros(0, np.float32)
     bands, energy = log_mel(y)
     n = -(-len(bands) // PATCH_FRAMES)
-    padded = np.full((n * PATCH_FRAMES, MELS), np.float32(np.log(1e-6)), np.float32)
+    padded = np.full((n * PATCH_FRAMES, MELS), SILENCE, np.float32)
     padded[: len(bands)] = bands
     begin = np.arange(n) * PATCH_FRAMES * HOP / OUT_RATE
     finish = np.minimum(((np.arange(n) + 1) * PATCH_FRAMES - 1) * HOP + FRAME, max(len(y), 1)) / OUT_RATE

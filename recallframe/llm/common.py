@@ -310,8 +310,9 @@ def text_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.where(docs[id_col].isNotNull()).withColumn(h, F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
     keys = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(h).alias("h")).distinct().repartitionByRange("id", "h").sortWithinPartitions("id", "h")
     keys = stage_table(keys.select("id", "h", F.monotonically_increasing_id().alias("node")), "nodes")
-    named = keys.select(F.col("id").alias(f"{node}_id"), F.col("h").alias(f"{node}_h"), F.col("node").alias(node))
-    out = rows.join(named, (rows[id_col] == F.col(f"{node}_id")) & (F.col(h) == F.col(f"{node}_h")))
+    key_id, key_h = (fresh([*docs.columns, h, node], f"{node}_{x}") for x in ("id", "hash"))
+    named = keys.select(F.col("id").alias(key_id), F.col("h").alias(key_h), F.col("node").alias(node))
+    out = rows.join(named, (rows[id_col] == F.col(key_id)) & (F.col(h) == F.col(key_h)))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], node), keys.select("node", "id"), node
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, SPACE_WORDS, WordHasher, bound_batches, drop_stage_table, filter_bits, released, repeated_ids, stage_table, text_bytes, text_nodes, text_slices, window_hashes
+from .common import FILTER_BITS, SPACE_WORDS, WordHasher, bound_batches, drop_stage_table, filter_bits, fresh, released, repeated_ids, stage_table, text_bytes, text_nodes, text_slices, window_hashes
 from .components import connected_components
 
 SHINGLE = 5
@@ -278,17 +278,19 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles and component_id (smallest id reachable by links)."""
+    """One row per row of ``docs``: id, n_shingles and component_id (smallest id reachable by links). An id column that is called
+    like one of the others keeps its name with underscores behind."""
+    name = fresh(["n_shingles", "component_id"], id_col)
     if repeated_ids(docs, id_col, text_col)[1]:  # rows of an id are documents of their own then
         rows, keys, node = text_nodes(docs, id_col, text_col)
         sizes, found = similar_components(rows, node, text_col)
         least = found.join(keys.select(F.col("node").alias("component"), F.col("id").alias("least")), "component").select("node", "least")
-        known = sizes.withColumnRenamed("doc", "node").join(keys, "node").join(least, "node", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+        known = sizes.withColumnRenamed("doc", "node").join(keys, "node").join(least, "node", "left").select(F.col("id").alias(name), F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
         nameless = docs.where(docs[id_col].isNull())
         return known.unionByName(jaccard_classes(nameless, id_col, text_col)) if nameless.limit(1).count() else known
     sizes, found = similar_components(docs, id_col, text_col)
     out = sizes.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    return out.select(F.col("doc").alias(name), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 
 def keep_first_of_class(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, WordHasher, bound_batches, drop_stage_table, filter_bits, released, repeated_ids, stage_table, text_bytes, text_nodes, text_slices, thinned, window_hashes
+from .common import SPACE_WORDS, WordHasher, bound_batches, drop_stage_table, filter_bits, fresh, released, repeated_ids, stage_table, text_bytes, text_nodes, text_slices, thinned, window_hashes
 
 K, WINDOW = 6, 8
 #: Words of a reported passage, and of a chain that may become part of one.
@@ -393,14 +393,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     start_byte, end_byte, n_words, src_doc_id, src_start, src_end, identity, part_start, part_end.
 
     Parts that follow one another in a document count as one passage even if they come from different ones; the source
-    span, its identity and the bytes of this document that it answers to are those of the longest part.
+    span, its identity and the bytes of this document that it answers to are those of the longest part. An id column that is
+    called like one of the others keeps its name with underscores behind.
     """
     if repeated_ids(docs, id_col, text_col)[1]:
         rows, keys, node = text_nodes(docs, id_col, text_col)
         got = _passages(rows, node, text_col)
-        named = got.join(keys.select(F.col("node").alias("doc"), F.col("id").alias(id_col)), "doc").join(keys.select(F.col("node").alias("src_doc_id"), F.col("id").alias("src")), "src_doc_id")
-        return named.withColumn("src_doc_id", F.col("src")).select(id_col, *[c for c in got.columns if c != "doc"])
-    return _passages(docs, id_col, text_col).withColumnRenamed("doc", id_col)
+        got = got.join(keys.select(F.col("node").alias("doc"), F.col("id").alias("own")), "doc").join(keys.select(F.col("node").alias("src_doc_id"), F.col("id").alias("src")), "src_doc_id")
+        got = got.withColumns({"doc": F.col("own"), "src_doc_id": F.col("src")}).drop("own", "src")
+    else:
+        got = _passages(docs, id_col, text_col)
+    told = [c for c in got.columns if c != "doc"]
+    return got.select(F.col("doc").alias(fresh(told, id_col)), *told)
 
 
 def _passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -457,11 +461,9 @@ def cut_passages(docs: DataFrame) -> DataFrame:
 def _cut(docs: DataFrame, id_col: str) -> DataFrame:
     spans = _passages(docs, id_col, "text").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start_byte", "end_byte"))).alias("cuts"))
     spans = stage_table(spans.select(F.col("doc").alias("cut_doc"), "cuts"), "cuts")
-    cut_name = "cuts"
-    while cut_name in docs.columns or f"{cut_name}_doc" in docs.columns:
-        cut_name += "_"
-    spans = spans.select(F.col("cut_doc").alias(f"{cut_name}_doc"), F.col("cuts").alias(cut_name))
-    joined = docs.join(spans, docs[id_col] == F.col(f"{cut_name}_doc"), "left")
+    cut_name, doc_name = fresh(docs.columns, "cuts"), fresh(docs.columns, "cut_doc")
+    spans = spans.select(F.col("cut_doc").alias(doc_name), F.col("cuts").alias(cut_name))
+    joined = docs.join(spans, docs[id_col] == F.col(doc_name), "left")
     raw = "encode(text, 'UTF-8')"
     edges = f"concat(array(0), transform(`{cut_name}`, c -> c.end_byte))"
     stops = f"concat(transform(`{cut_name}`, c -> c.start_byte), array(length({raw})))"

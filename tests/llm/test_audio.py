@@ -1,4 +1,7 @@
 import hashlib
+import os
+import subprocess
+import sys
 import zlib
 
 import duckdb
@@ -79,3 +82,37 @@ def test_clashing_names_and_digests_in_sql(spark, tmp_path):
         from (select doc_id, coalesce(text, '') as text, strlen(coalesce(text, '')) as n from '{tmp_path}/docs/*.parquet'))""").fetchall()
     got = {(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256) for r in A.audio_columns(docs, keep_media=False).collect()}
     assert got == set(want)
+
+
+def test_logarithm():
+    x = np.concatenate([10.0 ** np.linspace(-12, 12, 5001), [1.0, 0.5, 0.7071067811865476, 2.0]])
+    assert np.abs(A.natural_log(x) - np.log(x)).max() < 1e-13
+
+
+def test_bands_against_plain_sums():
+    """Log-mel bands of a frame as plain sums over bins, and the energy, up to the quantum."""
+    x = np.sin(np.arange(3000) * 0.3).astype(np.float32)
+    bands, energy = A.log_mel(x)
+    window, weights = np.hanning(A.FRAME), A.mel_filters()
+    for i in (0, 3, len(bands) - 1):
+        frame = np.pad(x[i * A.HOP : i * A.HOP + A.FRAME], (0, max(0, A.FRAME - len(x[i * A.HOP : i * A.HOP + A.FRAME]))))
+        power = np.abs(np.fft.rfft(frame * window)) ** 2
+        want = [np.log(sum(power[j] * weights[j, m] for j in range(len(power))) + 1e-6) for m in range(A.MELS)]
+        assert np.abs(bands[i] - want).max() < 1e-3 and abs(energy[i] - np.log(power.sum() + 1e-6)) < 1e-3
+
+
+def test_tensors_are_the_same_bits_on_other_machines():
+    """Other BLAS kernels, threads and vector instructions give the same tensors."""
+    code = """
+import hashlib, numpy as np
+from recallframe.llm import audio as A
+h = hashlib.sha256()
+rng = np.random.default_rng(3)
+for n in (64, 640, 5000, 72000, 600000):
+    patches, spans, loud, energy = A.features(rng.integers(0, 256, n, dtype=np.uint8).tobytes())
+    h.update(A.tensor_ipc(patches, spans, A.frames_of(len(energy))) + energy.tobytes() + repr(loud).encode())
+print(h.hexdigest())
+"""
+    kinds = [{}, {"OPENBLAS_CORETYPE": "Haswell", "OPENBLAS_NUM_THREADS": "1"}, {"OPENBLAS_CORETYPE": "Nehalem", "OPENBLAS_NUM_THREADS": "4"}, {"NPY_DISABLE_CPU_FEATURES": "AVX512F AVX512CD AVX512_SKX AVX2 FMA3"}]
+    got = {subprocess.run([sys.executable, "-W", "ignore", "-c", code], env=os.environ | kind, capture_output=True, text=True, check=True).stdout for kind in kinds}
+    assert len(got) == 1
