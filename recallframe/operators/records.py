@@ -54,11 +54,16 @@ def row_problem(row: Mapping[str, Any] | Sequence[str], required: Sequence[str],
     return F.when(~known, F.concat(F.lit("unknown condition: "), F.coalesce(condition.cast("string"), F.lit("null"))))
 
 
-def validated_rows(rows: DataFrame, required: Sequence[str], conditions: Sequence[str]) -> DataFrame:
-    """Result rows with the required columns alone; a missing column or an unknown condition raises."""
+def validated_rows(rows: DataFrame, required: Sequence[str], conditions: Sequence[str] | DataFrame) -> DataFrame:
+    """Result rows with the required columns alone; a missing column or an unknown condition raises. Conditions are listed, or
+    the first column of a table of any size."""
     missing = [c for c in required if c not in rows.columns]
     if missing:
         raise ValueError("missing columns: " + ", ".join(missing))
+    if isinstance(conditions, DataFrame):
+        known = conditions.select(F.col(conditions.columns[0]).alias("__known")).distinct()
+        both = rows.join(known, F.col("condition") == F.col("__known"), "left")
+        return require(both, F.col("__known").isNotNull(), F.concat(F.lit("unknown condition: "), F.coalesce(F.col("condition").cast("string"), F.lit("null")))).select(*required)
     problem = row_problem(rows.columns, required, F.col("condition"), conditions)
     return require(rows, problem.isNull(), F.coalesce(problem, F.lit(""))).select(*required)
 

@@ -13,14 +13,15 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.written import written
 from .guards import require, valid_hits
 
 
 #: Queries that are broadcast at most, and parts of the rows that larger query sets meet separately.
 BROADCAST_QUERIES = 4096
 DEALS = 64
-#: Keys that ranked_by draws to cut an order into ranges, and the ranges: FINE in each of COARSE.
-SAMPLE, FINE, COARSE = 4096, 32, 32
+#: Bits that a round of selection counts, and ranks in search up to which they are broadcast.
+DIGIT, BROADCAST_TARGETS = 16, 1 << 16
 #: Centres of an inverted file at most.
 CELLS = 4096
 
@@ -95,47 +96,85 @@ def list_rows(rows: DataFrame, filters: Mapping[str, Any] | None = None, limit:
     if limit is not None:
         out = out.orderBy(ordinal).limit(max(0, limit))
         return out.withColumn("rank", F.row_number().over(Window.orderBy(ordinal))).withColumns({"score": F.lit(0.0), "distance": F.lit(0.0)})
-    # without a limit ranks come from counts below each partition range, not from one global window
+    # without a limit ranks come from counts of ranges, not from one global window
     return ranked_by(out, ordinal).withColumns({"score": F.lit(0.0), "distance": F.lit(0.0)})
 
 
-def ranked_by(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
-    """Global 1-based position in an order (nulls first), exact at any size; equal keys have distinct positions.
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` in ranges of an order (nulls first), written: __at holds the range's number (from bit 33 on) and the row's in it.
 
-    The rows with the smallest hashes of their keys are a bounded sample that every evaluation draws alike; it cuts the
-    keys into up to FINE * COARSE ranges. Rows are numbered within their range and ranges are counted apart, so that what
-    decides a row's range depends on its key alone, never on how Spark happens to partition. One shuffle of the rows.
+    Spark samples the keys and cuts them into ranges; rows of one key may stand in several, as a salt goes with the key. One
+    shuffle of the rows and one write, at the time of the call.
     """
-    key = F.struct(*[F.col(f"`{c}`") for c in order])
-    drawn = df.select(key.alias("__key")).orderBy(F.xxhash64("__key"), "__key").limit(SAMPLE)
-    sorted_keys = drawn.agg(F.array_sort(F.collect_list("__key")).alias("__all"))
-    step = F.greatest(F.lit(1), F.ceil(F.size("__all") / (FINE * COARSE)).cast("int"))
-    fine = sorted_keys.select(F.filter("__all", lambda x, i: i % step == 0).alias("__fine"))
-    cuts = fine.select("__fine", F.filter("__fine", lambda x, i: i % FINE == 0).alias("__coarse"))  # one row
-    placed = df.withColumn("__key", key).crossJoin(F.broadcast(cuts))
-    block = F.size(F.filter("__coarse", lambda x: x < F.col("__key")))
-    placed = placed.withColumn("__block", F.greatest(F.lit(0), block - 1))
-    inner = F.size(F.filter(F.slice("__fine", F.col("__block") * FINE + 1, F.lit(FINE)), lambda x: x < F.col("__key")))
-    placed = placed.withColumn("__part", F.col("__block") * (FINE + 1) + inner).drop("__fine", "__coarse", "__block")
-    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # a row per range
+    salt = F.xxhash64(F.monotonically_increasing_id())
+    keys = [F.col(f"`{c}`") for c in order]
+    return written(df.withColumn("__salt", salt).repartitionByRange(*keys, "__salt").sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()).drop("__salt"), "ranked")
+
+
+def ranked_by(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
+    """Global 1-based position in an order (nulls first), exact at any size; equal keys have distinct positions. Rows are
+    numbered in their ranges, which are counted."""
+    rows = numbered(df, *order)
+    part, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))  # a row per range
     before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    own = placed.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy("__key")))
-    out = own.join(F.broadcast(before), "__part")
-    return out.withColumn(name, (F.col("__before") + F.col("__row")).cast("long")).drop("__part", "__before", "__row", "__key")
+    out = rows.join(F.broadcast(before), part == F.col("__part"))
+    return out.withColumn(name, (F.col("__before") + row + 1).cast("long")).drop("__part", "__before", "__at")
+
+
+def order_key(value: Column) -> Column:
+    """A long that rises with a double, as its bits do: exponent and mantissa, negated below zero. Zeros are alike, NaN is last."""
+    a = F.abs(value)
+    near = F.greatest(F.lit(-1022), F.least(F.lit(1023), F.floor(F.log2(a)).cast("int")))
+    base = F.pow(F.lit(2.0), near)
+    e = F.greatest(F.lit(-1022), F.when(a < base, near - 1).when(a >= base * 2, near + 1).otherwise(near))
+    size = ((e + 1022).cast("long") * F.lit(1 << 52)) + (a / F.pow(F.lit(2.0), e - 52)).cast("long")
+    size = F.when(a == 0, F.lit(0).cast("long")).when(a == float("inf"), F.lit(2047 << 52)).otherwise(size)
+    return F.when(F.isnan(value), F.lit((1 << 63) - 1)).when(value < 0, -size).otherwise(size)
 
 
 def order_statistics(df: DataFrame, by: Sequence[str], value: str, fractions: Sequence[float]) -> DataFrame:
-    """Interpolated quantiles of the non-null values of each group: by, fraction, quantile. Ranks come from one global
-    order, so that no group has to fit in one place."""
-    own = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
-    ranked = ranked_by(own, *by, "__v", name="__rank")
-    per = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min("__rank").alias("__first"))
-    asked = per.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions]))).withColumn("__at", (F.col("__n") - 1) * F.col("fraction"))
-    low = F.floor("__at")
-    asked = asked.withColumn("__pick", F.explode(F.array(*[F.struct((F.col("__first") + F.least(F.col("__n") - 1, low + k)).alias("rank"), w.alias("w")) for k, w in ((0, 1 - (F.col("__at") - low)), (1, F.col("__at") - low))])))
-    wanted = asked.select(*by, "fraction", F.col("__pick.rank").alias("__rank"), F.col("__pick.w").alias("__w"))
-    got = wanted.join(ranked.select("__rank", "__v"), "__rank")
-    return got.groupBy(*by, "fraction").agg(F.sum(F.when(F.col("__w") > 0, F.col("__v") * F.col("__w")).otherwise(0.0)).alias("quantile"))
+    """Interpolated quantiles of the non-null values of each group: by, fraction, quantile.
+
+    Found by selection: values become longs of the same order; each round counts the next DIGIT bits of those that share the bits
+    found so far with a rank that is asked for, and ends for ranks whose bucket holds one value alone. Rows are neither sorted
+    nor shuffled, only counts are, a row for each digit that occurs; repeated values cost nothing.
+    """
+    groups = [f"__g{i}" for i in range(len(by))]
+    own = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(g) for c, g in zip(by, groups, strict=True)], F.col(value).cast("double").alias("__v"))
+    own = own.withColumn("__key", order_key(F.col("__v")))
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in groups], F.lit(True))
+    counted = [F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high")]
+    shift = 64 - DIGIT
+    counts = written(own.groupBy(*groups, F.shiftright("__key", shift).alias("__digit")).agg(*counted), "digits")
+    per = counts.groupBy(*groups).agg(F.sum("__n").alias("__all"))
+    asked = per.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions]))).withColumn("__place", (F.col("__all") - 1) * F.col("fraction"))
+    low = F.floor("__place")
+    asked = asked.withColumn("__pick", F.explode(F.array(*[F.struct(F.least(F.col("__all") - 1, low + k).alias("rank"), w.alias("w")) for k, w in ((0, 1 - (F.col("__place") - low)), (1, F.col("__place") - low))])))
+    asked = asked.select(*groups, "fraction", F.col("__pick.rank").alias("__rank"), F.col("__pick.w").alias("__w"))
+    targets = asked.select(*groups, "__rank", F.lit(0).cast("long").alias("__bits"), F.col("__rank").alias("__left")).distinct()
+    found, prefix = [], F.lit(0).cast("long")
+    while True:
+        of = Window.partitionBy(*groups, "__bits").orderBy("__digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = counts.withColumn("__bits", prefix).withColumn("__upto", F.sum("__n").over(of))
+        hit = targets.alias("t").join(placed.alias("c"), same("t", "c") & (F.col("t.__bits") == F.col("c.__bits")) & (F.col("__left") < F.col("__upto")) & (F.col("__left") >= F.col("__upto") - F.col("__n")))
+        state = written(hit.select(*[F.col(f"t.{g}").alias(g) for g in groups], "__rank", F.col("__digit").alias("__bits"), (F.col("__left") - F.col("__upto") + F.col("__n")).alias("__left"), "__low", "__high"), "targets")
+        open_ = ~F.col("__low").eqNullSafe(F.col("__high"))
+        found.append(state.where(~open_).select(*groups, "__rank", F.col("__low").alias("__found")))
+        left = state.where(open_).limit(BROADCAST_TARGETS + 1).count() if shift else 0
+        if not left:
+            break
+        targets = state.where(open_).select(*groups, "__rank", "__bits", "__left")
+        before, shift = shift, shift - DIGIT
+        wanted = targets.select(*groups, "__bits").distinct()
+        wanted = F.broadcast(wanted) if left <= BROADCAST_TARGETS else wanted
+        rows = own.alias("o").join(wanted.alias("w"), same("o", "w") & (F.shiftright("__key", before) == F.col("__bits"))).select(*[F.col(f"o.{g}").alias(g) for g in groups], "__key", "__v")
+        counts = written(rows.groupBy(*groups, F.shiftright("__key", shift).alias("__digit")).agg(*counted), "digits")
+        prefix = F.shiftright("__digit", DIGIT)
+    values = reduce(DataFrame.union, found)
+    got = asked.alias("a").join(values.alias("v"), same("a", "v") & (F.col("a.__rank") == F.col("v.__rank")))
+    got = got.groupBy(*[F.col(f"a.{g}").alias(g) for g in groups], "fraction").agg(F.sum(F.when(F.col("__w") > 0, F.col("__found") * F.col("__w")).otherwise(0.0)).alias("quantile"))
+    return got.select(*[F.col(g).alias(c) for c, g in zip(by, groups, strict=True)], "fraction", "quantile")
 
 
 def point_lookup(rows: DataFrame, item: Any, id_col: str = "id", ordinal: str = "ordinal") -> DataFrame:
@@ -190,6 +229,12 @@ def pushable(filters: Mapping[str, Any] | None) -> bool:
     return bool(filters)
 
 
+def split_filters(filters: Mapping[str, Any] | None) -> tuple[dict[str, Any], dict[str, Any]]:
+    """Filters that a backend's own filter can express, and those that are tested behind the scan. All of both must hold."""
+    pushed = {k: v for k, v in (filters or {}).items() if pushable({k: v})}
+    return pushed, {k: v for k, v in (filters or {}).items() if k not in pushed}
+
+
 def dispatch(k: int, count: int, matching: int, finalised: bool, filtered: bool, beam: int) -> dict[str, Any]:
     """How a store of ``count`` rows, of which ``matching`` pass the filters, is searched: the k that is asked for, the
     candidates, the beam, and whether the approximate index serves (finalised, no filter that leaves rows out, fewer

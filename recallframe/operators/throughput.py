@@ -105,13 +105,17 @@ def report_lines(pivot: DataFrame, conditions: Sequence[str]) -> list[str]:
     return lines
 
 
-def worker_specs(spark, conditions: Sequence[str], counts: Sequence[int], per_count: Sequence[str]) -> DataFrame:
-    """One worker per condition, or per condition and count for those named."""
-    rows = [(c, [n]) for c in conditions if c in per_count for n in counts] + [(c, list(counts)) for c in conditions if c not in per_count]
-    return spark.createDataFrame(rows, "condition string, user_counts array<int>")
-
-
-def sweep(spark, models: Sequence[str], ks: Sequence[int], windows: Sequence[int], baseline: str) -> DataFrame:
-    """Run ids of a sweep: every model, k and window, and a baseline per model and k."""
-    grid = spark.createDataFrame([(m, k, w, f"{m}-k{k}-w{w}") for m in models for k in ks for w in windows] + [(m, k, 0, f"{m}-k{k}-{baseline}") for m in models for k in ks], "model string, k int, window int, run_id string")
-    return grid
+def worker_specs(asked: DataFrame, per_count: Sequence[str]) -> DataFrame:
+    """Workers for a table of (condition, num_users): one for each condition with all its counts, or for those named one for each
+    count."""
+    pairs = asked.select("condition", F.col("num_users").cast("int").alias("n")).where("condition is not null and n is not null").distinct()
+    apart = F.col("condition").isin(*per_count) if per_count else F.lit(False)
+    return pairs.groupBy("condition", F.when(apart, F.col("n")).alias("alone")).agg(F.array_sort(F.collect_list("n")).alias("user_counts")).select("condition", "user_counts")
+
+
+def sweep(grid: DataFrame, baseline: str) -> DataFrame:
+    """Runs of a sweep for a table of (model, k, window): one for each distinct row, and a baseline for each model and k."""
+    rows = grid.select("model", F.col("k").cast("int").alias("k"), F.col("window").cast("int").alias("window")).distinct()
+    named = rows.withColumn("run_id", F.concat(F.col("model"), F.lit("-k"), F.col("k"), F.lit("-w"), F.col("window")))
+    base = rows.select("model", "k").distinct().select("model", "k", F.lit(0).alias("window"), F.concat(F.col("model"), F.lit("-k"), F.col("k"), F.lit(f"-{baseline}")).alias("run_id"))
+    return named.union(base)

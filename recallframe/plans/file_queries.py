@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import runs
-from ..session import shared_dir
-from ..sources import conversations as C
 from ..sources import files, sinks
+from ..sources.written import folder
 from .queries import query, read
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/recallframe-files-{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT event_id, event_type, user_id, value FROM events")
 def json_lines(spark: SparkSession, d: str) -> DataFrame:
     """Rows written twice as JSON lines: the second write replaces the first."""
-    own, path = read(spark, d, "events").select("event_id", "event_type", "user_id", "value"), _folder(spark, "lines")
+    own, path = read(spark, d, "events").select("event_id", "event_type", "user_id", "value"), folder(spark, "lines")
     files.write_json_lines(own.limit(1), path)
     files.write_json_lines(own, path)
     return files.read_json_lines(spark, path, "event_id long, event_type string, user_id long, value double")
@@ -31,7 +24,7 @@ def json_lines(spark: SparkSession, d: str) -> DataFrame:
 def csv_reports(spark: SparkSession, d: str) -> DataFrame:
     """Fixed columns, null as an empty cell, nested values as compact JSON; numbers come back as numbers."""
     own = read(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.col("text")).alias("text"), F.array("role").alias("roles"))
-    files.write_csv(own, path := _folder(spark, "csv"), own.columns)
+    files.write_csv(own, path := folder(spark, "csv"), own.columns)
     return files.read_run_csv(spark, path, own.columns, ["turn"])
 
 
@@ -42,7 +35,7 @@ def condition_files(spark: SparkSession, d: str) -> DataFrame:
     """A file for each condition, of which older ones lack a column, read in the conditions' order."""
     from ..operators.retrieval import ranked_by
 
-    own, base = read(spark, d, "events"), _folder(spark, "conditions")
+    own, base = read(spark, d, "events"), folder(spark, "conditions")
     for c in ("click", "view", "purchase"):
         rows = own.where(F.col("event_type") == c).select("event_id", F.col("event_type").alias("condition"), F.col("value").alias("extra"))
         files.write_csv(rows.drop("extra") if c == "view" else rows, f"{base}/throughput_{c}.csv", rows.columns[:2] if c == "view" else rows.columns)
@@ -55,7 +48,7 @@ def condition_files(spark: SparkSession, d: str) -> DataFrame:
 def catalog_facts(spark: SparkSession, d: str) -> DataFrame:
     """Facts of one of two catalogs that share a folder."""
     own = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("fact_id"), "text")
-    path = _folder(spark, "catalog")
+    path = folder(spark, "catalog")
     files.write_catalog(own, path, "mine")
     files.write_catalog(own.limit(3), path, "other")
     return files.read_catalog(spark, path, "mine").select("fact_id", "text")
@@ -64,7 +57,7 @@ def catalog_facts(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT r_name AS run_id FROM region WHERE r_regionkey % 2 = 0 ORDER BY 1")
 def discovered_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs of a stamp that hold a marker file."""
-    base = _folder(spark, "runs")
+    base = folder(spark, "runs")
     for r in read(spark, d, "region").collect():  # one row a region
         stamp = "20240101T000000Z" if r.r_regionkey % 2 == 0 else "20250101T000000Z"
         sinks.write_document(spark, f"{base}/{stamp}/{r.r_name}/summary.json", {"run": r.r_name})
@@ -72,24 +65,6 @@ def discovered_runs(spark: SparkSession, d: str) -> DataFrame:
     return files.run_ids(spark, base, "20240101T000000Z", marker="summary.json")
 
 
-@query("SELECT 1024 * 123456 AS bytes")
-def available_memory(spark: SparkSession, d: str) -> DataFrame:
-    lines = spark.createDataFrame([("MemTotal:  9 kB",), ("MemAvailable:     123456 kB",)], "value string")
-    return files.available_memory(lines)
-
-
-@query("SELECT conv_id::VARCHAR AS sample_id, (dense_rank() OVER (ORDER BY conv_id) - 1)::INT AS ord, count(*) AS turns FROM conversations GROUP BY conv_id")
-def conversation_files(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations written as one JSON document and scanned again."""
-    own = read(spark, d, "conversations")
-    listed = own.groupBy("conv_id").agg(F.to_json(F.struct(F.col("conv_id").cast("string").alias("sample_id"), F.struct(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("speaker"), "text"))).alias("session_1")).alias("conversation"))).alias("j"))
-    whole = listed.agg(F.concat(F.lit('{"samples": ['), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "j"))), lambda x: x["j"]), ","), F.lit("]}")).alias("value"))
-    whole.coalesce(1).write.text(path := _folder(spark, "conversations"))
-    samples = C.records(spark, f"{path}/*.txt")
-    per = C.turns(samples).groupBy("sample_id").agg(F.count(F.lit(1)).alias("turns"))
-    return samples.select("sample_id", "ord").join(per, "sample_id")
-
-
 @query("SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'kept' ELSE 'not an object' END AS place FROM documents")
 def quarantined_responses(spark: SparkSession, d: str) -> DataFrame:
     """Invalid responses go to a table of their own, with what is wrong with them."""
@@ -97,6 +72,13 @@ def quarantined_responses(spark: SparkSession, d: str) -> DataFrame:
 
     own = read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, '{"memory": []}').otherwise("[]").alias("response"))
     good, bad = runs.quarantine(own, guards.extraction_problem())
-    files.write_json_lines(bad, path := _folder(spark, "quarantine"))
+    files.write_json_lines(bad, path := folder(spark, "quarantine"))
     found = files.read_json_lines(spark, path, "doc_id long, response string, problem string")
     return good.select("doc_id", F.lit("kept").alias("place")).union(found.select("doc_id", "problem"))
+
+
+@query("SELECT 1024 * event_id AS bytes FROM events WHERE event_type <> 'view'")
+def available_memory(spark: SparkSession, d: str) -> DataFrame:
+    """Of reports' lines those that tell available memory; the amounts are the events' ids."""
+    kind = F.when(F.col("event_type") == "view", "MemTotal:  ").otherwise("MemAvailable:     ")
+    return files.available_memory(read(spark, d, "events").select(F.concat(kind, "event_id", F.lit(" kB")).alias("value")))

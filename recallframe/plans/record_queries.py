@@ -79,7 +79,7 @@ _COLUMNS = ("condition", "num_users", "throughput_qps")
 @query("SELECT event_type AS condition, user_id % 4 AS num_users, avg(value) AS throughput_qps FROM events GROUP BY 1, 2")
 def validated_rows(spark: SparkSession, d: str) -> DataFrame:
     own = read(spark, d, "events").groupBy(F.col("event_type").alias("condition"), (F.col("user_id") % 4).alias("num_users")).agg(F.avg("value").alias("throughput_qps"), F.count(F.lit(1)).alias("extra"))
-    known = [r.event_type for r in read(spark, d, "events").select("event_type").distinct().limit(1000).collect()]
+    known = read(spark, d, "events").select("event_type").distinct()
     return records.validated_rows(own, _COLUMNS, known)
 
 
@@ -260,13 +260,18 @@ def adapter_hits(spark: SparkSession, d: str) -> DataFrame:
     return got.select("id", F.col("rank").cast("long").alias("rank"))
 
 
-_FILTERS = [None, {"a": 1}, {"a": 1.5}, {"a": "x"}, {"a": True}, {"a": {}}, {"a": {"gt": 1}}, {"a": {"eq": 1, "ne": "x"}}, {"a": {"in": [1, "x"]}}, {"a": {"in": []}}, {"a": {"in": [True]}}, {"a": {"ne": None}}]
-_PUSHED = [False, True, False, True, True, False, False, True, True, False, False, False]
+_FILTERS = {"lang": {"in": ["en", "de"]}, "source": {"ne": "src1"}, "n_chars": {"ne": 416.5, "in": [None, *range(0, 4000, 2)]}, "text": {"ne": None}}
 
 
-@query("SELECT event_id, [" + ", ".join(map(str, _PUSHED)) + f"][event_id % {len(_PUSHED)} + 1] AS pushed FROM events")
+@query("""
+SELECT doc_id, lang IN ('en', 'de') AND source IS DISTINCT FROM 'src1' AS pushed, coalesce(lang IN ('en', 'de') AND source IS DISTINCT FROM 'src1' AND (n_chars IS NULL OR n_chars < 4000 AND n_chars % 2 = 0) AND text IS NOT NULL, false) AS passed
+FROM documents
+""")
 def pushable_filters(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").select("event_id", pick("event_id", [retrieval.pushable(f) for f in _FILTERS]).alias("pushed"))
+    """Filters parted into those that a scan can take and the rest, and the rows that pass the first and both."""
+    pushed, rest = retrieval.split_filters(_FILTERS)
+    taken, kept = retrieval.payload_matches(pushed), retrieval.payload_matches(rest)
+    return read(spark, d, "documents").select("doc_id", taken.alias("pushed"), (taken & kept).alias("passed"))
 
 
 @query("""
@@ -382,14 +387,21 @@ def warmup_lengths(spark: SparkSession, d: str) -> DataFrame:
     return workload.warmup_prompts(own, 100).select("ord", F.size("tokens").alias("tokens"))
 
 
-@query("SELECT 'kv' AS condition, [n]::INT[] AS user_counts FROM unnest([50, 100]) t(n) UNION ALL SELECT c, [50, 100]::INT[] FROM unnest(['exact', 'graph']) u(c)")
+@query("""
+SELECT event_type AS condition, [user_id % 4]::INT[] AS user_counts FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL
+UNION ALL SELECT event_type, list_sort(list(DISTINCT user_id % 4))::INT[] FROM events WHERE event_type NOT IN ('view', 'click') GROUP BY 1
+""")
 def worker_specs(spark: SparkSession, d: str) -> DataFrame:
-    return throughput.worker_specs(spark, ["kv", "exact", "graph"], [50, 100], ["kv"])
+    return throughput.worker_specs(read(spark, d, "events").select(F.col("event_type").alias("condition"), (F.col("user_id") % 4).alias("num_users")), ["view", "click"])
 
 
-@query("SELECT m || '-k' || k || '-w' || w AS run_id FROM unnest(['a', 'b']) t(m), unnest([5, 10]) u(k), unnest([0, 5]) v(w) UNION ALL SELECT m || '-k' || k || '-base' FROM unnest(['a', 'b']) t(m), unnest([5, 10]) u(k)")
+@query("""
+WITH g AS (SELECT DISTINCT lang AS m, doc_id % 7 AS k, n_chars % 3 AS w FROM documents)
+SELECT m || '-k' || k || '-w' || w AS run_id FROM g UNION ALL SELECT DISTINCT m || '-k' || k || '-base' FROM g
+""")
 def sweep_runs(spark: SparkSession, d: str) -> DataFrame:
-    return throughput.sweep(spark, ["a", "b"], [5, 10], [0, 5], "base").select("run_id")
+    grid = read(spark, d, "documents").select(F.col("lang").alias("model"), (F.col("doc_id") % 7).alias("k"), (F.col("n_chars") % 3).alias("window"))
+    return throughput.sweep(grid, "base").select("run_id")
 
 
 @query("SELECT turn AS n, conv_id AS key, '> ' || text AS value FROM conversations")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunks, settings
-from .file_queries import _folder
+from ..sources.written import folder
 from .queries import query, read
 
 
@@ -37,7 +37,7 @@ SELECT conv_id::VARCHAR AS key, count(*) + 2 AS chunks, sum(len(string_split(tex
 def cached_chunks(spark: SparkSession, d: str) -> DataFrame:
     """A cache written twice, read back and loaded where it is valid."""
     payloads, rows, expected, facts = _chunk_cache(spark, d)
-    path = _folder(spark, "chunks")
+    path = folder(spark, "chunks")
     chunks.save_chunks(payloads.where("false"), rows.where("false"), path)
     chunks.save_chunks(payloads, rows, path)
     got = chunks.load_chunks(*chunks.read_chunks(spark, path), expected, facts)

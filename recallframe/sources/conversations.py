@@ -1,7 +1,7 @@
 """Conversation JSON: nested records as tables of samples, turns and questions.
 
-Files are read whole (a record is a conversation), parsed natively and exploded; insertion order of objects that
-matter is kept by reading them as maps.
+Files are read in ranges and cut at the borders of records, which are parsed natively and exploded; insertion order of objects
+that matter is kept by reading them as maps.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import trim_all, trim_or_null
 from ..functions.time import parsed_time
+from .json_array import entries
 
 _JSON_MAP = "map<string,string>"
 
@@ -32,14 +33,12 @@ def records(spark: SparkSession, path: str, most: int | None = None) -> DataFram
     The root is a list, or an object whose first filled of data, samples and conversations is one; anything else
     raises. Entries that are no objects are skipped but count for default ids.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
-    text = trim_all("value")
-    listed = F.when(text.startswith("["), text).when(text.startswith("{"), F.coalesce(_field(text, "data", "samples", "conversations"), F.lit("[]")))
-    listed = F.when(listed.isNull(), F.raise_error(F.lit("unsupported root"))).otherwise(listed)
-    items = whole.select("file", F.posexplode(F.from_json(listed, "array<string>")).alias("pos", "record"))
-    own = items.where(F.col("record").startswith("{"))  # nested values stay JSON text with their key order
-    own = own.select("file", "pos", "record", F.coalesce(_field("record", "sample_id", "conversation_id", "id"), F.concat(F.lit("sample-"), F.col("pos"))).alias("sample_id"))
-    own = own.withColumn("ord", F.row_number().over(Window.partitionBy("file").orderBy("pos")) - 1)
+    items = entries(spark, path)
+    named = F.when(F.col("key").isNull(), 0).when(F.col("key") == "data", 1).when(F.col("key") == "samples", 2).when(F.col("key") == "conversations", 3)
+    chosen = items.select("file", "list", named.alias("place")).where("place is not null").groupBy("file").agg(F.min(F.struct("place", (-F.col("list")).alias("list"))).alias("best"))
+    own = items.join(chosen.select("file", (-F.col("best.list")).alias("list")), ["file", "list"]).where(F.col("record").startswith("{"))
+    default = F.concat(F.lit("sample-"), F.col("pos"))
+    own = own.select("file", "pos", "record", F.coalesce(_field("record", "sample_id", "conversation_id", "id"), default).alias("sample_id"), F.col("nth_object").cast("int").alias("ord"))
     return own.where(F.col("ord") < most) if most is not None else own
 
 

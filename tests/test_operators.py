@@ -222,8 +222,10 @@ def test_throughput_rows(spark):
     assert [r.condition for r in throughput.in_condition_order(merged, ["graph", "kv"]).collect()] == ["graph", "kv"]
     empty = throughput.transfer_summary(spark.createDataFrame([], "num_bytes long, h2d_latency_ms double, staging_stall_ms double")).first()
     assert empty.total_transfers == 0 and empty.p99_h2d_latency_ms == 0.0
-    assert throughput.worker_specs(spark, ["a", "kv"], [1, 2], ["kv"]).count() == 3
-    assert throughput.sweep(spark, list("abcd"), [5, 10, 20, 50], [0, 5, 20, 50], "text").count() == 80
+    asked = spark.createDataFrame([(c, n) for c in ("a", "kv") for n in (2, 1, 2)], "condition string, num_users int")
+    assert sorted(map(tuple, throughput.worker_specs(asked, ["kv"]).collect())) == [("a", [1, 2]), ("kv", [1]), ("kv", [2])]
+    grid = spark.createDataFrame([(m, k, w) for m in "abcd" for k in (5, 10, 20, 50) for w in (0, 5, 20, 50)], "model string, k int, window int")
+    assert throughput.sweep(grid.union(grid), "text").count() == 80
 
 
 def test_stores(spark):
