@@ -138,7 +138,8 @@ def order_statistics(df: DataFrame, by: Sequence[str], value: str, fractions: Se
 
     Found by selection: values become longs of the same order; each round counts the next DIGIT bits of those that share the bits
     found so far with a rank that is asked for, and ends for ranks whose bucket holds one value alone. Rows are neither sorted
-    nor shuffled, only counts are, a row for each digit that occurs; repeated values cost nothing.
+    nor shuffled, only counts are, a row for each digit that occurs; repeated values cost nothing. Up to BROADCAST_TARGETS ranks
+    go from round to round through the driver, more as a written table.
     """
     groups = [f"__g{i}" for i in range(len(by))]
     own = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(g) for c, g in zip(by, groups, strict=True)], F.col(value).cast("double").alias("__v"))
@@ -146,7 +147,7 @@ def order_statistics(df: DataFrame, by: Sequence[str], value: str, fractions: Se
     same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in groups], F.lit(True))
     counted = [F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high")]
     shift = 64 - DIGIT
-    counts = written(own.groupBy(*groups, F.shiftright("__key", shift).alias("__digit")).agg(*counted), "digits")
+    counts = own.groupBy(*groups, F.shiftright("__key", shift).alias("__digit")).agg(*counted)
     per = counts.groupBy(*groups).agg(F.sum("__n").alias("__all"))
     asked = per.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions]))).withColumn("__place", (F.col("__all") - 1) * F.col("fraction"))
     low = F.floor("__place")
@@ -158,18 +159,19 @@ def order_statistics(df: DataFrame, by: Sequence[str], value: str, fractions: Se
         of = Window.partitionBy(*groups, "__bits").orderBy("__digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         placed = counts.withColumn("__bits", prefix).withColumn("__upto", F.sum("__n").over(of))
         hit = targets.alias("t").join(placed.alias("c"), same("t", "c") & (F.col("t.__bits") == F.col("c.__bits")) & (F.col("__left") < F.col("__upto")) & (F.col("__left") >= F.col("__upto") - F.col("__n")))
-        state = written(hit.select(*[F.col(f"t.{g}").alias(g) for g in groups], "__rank", F.col("__digit").alias("__bits"), (F.col("__left") - F.col("__upto") + F.col("__n")).alias("__left"), "__low", "__high"), "targets")
-        open_ = ~F.col("__low").eqNullSafe(F.col("__high"))
-        found.append(state.where(~open_).select(*groups, "__rank", F.col("__low").alias("__found")))
-        left = state.where(open_).limit(BROADCAST_TARGETS + 1).count() if shift else 0
-        if not left:
+        state = hit.select(*[F.col(f"t.{g}").alias(g) for g in groups], "__rank", F.col("__digit").alias("__bits"), (F.col("__left") - F.col("__upto") + F.col("__n")).alias("__left"), F.col("__low").alias("__found"), (~F.col("__low").eqNullSafe(F.col("__high"))).alias("__open"))
+        rows = state.limit(BROADCAST_TARGETS + 1).collect()
+        few = len(rows) <= BROADCAST_TARGETS
+        state = df.sparkSession.createDataFrame(rows, state.schema) if few else written(state, "targets")
+        found.append(state.where("not __open").select(*groups, "__rank", "__found"))
+        if not shift or not (any(r["__open"] for r in rows) if few else state.where("__open").limit(1).count()):
             break
-        targets = state.where(open_).select(*groups, "__rank", "__bits", "__left")
+        targets = state.where("__open").select(*groups, "__rank", "__bits", "__left")
         before, shift = shift, shift - DIGIT
         wanted = targets.select(*groups, "__bits").distinct()
-        wanted = F.broadcast(wanted) if left <= BROADCAST_TARGETS else wanted
-        rows = own.alias("o").join(wanted.alias("w"), same("o", "w") & (F.shiftright("__key", before) == F.col("__bits"))).select(*[F.col(f"o.{g}").alias(g) for g in groups], "__key", "__v")
-        counts = written(rows.groupBy(*groups, F.shiftright("__key", shift).alias("__digit")).agg(*counted), "digits")
+        wanted = F.broadcast(wanted) if few else wanted
+        rest = own.alias("o").join(wanted.alias("w"), same("o", "w") & (F.shiftright("__key", before) == F.col("__bits"))).select(*[F.col(f"o.{g}").alias(g) for g in groups], "__key", "__v")
+        counts = rest.groupBy(*groups, F.shiftright("__key", shift).alias("__digit")).agg(*counted)
         prefix = F.shiftright("__digit", DIGIT)
     values = reduce(DataFrame.union, found)
     got = asked.alias("a").join(values.alias("v"), same("a", "v") & (F.col("a.__rank") == F.col("v.__rank")))

@@ -28,7 +28,8 @@ _EXACT = """
 
 @query(f"SELECT query_id, id, round(score, 6) AS score, round(-score, 6) AS distance, rank FROM ({_EXACT}) WHERE rank <= 10")
 def graph_top_k(spark: SparkSession, d: str) -> DataFrame:
-    """Beam search over the proximity graph of all vectors; on these tables a wide beam finds what the exact search does."""
+    """Beam search over the proximity graph of all vectors. It is approximate: the SQL is the exact answer, which a beam of this width
+    reaches on 500 vectors (and 0.985 of it on 2,000 of these random ones)."""
     own, asked = _stored(spark, d)
     got = graph.graph_top_k(graph.fit_graph(own), asked, 10, beam=96)
     return got.select("query_id", "id", F.round("score", 6).alias("score"), F.round("distance", 6).alias("distance"), "rank")
