@@ -3,14 +3,15 @@ filters over overlapping chunks that cover the whole text; each filter's maximum
 logistic output.
 
 A null or empty text gets the score of no evidence at all (all maxima zero). Without labels of both kinds every score is
-0.5. Texts of any length are read whole, when the network learns too; rows that repeat get equal scores (but for the
-last digits, as sums of single precision depend on what is computed beside them), and of rows that repeat an id the network learns from one. An empty table has no scores. Columns other than id and text are not looked at.
+0.5. Texts of any length are read whole, when the network learns too; equal texts get equal scores, as
+the learned numbers are rounded until sums of their products are exact in single precision, in whatever order; ties with the
+threshold count as reaching it. Of rows that repeat an id the network learns from one. An empty table has no scores. Columns other than id and text are not looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,14 @@ class ByteNet:
     def params(self) -> list[np.ndarray]:
         return [self.emb, self.filters, self.bias, self.out, self.out_bias]
 
+    def exact(self) -> ByteNet:
+        """The network with byte vectors and filters rounded to multiples of powers of two, so that every sum of their products in a
+        window is a whole number of quanta below 2**24: single precision then adds without error, on any machine."""
+        bound = float((np.abs(self.emb).max(0)[None, :, None] * np.abs(self.filters).reshape(WIDTH, DEPTH, FILTERS)).sum((0, 1)).max())
+        bits = 23 - max(0, int(np.ceil(np.log2(max(bound, 1e-9)))))
+        low, high = 2.0 ** (bits // 2), 2.0 ** (bits - bits // 2)
+        return replace(self, emb=(np.rint(self.emb * low) / low).astype(np.float32), filters=(np.rint(self.filters * high) / high).astype(np.float32))
+
     def stacked(self) -> np.ndarray:
         """Filters cut into stride-long pieces side by side: one product serves all pieces."""
         return np.ascontiguousarray(self.filters.reshape(_PIECES, STRIDE * DEPTH, FILTERS).transpose(1, 0, 2).reshape(STRIDE * DEPTH, _PIECES * FILTERS))
@@ -67,7 +76,8 @@ class ByteNet:
         return out
 
     def scores(self, pooled: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(pooled @ self.out + self.out_bias[0], -30, 30)))
+        logit = np.add.reduce(pooled.astype(np.float64) * self.out, axis=1) + float(self.out_bias[0])
+        return np.round(1 / (1 + np.exp(-np.clip(logit, -30, 30))), 9)
 
 
 def groups(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -77,8 +87,10 @@ def groups(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
     size = 0
 
     def close() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        n = np.array([-(-(b - a) // STRIDE) for _, a, b in held])
-        first = np.concatenate([[0], np.cumsum(n + _PIECES - 1)])
+        # a chunk with more of its text behind it has windows up to the next one's first
+        n = np.array([-(-(b - a) // STRIDE) if b == off[t + 1] else CHUNK // STRIDE for t, a, b in held])
+        length = np.array([-(-(b - a) // STRIDE) for _, a, b in held])
+        first = np.concatenate([[0], np.cumsum(length + _PIECES - 1)])
         ids = np.full(int(first[-1]) * STRIDE, _PAD, np.int16)
         for (_, a, b), at in zip(held, first.tolist(), strict=False):
             ids[at * STRIDE : at * STRIDE + b - a] = data[a:b]
@@ -125,7 +137,7 @@ def train(texts: list[bytes], target: np.ndarray, seed: int = 3) -> ByteNet | No
                         window[t, f] = ids[at[f] * STRIDE : at[f] * STRIDE + WIDTH]
             top = np.where(np.isfinite(top), top + net.bias, 0)
             h = np.maximum(top, 0)
-            d = (net.scores(h) - target[rows]) / len(rows)
+            d = ((net.scores(h) - target[rows]) / len(rows)).astype(np.float32)
             g = d[:, None] * net.out * (top > 0)
             x = net.emb[window].reshape(len(rows), FILTERS, WIDTH * DEPTH)
             flow = np.einsum("nf,wdf->nfwd", g, kernel)
@@ -148,7 +160,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, value: str = "quality", boun
     sample = labelled_sample(docs, labels, value, f"{id_text('doc_id')} % {HOLD_OUT} <> 0", bound, bytes_bound)
     got = sample.select(F.md5(F.coalesce("text", F.lit(""))).alias("at"), "text", "value").toArrow().sort_by([("at", "ascending"), ("value", "ascending")])
     texts = [(t or "").encode("utf-8", "surrogatepass") for t in got["text"].to_pylist()]
-    return train(texts, np.asarray(got["value"].to_pylist(), dtype=np.float32))
+    net = train(texts, np.asarray(got["value"].to_pylist(), dtype=np.float32))
+    return net and net.exact()
 
 
 def score_quality(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
