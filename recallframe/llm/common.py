@@ -316,6 +316,22 @@ def text_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], node), keys.select("node", "id"), node
 
 
+#: Rows of a key from which a join deals them into parts, and keys that may have so many: their list is broadcast.
+PART_ROWS, HOT_KEYS = 1 << 14, 10_000
+
+
+def dealt_join(many: DataFrame, one: DataFrame, counts: DataFrame, key: str, total: int, by: str) -> DataFrame:
+    """Join of many rows to the one row of their key, in which no task gets a hot key's rows: a key with more than
+    ``max(PART_ROWS, total / HOT_KEYS)`` of the ``total`` rows is dealt by a hash of column ``by`` into parts of about so many, and
+    its one row goes to each. ``counts`` (key, n) may leave out keys with few rows; at most HOT_KEYS are hot."""
+    part_rows = max(PART_ROWS, -(-total // HOT_KEYS))
+    hot = F.broadcast(counts.where(F.col("n") > part_rows).select(key, F.ceil(F.col("n") / part_rows).alias("dealt_parts")))
+    parts = F.coalesce("dealt_parts", F.lit(1).cast("long"))
+    left = many.join(hot, key, "left").withColumn("dealt_part", F.pmod(F.xxhash64(by), parts)).drop("dealt_parts")
+    right = one.join(hot, key, "left").withColumn("dealt_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("dealt_parts")
+    return left.join(right, [key, "dealt_part"]).drop("dealt_part")
+
+
 def id_text(id_col: str) -> str:
     """SQL for crc32 of an id's text (a null id counts as the empty text)."""
     return f"crc32(encode(coalesce(cast(`{id_col}` as string), ''), 'UTF-8'))"

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, SPACE_WORDS, WordHasher, bound_batches, drop_stage_table, filter_bits, fresh, released, repeated_ids, stage_table, text_bytes, text_nodes, text_slices, window_hashes
+from .common import FILTER_BITS, SPACE_WORDS, WordHasher, bound_batches, dealt_join, drop_stage_table, filter_bits, fresh, released, repeated_ids, stage_table, text_bytes, text_nodes, text_slices, window_hashes
 from .components import connected_components
 
 SHINGLE = 5
@@ -174,9 +174,12 @@ def set_table(own: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sets reach the threshold."""
+    """Pairs (a, b) whose sets reach the threshold. A document that stands in very many pairs meets them in parts."""
     left, right = sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), sets.select(F.col("doc").alias("b"), F.col("items").alias("y"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    pairs = pairs.select("a", "b")
+    total = pairs.count()
+    counts = lambda side: pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n"))
+    both = dealt_join(dealt_join(pairs, left, counts("a"), "a", total, "b"), right, counts("b"), "b", total, "a")
     both = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("s"))
     return both.where(f"i > 0 and {DENOMINATOR} * i >= {NUMERATOR} * (s - i)").select("a", "b")
 
