@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, WordHasher, bound_batches, drop_stage_table, filter_bits, fresh, released, repeated_ids, stage_table, text_bytes, text_nodes, text_slices, thinned, window_hashes
+from .common import SPACE_WORDS, WordHasher, bound_batches, dealt_join, drop_stage_table, filter_bits, fresh, released, repeated_ids, stage_table, text_bytes, text_nodes, text_slices, thinned, window_hashes
 
 K, WINDOW = 6, 8
 #: Words of a reported passage, and of a chain that may become part of one.
@@ -411,9 +411,9 @@ def _passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bound_batches(docs.sparkSession)
     own = docs.select(docs[id_col].alias("doc"), docs[text_col].cast("string").alias("text")).where("doc is not null and text is not null")
     seeds = stage_table(seed_table(own), "seeds")
-    firsts = seeds.groupBy("h").agg(F.min(F.struct("doc", "b")).alias("at"), F.max("doc").alias("last")).where("at.doc <> last")
-    firsts = stage_table(firsts.select("h", F.col("at.doc").alias("other"), F.col("at.b").alias("c")), "firsts")
-    matches = seeds.join(firsts, "h").where("doc <> other").select("doc", "other", "b", "e", "c", "w")
+    firsts = seeds.groupBy("h").agg(F.min(F.struct("doc", "b")).alias("at"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where("at.doc <> last")
+    firsts = stage_table(firsts.select("h", F.col("at.doc").alias("other"), F.col("at.b").alias("c"), "n"), "firsts")
+    matches = dealt_join(seeds, firsts.drop("n"), firsts, "h", seeds.count(), "doc").where("doc <> other").select("doc", "other", "b", "e", "c", "w")
     matches = matches.repartition("doc").sortWithinPartitions("doc", "other", "b", "e", "c")
     found = stage_table(chain_table(matches).withColumn("chain", F.monotonically_increasing_id()), "chains")
     drop_stage_table(seeds, firsts)
