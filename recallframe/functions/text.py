@@ -188,10 +188,17 @@ def verdict(x: ColumnOrName) -> Column:
     return F.coalesce(F.get(said, F.lit(0)), boolean_token(t))
 
 
-def judge_payload(x: ColumnOrName) -> Column:
-    """correct, reason, raw and status of a judge's response."""
-    v = verdict(x)
-    return F.struct(v.alias("correct"), F.when(v.isNull(), trim_all(x)).otherwise("").alias("reason"), _c(x).alias("raw"), F.when(v.isNull(), "unparsed").otherwise("ok").alias("status"))
+def judge_payload(x: ColumnOrName, error: Column | None = None, skipped: Column | None = None) -> Column:
+    """correct, reason, raw and status of a judge's response: skipped where none was asked for, error (with what went wrong as
+    reason) where the call failed, unparsed (with the response as reason) where it says no verdict, else ok."""
+    v, nothing = verdict(x), F.lit(None)
+    left_out = F.coalesce(skipped, F.lit(False)) if skipped is not None else F.lit(False)
+    failed = error.isNotNull() if error is not None else F.lit(False)
+    why = error.cast("string") if error is not None else nothing.cast("string")
+    return F.struct(
+        F.when(~left_out & ~failed, v).alias("correct"), F.when(left_out, "").when(failed, why).when(v.isNull(), trim_all(x)).otherwise("").alias("reason"),
+        F.when(~left_out & ~failed, _c(x)).alias("raw"), F.when(left_out, "skipped").when(failed, "error").when(v.isNull(), "unparsed").otherwise("ok").alias("status"),
+    )
 
 
 # The judge's instruction, on which cached verdicts depend.

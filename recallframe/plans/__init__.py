@@ -1,3 +1,3 @@
 """Named queries over the driver's tables with their SQL oracles."""
 
-from . import file_queries, index_queries, queries, record_queries, run_queries, settings_queries  # noqa: F401  (registration)
+from . import file_queries, index_queries, queries, record_queries, run_queries, settings_queries, stream_queries  # noqa: F401  (registration)
