@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as X
-from ..operators import cache, context, guards, retrieval, runs, store, throughput, workload
+from ..operators import cache, context, guards, models, retrieval, runs, store, throughput, workload
 from .queries import query, read
 
 
@@ -264,3 +264,33 @@ def catalog_hits(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     meta = F.struct(F.col("conv_id").alias("sample_id"), F.col("turn"), X.turn_role("role", F.lit(None).cast("string"), F.lit(None).cast("string")).alias("source_role"))
     return own.select(meta.alias("m"), F.row_number().over(w).cast("long").alias("rank"), F.lit(0.0).alias("score")).select("m.*", "rank", "score")
+
+
+@query("""
+SELECT conv_id, turn, turn % 6 = 0 AS stripped, CASE WHEN turn % 6 = 0 THEN [turn, length(text)] WHEN turn % 3 = 0 THEN [1, turn, length(text)] ELSE [9, 1, turn, length(text)] END::BIGINT[] AS query,
+  list_concat([CASE WHEN turn % 2 = 0 THEN 1 ELSE 2 END, conv_id], CASE WHEN turn % 6 = 0 THEN [turn, length(text)] WHEN turn % 3 = 0 THEN [1, turn, length(text)] ELSE [9, 1, turn, length(text)] END)::BIGINT[] AS prompt
+FROM conversations
+""")
+def query_tokens_for_memory(spark: SparkSession, d: str) -> DataFrame:
+    """Query tokens behind a footer, as they follow a memory, and the prompt that both stand for; a begin token that both start
+    with stands once."""
+    own = read(spark, d, "conversations")
+    memory = F.array(F.when(F.col("turn") % 2 == 0, 1).otherwise(2).cast("long"), "conv_id")
+    asked = F.array(F.lit(1).cast("long"), F.col("turn"), F.length("text").cast("long"))
+    footer = F.when(F.col("turn") % 3 == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.lit(9).cast("long")))
+    got = context.equivalence_prompt(memory, asked, 1, footer)
+    return own.select("conv_id", "turn", got.alias("p")).select("conv_id", "turn", "p.stripped", F.col("p.query_token_ids").alias("query"), F.col("p.prompt_token_ids").alias("prompt"))
+
+
+@query("SELECT conv_id, turn, length(text) AS tokens, role AS user, CASE WHEN turn % 2 = 0 THEN ['memory_user_id', 'top_p'] ELSE ['top_p'] END AS keys, max(length(text)) OVER ()::INT AS largest FROM conversations")
+def request_params(spark: SparkSession, d: str) -> DataFrame:
+    """A clone of the sampling parameters for each request, with the user of its memory; turns are tokenised once each."""
+    own = read(spark, d, "conversations").withColumn("turn_id", F.concat_ws(":", "conv_id", "turn"))
+    asked = own.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.col("role")).alias("user_id"), F.col("role").alias("user"))
+    params = F.create_map(F.lit("top_p"), F.lit("0.9"), F.lit("memory_user_id"), F.lit("old"))
+    keyed = context.routed_params(asked, params).withColumn("turn_id", F.concat_ws(":", "conv_id", "turn"))
+    twice = own.union(own)  # each turn in two requests
+    counted = context.turn_tokens(twice.select("turn_id", F.col("text").alias("line")), models.character_tokens).dropDuplicates(["turn_id"])
+    largest = context.largest_prompt(counted.withColumnRenamed("token_ids", "tokens"), 1 << 20)
+    out = keyed.join(counted.select("turn_id", F.size("token_ids").alias("tokens")), "turn_id").join(F.broadcast(largest))
+    return out.select("conv_id", "turn", F.col("tokens").cast("long").alias("tokens"), "user", F.array_sort(F.map_keys("params")).alias("keys"), "largest")
