@@ -30,7 +30,8 @@ CODE = 256
 HEIGHT = 3.4
 #: Directions that a vector gets at least: the nearest ones, where fewer caps hold it.
 LEAST = 32
-TILE = 256
+#: Vectors of a tile; rows that are compared at once, and filters that are looked at together.
+TILE, ROWS, NAMES = 8192, 256, 512
 SEED = 5
 
 
@@ -103,42 +104,70 @@ def filters_of(classes: DataFrame) -> DataFrame:
 
 def linked_in_tile(copies: np.ndarray, tile: np.ndarray, x: np.ndarray, below: list[np.ndarray], cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """For one filter's pair of tiles: partners found for each row, and links (row, row) that span what is linked. ``below``
-    are each row's filters before this one: a pair that shares one of them is counted there."""
+    are each row's filters before this one: a pair that shares one of them is counted there. Rows are compared with all
+    in blocks of ROWS; of the pairs a bit each is kept."""
     unit = x / np.abs(x).max(1, keepdims=True)
     unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-    close = np.triu(unit @ unit.T >= cosine, 1)
-    low, high = tile.min(), tile.max()
-    if low != high:
-        close &= tile[:, None] != tile[None, :]  # pairs within a tile have a group of their own
-    a, b = np.nonzero(close)
-    count = np.zeros(len(copies), np.int64)
-    if not len(a):
+    n = len(copies)
+    count = np.zeros(n, np.int64)
+    two = tile.min() != tile.max()
+    place = np.arange(n)
+
+    def close_to(first: int, least: float) -> np.ndarray:
+        """Of a block's rows the later ones that are close."""
+        close = unit[first : first + ROWS] @ unit.T >= least
+        close &= place[None, :] > place[first : first + ROWS, None]
+        if two:  # pairs within a tile have a group of their own
+            close &= tile[first : first + ROWS, None] != tile[None, :]
+        return close
+
+    near = np.zeros(n, bool)
+    for first in range(0, n, ROWS):
+        close = close_to(first, cosine - 1e-9)
+        near[first : first + ROWS] |= close.any(1)
+        near |= close.any(0)
+    rows = np.flatnonzero(near)
+    if not len(rows):
         return count, []
-    rows = np.unique(np.concatenate([a, b]))
-    below = [below[r] for r in rows]
-    names, where = np.unique(np.concatenate(below), return_inverse=True)
-    member = np.zeros((len(rows), max(1, len(names))), np.float32)
-    member[np.repeat(np.arange(len(rows)), [len(f) for f in below]), where] = 1
-    earlier = member @ member.T > 0
-    place = np.searchsorted(rows, np.arange(len(copies)))
-    keep = ~earlier[place[a], place[b]]
-    a, b = a[keep], b[keep]
-    np.add.at(count, a, copies[b])
-    np.add.at(count, b, copies[a])
-    parent = list(range(len(copies)))
-
-    def top(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    unit, tile, place, parts = unit[rows], tile[rows], np.arange(len(rows)), copies[rows]
+    blocks = range(0, len(rows), ROWS)
+    bits = np.zeros((len(rows), -(-len(rows) // 8)), np.uint8)  # of each row the later ones that are close
+    for first in blocks:
+        bits[first : first + ROWS] = np.packbits(close_to(first, cosine), axis=1)
+    # pairs that share a filter before this one go; filters that most rows have come first, so that little is left for the others
+    listed = [below[r] for r in rows]
+    names, where, held = np.unique(np.concatenate(listed), return_inverse=True, return_counts=True)
+    by_use = np.argsort(-held, kind="stable")
+    by_use = by_use[held[by_use] > 1]
+    column = np.full(len(names), -1)
+    column[by_use] = np.arange(len(by_use))
+    where, owner = column[where], np.repeat(place, [len(f) for f in listed])
+    low, step = 0, NAMES // 8
+    while low < len(by_use):
+        own = (where >= low) & (where < low + step)
+        member = np.zeros((len(rows), min(step, len(by_use) - low)), np.float32)
+        member[owner[own], where[own] - low] = 1
+        for first in blocks:
+            if bits[first : first + ROWS].any():
+                bits[first : first + ROWS] &= ~np.packbits(member[first : first + ROWS] @ member.T > 0, axis=1)
+        low, step = low + step, NAMES
+    both = bits.copy()  # partners on either side
+    for first in blocks:
+        close = np.unpackbits(bits[first : first + ROWS], axis=1, count=len(rows)).astype(bool)
+        count[rows[first : first + ROWS]] += close @ parts
+        count[rows] += parts[first : first + ROWS] @ close
+        both[:, first // 8 : -(-(first + len(close)) // 8)] |= np.packbits(close.T, axis=1)
     links = []
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = top(i), top(j)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            links.append((i, j))
+    new = both.any(1)
+    for root in np.flatnonzero(new):
+        if not new[root]:
+            continue
+        new[root] = False
+        reached = np.array([root])
+        while len(reached):
+            reached = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(both[reached], axis=0), count=len(rows)).astype(bool) & new)
+            new[reached] = False
+            links += [(int(rows[root]), int(rows[i])) for i in reached]
     return count, links
 
 

@@ -86,3 +86,34 @@ def test_ids_that_repeat_with_other_vectors_or_labels(spark):
     assert of[None] == [(0, None, True)]
     odd = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("vec_id", "kept")
     assert C.near_duplicate_vectors(odd, id_col="kept").columns == ["kept_", "n_links", "component_id", "kept"]
+
+
+def test_a_tile_against_plain_comparison():
+    """Counts and spanning links of one group, with few and many filters before, one tile and two."""
+    rng = np.random.default_rng(1)
+    for t in range(12):
+        n = int(rng.integers(2, 600))
+        x, copies = rng.normal(size=(n, 4)), rng.integers(1, 4, n)
+        tile = rng.integers(0, 2, n) if t % 2 else np.zeros(n, np.int64)
+        below = [np.sort(rng.choice(5000, rng.integers(0, 4), replace=False)).astype(np.int32) for _ in range(n)]
+        count, links = C.linked_in_tile(copies, tile, x, below, 0.93)
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        close = unit @ unit.T >= 0.93
+        apart = tile.min() != tile.max()
+        pairs = [(i, j) for i, j in zip(*np.nonzero(np.triu(close, 1)), strict=True) if (not apart or tile[i] != tile[j]) and not set(below[i]) & set(below[j])]
+        want = np.zeros(n, np.int64)
+        for i, j in pairs:
+            want[i] += copies[j]
+            want[j] += copies[i]
+        assert np.array_equal(count, want) and components(range(n), links) == components(range(n), pairs)
+
+
+def test_near_copies_travel_seldom(spark):
+    """Of 8,000 near copies (equal ones are one class) each is dealt out fewer than 64 times."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=64)
+    vectors = np.stack([near(rng, x, 0.985) for _ in range(8000)])
+    lists = C.list_decode(vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
+    _, size = np.unique(np.concatenate(lists), return_counts=True)
+    tiles = np.ceil(size / C.TILE).astype(int)
+    assert (size * tiles)[size > 1].sum() < 64 * 8000
