@@ -194,6 +194,18 @@ def hits_with_facts(hits: DataFrame, facts: DataFrame) -> DataFrame:
     return out.withColumn("distance", 1 - F.col("score")).drop("__text")
 
 
+def prepared_hits(found: DataFrame, facts: DataFrame, k: int, query_id: str = "query_id") -> DataFrame:
+    """What a prepared store hands out of an outside ranker's rows (query_id, fact_id, text, score): the k best of each query by score,
+    then id, with rank and distance 1 - score, joined to their facts. A fact that is found twice for a query raises, as do one
+    that isn't known, another text, and a score that isn't finite."""
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    once = Window.partitionBy(query_id, "fact_id")
+    own = require(found.withColumn("__n", F.count(F.lit(1)).over(once)), F.col("__n") == 1, F.concat(F.lit("found twice: "), F.col("fact_id").cast("string"))).drop("__n")
+    best = own.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), "fact_id"))).where(F.col("rank") <= k)
+    return hits_with_facts(best, facts)
+
+
 def approximate_top_k(vectors: DataFrame, queries: DataFrame, k: int, cells: DataFrame, probe: int = 4) -> DataFrame:
     """Inverted-file search (approximate): rows live in the cell of their nearest centre; a query looks into the
     ``probe`` best cells. ``cells`` (cell, centre) are the centres of a fitted quantiser, CELLS at most: they travel as

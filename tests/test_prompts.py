@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from recallframe.functions import text as X
-from recallframe.operators import context, models
+from recallframe.operators import context, models, retrieval
 
 
 def test_routing_against_plain_search(spark):
@@ -61,3 +61,16 @@ def test_judge_payload_says_why(spark):
     rows = [("true", None, False), ("what?", None, False), ("true", "timeout", False), (None, "timeout", None), ("true", None, True)]
     got = spark.createDataFrame(rows, "x string, e string, s boolean").select(X.judge_payload("x", F.col("e"), F.col("s")).alias("j")).collect()
     assert [tuple(r.j) for r in got] == [(True, "", "true", "ok"), (None, "what?", "what?", "unparsed"), (None, "timeout", None, "error"), (None, "timeout", None, "error"), (None, "", None, "skipped")]
+
+
+def test_prepared_hits(spark):
+    facts = spark.createDataFrame([(i, f"t{i}") for i in range(6)], "fact_id int, text string")
+    found = spark.createDataFrame([("q", i, f"t{i}", float(i % 3)) for i in range(6)], "query_id string, fact_id int, text string, score double")
+    got = retrieval.prepared_hits(found, facts, 4).orderBy("rank").collect()
+    assert [(r.fact_id, r.rank, r.distance) for r in got] == [(2, 1, -1.0), (5, 2, -1.0), (1, 3, 0.0), (4, 4, 0.0)]
+    bad = {"found twice": found.union(found.limit(1)), "text differs": found.withColumn("text", F.lit("x")), "unknown fact": found.withColumn("fact_id", F.col("fact_id") + 9), "not finite": found.withColumn("score", F.lit(float("nan")))}
+    for match, rows in bad.items():
+        with pytest.raises(Exception, match=match):
+            retrieval.prepared_hits(rows, facts, 9).collect()
+    with pytest.raises(ValueError, match="at least 1"):
+        retrieval.prepared_hits(found, facts, 0)
