@@ -66,8 +66,9 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 
 def write_catalog(facts: DataFrame, path: str, identity: str) -> None:
-    """A fact catalog below a folder for its identity."""
-    facts.withColumn("identity", F.lit(identity)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("identity").parquet(path)
+    """A fact catalog below a folder for its identity, which is swapped in whole: other identities stay as they are."""
+    named = facts.sparkSession.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(identity)
+    replace_folder(facts.sparkSession, f"{path}/identity={named}", lambda p: facts.write.parquet(p))
 
 
 def read_catalog(spark: SparkSession, path: str, identity: str) -> DataFrame:
