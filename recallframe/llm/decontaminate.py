@@ -137,7 +137,7 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
 def decontaminate(docs: DataFrame, bench: DataFrame, how: str = "spans", id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without the hit words (``spans``: each run goes with what stands between its words, the rest of the text stays
-    as it is) or without the documents that hold any (``documents``). Columns, other rows and null texts stay."""
+    as it is, and what a cut brings together is not looked at again) or without the documents that hold any (``documents``). Columns, other rows and null texts stay."""
     if how not in ("spans", "documents"):
         raise ValueError(f"how is spans or documents, not {how}")
     _, hits = window_hits(docs, bench, id_col, text_col, item_col, item_text_col)
