@@ -147,7 +147,7 @@ def order_statistics(df: DataFrame, by: Sequence[str], value: str, fractions: Se
     same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in groups], F.lit(True))
     counted = [F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high")]
     shift = 64 - DIGIT
-    counts = own.groupBy(*groups, F.shiftright("__key", shift).alias("__digit")).agg(*counted)
+    counts = written(own.groupBy(*groups, F.shiftright("__key", shift).alias("__digit")).agg(*counted), "digits")  # read three times
     per = counts.groupBy(*groups).agg(F.sum("__n").alias("__all"))
     asked = per.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions]))).withColumn("__place", (F.col("__all") - 1) * F.col("fraction"))
     low = F.floor("__place")
